@@ -31,3 +31,13 @@ def customer_aliases(customers: DataFrame) -> DataFrame:
         F.col("customer_id").alias("resolved_customer_id"),
         F.explode(F.array_distinct(F.array(F.col("id").cast("string"), F.col("customer_id")))).alias("alias"),
     )
+
+
+def unique_aliases(customers: DataFrame) -> DataFrame:
+    """``customer_aliases`` reduced to one customer per key (smallest id when
+    a key names two customers). The result is hash-partitioned on ``alias``,
+    which a following join on ``alias`` reuses."""
+    agg = customer_aliases(customers).groupBy("alias").agg(
+        F.min(F.struct("resolved_id", "resolved_customer_id")).alias("_c"))
+    return agg.select("alias", F.col("_c.resolved_id").alias("resolved_id"),
+                      F.col("_c.resolved_customer_id").alias("resolved_customer_id"))

@@ -430,3 +430,242 @@ FROM recommendations GROUP BY segment_id""")))
 def _personalization(t: Tables) -> DataFrame:
     return R.personalization(t.customers, t.user_segment_history, t.segments, t.recommendations,
                              t.user_activities, 5)
+
+
+# ---------------------------------------------------------------------------
+# Validation, ingestion and merges
+# ---------------------------------------------------------------------------
+from tessera.operators import ingest as I  # noqa: E402
+from tessera.operators import merge as G  # noqa: E402
+from tessera.sources import feeds as FD  # noqa: E402
+
+RAW_EVENTS_SQL = """
+SELECT id AS raw_id,
+       CASE WHEN id % 13 = 0 THEN 'CUS-X' || CAST(customer_id AS VARCHAR) WHEN id % 5 = 0 THEN CAST(customer_id AS VARCHAR)
+            WHEN id % 5 = 1 THEN '' ELSE printf('CUS-%06d', customer_id) END AS customer_id,
+       CASE WHEN event_type = 'recommendation_generated' AND id % 4 = 0 THEN NULL ELSE event_type END AS event_type,
+       feature,
+       CASE WHEN id % 17 = 0 THEN '{broken' WHEN id % 19 = 0 THEN NULL WHEN id % 23 = 0 THEN 'null' ELSE metadata END AS metadata,
+       created_at AS received_at
+FROM analytics_events"""
+CHECKED_EVENTS_SQL = f"""
+SELECT k.*, m.cid,
+       CASE WHEN k.event_type IS NULL OR k.event_type = '' THEN 'event_type is required'
+            WHEN k.feature IS NULL OR k.feature = '' THEN 'feature is required'
+            WHEN m.cid IS NULL THEN 'user not found'
+            WHEN NOT json_valid(k.meta) THEN 'metadata must be valid JSON' END AS error
+FROM (SELECT *, CASE WHEN COALESCE(customer_id, '') = '' THEN '{I.DEFAULT_PRINCIPAL}' ELSE customer_id END AS key,
+             CASE WHEN COALESCE(metadata, '') = '' THEN '{{}}' ELSE metadata END AS meta FROM raw) k
+JOIN (SELECT r.raw_id, MIN(c.id) AS cid FROM (SELECT raw_id, CASE WHEN COALESCE(customer_id, '') = ''
+        THEN '{I.DEFAULT_PRINCIPAL}' ELSE customer_id END AS key FROM raw) r
+      LEFT JOIN customers c ON CAST(c.id AS VARCHAR) = r.key OR c.customer_id = r.key GROUP BY r.raw_id) m
+  ON m.raw_id = k.raw_id"""
+
+
+def _checked_events(t: Tables) -> DataFrame:
+    return I.validate_events(I.raw_event_feed(t.analytics_events), t.customers, "admin", I.DEFAULT_PRINCIPAL)
+
+
+@query("event_validation", O.with_views("SELECT raw_id, error FROM checked",
+                                        ("raw", RAW_EVENTS_SQL), ("checked", CHECKED_EVENTS_SQL)))
+def _event_validation(t: Tables) -> DataFrame:
+    return _checked_events(t).select("raw_id", "error")
+
+
+@query("ingest_events", O.with_views("""
+SELECT (SELECT MAX(id) FROM analytics_events) + ROW_NUMBER() OVER (ORDER BY received_at, raw_id) AS id,
+       cid AS customer_id, event_type, feature, meta AS metadata, received_at AS created_at
+FROM checked WHERE error IS NULL""", ("raw", RAW_EVENTS_SQL), ("checked", CHECKED_EVENTS_SQL)))
+def _ingest_events(t: Tables) -> DataFrame:
+    raw = I.raw_event_feed(t.analytics_events)
+    return I.ingest_events(raw, t.customers, t.analytics_events, "admin", I.DEFAULT_PRINCIPAL)["accepted"]
+
+
+SEG_NAME_SQL = ("CASE c_mktsegment WHEN 'MACHINERY' THEN 'investor' WHEN 'FURNITURE' THEN 'low_activity' "
+                "WHEN 'AUTOMOBILE' THEN 'digital_spender' WHEN 'BUILDING' THEN 'bill_payer' ELSE 'household_saver' END")
+BATCH_SQL = f"""
+SELECT c_custkey * 2 AS pos,
+       CASE WHEN c_custkey % 2 = 0 THEN printf('CUS-%06d', c_custkey) ELSE CAST(c_custkey AS VARCHAR) END AS customer_id,
+       {SEG_NAME_SQL} AS segment_name,
+       CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'assigned from ' || c_mktsegment || ' #' || CAST(c_custkey AS VARCHAR) END AS description,
+       CAST(c_custkey % 97 AS DOUBLE) / 100 AS confidence
+FROM customer
+UNION ALL
+SELECT c_custkey * 2 + 1, printf('CUS-%06d', c_custkey),
+       CASE WHEN c_custkey % 20 = 0 THEN 'vip_saver' ELSE 'investor' END, '', CAST(0.99 AS DOUBLE)
+FROM customer WHERE c_custkey % 10 = 0"""
+RESOLVED_SQL = """
+SELECT b.*, (SELECT MIN(c.id) FROM customers c WHERE CAST(c.id AS VARCHAR) = b.customer_id OR c.customer_id = b.customer_id) AS cid
+FROM batch b"""
+BAD_SQL = """
+SELECT COUNT(*) AS n FROM resolved WHERE customer_id IS NULL OR customer_id = '' OR segment_name IS NULL
+  OR segment_name = '' OR COALESCE(confidence, 0) < 0 OR COALESCE(confidence, 0) > 1 OR cid IS NULL"""
+NEW_SEGMENTS_SQL = """
+SELECT s.id, s.name, COALESCE(p.last_ne, s.description) AS description FROM segments s LEFT JOIN per p ON p.name = s.name
+UNION ALL
+SELECT CAST((SELECT MAX(id) FROM segments) + ROW_NUMBER() OVER (ORDER BY p.first_pos) AS INTEGER), p.name,
+       COALESCE(p.last_ne, p.first_desc)
+FROM per p WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.name = p.name)"""
+PER_NAME_SQL = """
+SELECT segment_name AS name, MIN(pos) AS first_pos,
+       arg_max(description, pos) FILTER (WHERE COALESCE(description, '') <> '') AS last_ne,
+       arg_min(COALESCE(description, ''), pos) AS first_desc
+FROM resolved WHERE (SELECT n FROM bad) = 0 GROUP BY segment_name"""
+SEG_CTES = (("batch", BATCH_SQL), ("resolved", RESOLVED_SQL), ("bad", BAD_SQL), ("per", PER_NAME_SQL),
+            ("new_segments", NEW_SEGMENTS_SQL))
+
+
+def _segment_job(t: Tables) -> dict[str, DataFrame]:
+    return G.apply_segment_updates(FD.segment_batch(t), t.customers, t.segments, t.user_segments, AS_OF)
+
+
+@query("segment_validation", O.with_views("""
+SELECT b.pos,
+       CASE WHEN b.customer_id IS NULL OR b.customer_id = '' OR b.segment_name IS NULL OR b.segment_name = ''
+              THEN 'customer_id and segment_name are required'
+            WHEN COALESCE(b.confidence, 0) < 0 OR COALESCE(b.confidence, 0) > 1 THEN 'confidence must be between 0 and 1'
+            WHEN NOT EXISTS (SELECT 1 FROM customers c WHERE CAST(c.id AS VARCHAR) = b.customer_id OR c.customer_id = b.customer_id)
+              THEN 'user not found' END AS error
+FROM bad_batch b""", ("bad_batch", f"""
+SELECT c_custkey AS pos,
+       CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'CUS-X' || CAST(c_custkey AS VARCHAR)
+            WHEN c_custkey % 2 = 0 THEN printf('CUS-%06d', c_custkey) ELSE CAST(c_custkey AS VARCHAR) END AS customer_id,
+       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE {SEG_NAME_SQL} END AS segment_name,
+       CASE WHEN c_custkey % 19 = 0 THEN -0.1 WHEN c_custkey % 23 = 0 THEN 1.1 WHEN c_custkey % 29 = 0 THEN 0.0
+            WHEN c_custkey % 31 = 0 THEN 1.0 ELSE CAST(c_custkey % 97 AS DOUBLE) / 100 END AS confidence
+FROM customer""")))
+def _segment_validation(t: Tables) -> DataFrame:
+    return G.validate_segment_batch(FD.segment_batch_with_errors(t), t.customers).select("pos", "error")
+
+
+@query("segment_update_results", O.with_views("""
+SELECT r.pos, c.customer_id, r.segment_name, r.confidence,
+       CASE WHEN r.pos = MIN(r.pos) OVER (PARTITION BY r.cid)
+             AND NOT EXISTS (SELECT 1 FROM user_segments us WHERE us.customer_id = r.cid) THEN 'inserted'
+            ELSE 'updated' END AS action
+FROM resolved r JOIN customers c ON c.id = r.cid WHERE (SELECT n FROM bad) = 0""", *SEG_CTES))
+def _segment_update_results(t: Tables) -> DataFrame:
+    return _segment_job(t)["results"]
+
+
+@query("segment_upsert", O.with_views("SELECT * FROM new_segments", *SEG_CTES))
+def _segment_upsert(t: Tables) -> DataFrame:
+    return _segment_job(t)["segments"]
+
+
+@query("user_segment_upsert", O.with_views(f"""
+SELECT us.id, us.customer_id, COALESCE(l.segment_id, us.segment_id) AS segment_id,
+       COALESCE(l.confidence, us.confidence) AS confidence,
+       CASE WHEN l.cid IS NOT NULL THEN {O.AS_OF} ELSE us.created_at END AS created_at
+FROM user_segments us LEFT JOIN last_row l ON l.cid = us.customer_id
+UNION ALL
+SELECT (SELECT MAX(id) FROM user_segments) + ROW_NUMBER() OVER (ORDER BY l.first_pos), l.cid, l.segment_id,
+       l.confidence, {O.AS_OF}
+FROM last_row l WHERE NOT EXISTS (SELECT 1 FROM user_segments us WHERE us.customer_id = l.cid)""",
+    *SEG_CTES, ("last_row", """
+SELECT r.cid, arg_max(ns.id, r.pos) AS segment_id, arg_max(r.confidence, r.pos) AS confidence, MIN(r.pos) AS first_pos
+FROM resolved r JOIN new_segments ns ON ns.name = r.segment_name WHERE (SELECT n FROM bad) = 0 GROUP BY r.cid""")))
+def _user_segment_upsert(t: Tables) -> DataFrame:
+    return _segment_job(t)["user_segments"]
+
+
+@query("onboard_customers", O.with_views("""
+SELECT id, printf('CUS-%06d', id) AS customer_id, email, 'customer' AS role
+FROM (SELECT (SELECT MAX(id) FROM customers) + ROW_NUMBER() OVER (ORDER BY pos) AS id, email
+      FROM regs WHERE (SELECT n FROM bad_regs) = 0) x""",
+    ("regs", """SELECT s_suppkey AS pos, s_name AS full_name, lower(replace(s_name, '#', '_')) AS username,
+       lower(s_name) || '@mail.com' AS email FROM supplier"""),
+    ("bad_regs", """SELECT COUNT(*) AS n FROM regs r WHERE r.email IS NULL
+       OR EXISTS (SELECT 1 FROM customers c WHERE c.email = r.email)
+       OR EXISTS (SELECT 1 FROM regs r2 WHERE r2.email = r.email AND r2.pos < r.pos)""")))
+def _onboard_customers(t: Tables) -> DataFrame:
+    return I.onboard_customers(FD.registrations(t), t.customers, AS_OF)["registered"]
+
+
+@query("set_tracking", O.with_views("""
+SELECT u.seq, u.key, u.is_activity_tracking_enabled,
+       CASE WHEN u.is_activity_tracking_enabled IS NULL THEN 0 ELSE m.n END AS rows_affected,
+       CASE WHEN u.is_activity_tracking_enabled IS NULL THEN 'invalid' WHEN m.n = 0 THEN 'not_found' ELSE 'updated' END AS status
+FROM upd u JOIN (SELECT u2.seq, COUNT(c.id) AS n FROM upd u2
+                 LEFT JOIN customers c ON CAST(c.id AS VARCHAR) = u2.key OR c.customer_id = u2.key GROUP BY u2.seq) m
+  ON m.seq = u.seq""", ("upd", """
+SELECT c_custkey AS seq,
+       CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN printf('CUS-%06d', c_custkey)
+            ELSE 'CUS-X' || CAST(c_custkey AS VARCHAR) END AS key,
+       CASE WHEN c_custkey % 10 = 7 THEN NULL ELSE c_acctbal >= 0 END AS is_activity_tracking_enabled
+FROM customer""")))
+def _set_tracking(t: Tables) -> DataFrame:
+    return G.set_tracking(FD.tracking_updates(t), t.customers)["report"]
+
+
+@query("upsert_accounts", O.with_views(f"""
+SELECT a.id, a.customer_id, a.account_no,
+       CASE WHEN s.account_no IS NOT NULL THEN s.type ELSE a.type END AS type,
+       CAST(CASE WHEN s.account_no IS NOT NULL THEN s.balance ELSE a.balance END AS DOUBLE) AS balance,
+       CASE WHEN s.account_no IS NOT NULL THEN s.currency ELSE a.currency END AS currency, a.created_at
+FROM accounts a LEFT JOIN src s ON s.account_no = a.account_no
+UNION ALL
+SELECT (SELECT MAX(id) FROM accounts) + ROW_NUMBER() OVER (ORDER BY s.account_no), s.customer_id, s.account_no, s.type,
+       CAST(s.balance AS DOUBLE), s.currency, s.created_at
+FROM src s WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.account_no = s.account_no)""",
+    ("src", f"""
+SELECT CASE WHEN o_custkey % 9 = 0 THEN 'N' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
+            ELSE lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS account_no,
+       o_custkey AS customer_id, 'savings' AS type, CAST(o_totalprice AS DECIMAL(15,2)) AS balance, 'IDR' AS currency,
+       {O.AS_OF} AS created_at
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+      FROM orders WHERE o_orderstatus = 'P') x WHERE rn = 1""")))
+def _upsert_accounts(t: Tables) -> DataFrame:
+    merged = G.upsert(t.accounts, FD.account_refresh(t, AS_OF), ["account_no"], ["type", "balance", "currency"])
+    return merged.withColumn("balance", F.col("balance").cast("double"))
+
+
+def _constraint_sql() -> str:
+    def dupes(table, cols):
+        keyed = " AND ".join(f"t.{c} IS NOT NULL" for c in cols)
+        same = " AND ".join(f"t2.{c} = t.{c}" for c in cols)
+        return (f"SELECT '{table}' AS table_name, 'unique({','.join(cols)})' AS constraint_name, COUNT(*) AS checked_rows, "
+                f"COUNT(*) FILTER (WHERE {keyed} AND (SELECT COUNT(*) FROM {table} t2 WHERE {same}) > 1) AS violations "
+                f"FROM {table} t")
+
+    def orphans(table, fk, parent, pk="id"):
+        return (f"SELECT '{table}' AS table_name, 'fk({fk})->{parent}' AS constraint_name, COUNT(*) AS checked_rows, "
+                f"COUNT(*) FILTER (WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {pk} FROM {parent})) AS violations "
+                f"FROM {table}")
+    parts = [
+        dupes("customers", ["id"]), dupes("customers", ["customer_id"]), dupes("customers", ["email"]),
+        dupes("customer_profiles", ["customer_id"]), orphans("customer_profiles", "customer_id", "customers"),
+        dupes("accounts", ["account_no"]), orphans("accounts", "customer_id", "customers"),
+        dupes("transactions", ["trx_id"]), orphans("transactions", "account_id", "accounts"),
+        orphans("user_activities", "customer_id", "customers"), orphans("analytics_events", "customer_id", "customers"),
+        dupes("segments", ["name"]), dupes("user_segments", ["customer_id"]),
+        orphans("user_segments", "customer_id", "customers"), orphans("user_segments", "segment_id", "segments"),
+        ("SELECT 'user_segments' AS table_name, 'check(0<=confidence<=1)' AS constraint_name, COUNT(*) AS checked_rows, "
+         "COUNT(*) FILTER (WHERE NOT COALESCE(confidence >= 0 AND confidence <= 1, FALSE)) AS violations FROM user_segments"),
+        orphans("recommendations", "segment_id", "segments"),
+        dupes("ab_test_assignments", ["customer_id", "ab_test_id"]),
+        orphans("ab_test_assignments", "customer_id", "customers"),
+        orphans("ab_test_assignments", "ab_test_id", "ab_tests"),
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("constraint_report", O.with_views(_constraint_sql()))
+def _constraint_report(t: Tables) -> DataFrame:
+    return G.constraint_report(t)
+
+
+def _cascade_sql() -> str:
+    doomed = "(SELECT id FROM customers WHERE role = 'admin')"
+    specs = [("customers", "id")] + G.CASCADE_CHILDREN
+    parts = [f"SELECT '{tb}' AS table_name, COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE {fk} IN {doomed}) AS rows_deleted "
+             f"FROM {tb}" for tb, fk in specs]
+    parts.append("SELECT 'transactions', COUNT(*), COUNT(*) FILTER (WHERE account_id IN "
+                 f"(SELECT id FROM accounts WHERE customer_id IN {doomed})) FROM transactions")
+    return ("SELECT table_name, rows_before, rows_deleted, rows_before - rows_deleted AS rows_after FROM (\n"
+            + "\nUNION ALL\n".join(parts) + "\n) x")
+
+
+@query("cascade_delete", O.with_views(_cascade_sql()))
+def _cascade_delete(t: Tables) -> DataFrame:
+    return G.cascade_summary(t, t.customers.filter(F.col("role") == "admin"))
