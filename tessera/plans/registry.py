@@ -669,3 +669,110 @@ def _cascade_sql() -> str:
 @query("cascade_delete", O.with_views(_cascade_sql()))
 def _cascade_delete(t: Tables) -> DataFrame:
     return G.cascade_summary(t, t.customers.filter(F.col("role") == "admin"))
+
+
+# ---------------------------------------------------------------------------
+# Features, segmentation model, prediction jobs
+# ---------------------------------------------------------------------------
+from tessera.operators import features as FE  # noqa: E402
+
+
+def _norm_sql(c: str) -> str:
+    return f"translate(lower(regexp_replace(COALESCE({c}, ''), '^\\s+|\\s+$', '', 'g')), '- ', '__')"
+
+
+def _any_sql(needles) -> str:
+    return "(" + " OR ".join(f"contains(name, '{n}')" for n in needles) + ")"
+
+
+def _dom_code_sql(c: str) -> str:
+    k = FE.DOMINANT_ACTIVITY_CODES
+    has = lambda ns: "(" + " OR ".join(f"contains({c}, '{n}')" for n in ns) + ")"
+    return (f"CASE WHEN {c} = '' THEN {k['low_activity']} WHEN {has(FE.INVESTMENT_NEEDLES)} THEN {k['wealth_investment']} "
+            f"WHEN {has(FE.QRIS_NEEDLES)} THEN {k['qris_payment']} "
+            f"WHEN {has(FE.PAYMENT_NEEDLES + FE.TOPUP_NEEDLES)} THEN {k['bills_topup']} "
+            f"WHEN {has(FE.TRANSFER_NEEDLES)} THEN {k['transfer']} ELSE {k['low_activity']} END")
+
+
+def _ratio_sql(n: str) -> str:
+    return f"CASE WHEN COALESCE(p.total, 0) > 0 THEN round_even(CAST(p.{n} AS DOUBLE) / p.total, 4) ELSE 0.0 END"
+
+
+MODEL_FEATURES_SQL = f"""
+SELECT c.id AS customer_pk, c.customer_id,
+       CAST(COALESCE(x.n_tx, 0) AS DOUBLE) AS transaction_frequency_monthly,
+       CAST({FE.DEFAULT_AVG_BALANCE!r} AS DOUBLE) AS avg_balance,
+       {_ratio_sql('transfer_n')} AS transfer_ratio, {_ratio_sql('payment_n')} AS payment_ratio,
+       {_ratio_sql('qris_n')} AS qris_ratio, {_ratio_sql('topup_n')} AS topup_ratio,
+       CASE WHEN COALESCE(p.investment_n, 0) > 0 THEN 1.0 ELSE 0.0 END AS investment_activity,
+       CAST({FE.DEFAULT_LOAN_USAGE!r} AS DOUBLE) AS loan_usage,
+       CAST({FE.DEFAULT_CREDIT_CARD_USAGE!r} AS DOUBLE) AS credit_card_usage,
+       CAST({FE.DEFAULT_CARDLESS_USAGE!r} AS DOUBLE) AS cardless_usage,
+       CAST({FE.DEFAULT_POIN_XTRA_ACTIVE!r} AS DOUBLE) AS poin_xtra_active,
+       CAST({FE.DEFAULT_LOGIN_FREQUENCY_WEEKLY!r} AS DOUBLE) AS login_frequency_weekly,
+       CAST({FE.DEFAULT_AVG_SESSION_DURATION_MIN!r} AS DOUBLE) AS avg_session_duration_min,
+       CASE WHEN COALESCE(x.n_tx, 0) = 0 OR x.latest IS NULL THEN CAST({FE.DEFAULT_RECENT_TRANSACTION_DAYS!r} AS DOUBLE)
+            ELSE CAST(greatest(floor((epoch_us({O.AS_OF}) - epoch_us(x.latest)) / 86400000000.0), 0) AS DOUBLE) END
+         AS recent_transaction_days,
+       CAST({_dom_code_sql("COALESCE(p.dom, '')")} AS DOUBLE) AS dominant_activity_enc,
+       CAST({FE.DEFAULT_FREQUENT_PRODUCT_ENC} AS DOUBLE) AS frequent_product_enc,
+       CAST({FE.DEFAULT_CUSTOMER_TYPE_ENC} AS DOUBLE) AS customer_type_enc,
+       COALESCE(p.dom, '') AS dominant_feature, CAST(COALESCE(p.total, 0) AS BIGINT) AS total_activity
+FROM customers c LEFT JOIN per p ON p.cid = c.id LEFT JOIN txs x ON x.cid = c.id"""
+MODEL_FEATURE_CTES = (
+    ("comb", f"""
+SELECT cid, name, SUM(cnt) AS cnt FROM (
+  SELECT customer_id AS cid, {_norm_sql('feature')} AS name, COUNT(*) AS cnt FROM user_activities
+  WHERE feature IS NOT NULL GROUP BY 1, 2
+  UNION ALL
+  SELECT a.customer_id AS cid, {_norm_sql('t.type')} AS name, COUNT(*) AS cnt
+  FROM transactions t JOIN accounts a ON a.id = t.account_id GROUP BY 1, 2) u
+WHERE name <> '' GROUP BY cid, name"""),
+    ("per", f"""
+SELECT cid, SUM(cnt) AS total,
+       SUM(CASE WHEN {_any_sql(FE.TRANSFER_NEEDLES)} THEN cnt ELSE 0 END) AS transfer_n,
+       SUM(CASE WHEN {_any_sql(FE.PAYMENT_NEEDLES)} THEN cnt ELSE 0 END) AS payment_n,
+       SUM(CASE WHEN {_any_sql(FE.QRIS_NEEDLES)} THEN cnt ELSE 0 END) AS qris_n,
+       SUM(CASE WHEN {_any_sql(FE.TOPUP_NEEDLES)} THEN cnt ELSE 0 END) AS topup_n,
+       SUM(CASE WHEN {_any_sql(FE.INVESTMENT_NEEDLES)} THEN cnt ELSE 0 END) AS investment_n,
+       (list(name ORDER BY cnt DESC, name ASC))[1] AS dom
+FROM comb GROUP BY cid"""),
+    ("txs", """
+SELECT a.customer_id AS cid, COUNT(*) AS n_tx, MAX(t.created_at) AS latest
+FROM transactions t JOIN accounts a ON a.id = t.account_id GROUP BY a.customer_id"""),
+)
+
+
+def _model_features(t: Tables) -> DataFrame:
+    return FE.model_features(t.customers, t.transactions, t.accounts, t.user_activities, AS_OF)
+
+
+@query("model_features", O.with_views(MODEL_FEATURES_SQL, *MODEL_FEATURE_CTES))
+def _model_features_q(t: Tables) -> DataFrame:
+    return _model_features(t)
+
+from tessera.operators import segmentation as SG  # noqa: E402
+from tessera.plans import jobs as J  # noqa: E402
+
+
+@query("score_segments", O.with_views(SG.score_sql(SG.DEFAULT_MODEL, "mf"), *MODEL_FEATURE_CTES,
+                                      ("mf", MODEL_FEATURES_SQL)))
+def _score_segments(t: Tables) -> DataFrame:
+    return SG.score_segments(_model_features(t), SG.DEFAULT_MODEL)
+
+
+@query("train_segments")
+def _train_segments(t: Tables) -> DataFrame:
+    feats = _model_features(t)
+    pm, model, silhouette = SG.train_segments(feats, 4, 3, 7)
+    return SG.cluster_summary(feats, pm, model, silhouette)
+
+
+@query("predict_and_update")
+def _predict_and_update(t: Tables) -> DataFrame:
+    return J.predict_and_update(t, AS_OF)["results"]
+
+
+@query("sync_segments")
+def _sync_segments(t: Tables) -> DataFrame:
+    return J.sync_segments(t, AS_OF)
