@@ -56,6 +56,32 @@ def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def analytics_from_events(e: DataFrame) -> DataFrame:
+    """``analytics_events`` rows from rows of the input ``events`` table
+    (batch or stream): both aliases of each event class; the feature is
+    NULL, empty or one of ten names."""
+    et = F.col("event_type")
+    even = F.col("event_id") % 2 == 0
+    k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int") % 12
+    feature = F.lit(None).cast("string")
+    for i in reversed(range(len(EVENT_FEATURES))):
+        feature = F.when(k == i, F.lit(EVENT_FEATURES[i])).otherwise(feature)
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("customer_id"),
+        F.when((et == "view") & even, "recommendation_impression")
+         .when(et == "view", "recommendation_viewed")
+         .when((et == "click") & even, "recommendation_click")
+         .when(et == "click", "recommendation_clicked")
+         .when(et == "purchase", "recommendation_engaged")
+         .when(et == "signup", "feature_used")
+         .otherwise("recommendation_generated").alias("event_type"),
+        feature.alias("feature"),
+        F.col("props").alias("metadata"),
+        F.col("ts").alias("created_at"),
+    )
+
+
 class Tables:
     """Lazily-built DataFrames of the reference tables for one input folder."""
 
@@ -120,27 +146,7 @@ class Tables:
 
     @cached_property
     def analytics_events(self) -> DataFrame:
-        e = self.raw("events")
-        et = F.col("event_type")
-        even = F.col("event_id") % 2 == 0
-        k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int") % 12
-        feature = F.lit(None).cast("string")
-        for i in reversed(range(len(EVENT_FEATURES))):
-            feature = F.when(k == i, F.lit(EVENT_FEATURES[i])).otherwise(feature)
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("customer_id"),
-            F.when((et == "view") & even, "recommendation_impression")
-             .when(et == "view", "recommendation_viewed")
-             .when((et == "click") & even, "recommendation_click")
-             .when(et == "click", "recommendation_clicked")
-             .when(et == "purchase", "recommendation_engaged")
-             .when(et == "signup", "feature_used")
-             .otherwise("recommendation_generated").alias("event_type"),
-            feature.alias("feature"),
-            F.col("props").alias("metadata"),
-            F.col("ts").alias("created_at"),
-        )
+        return analytics_from_events(self.raw("events"))
 
     @cached_property
     def user_activities(self) -> DataFrame:
