@@ -72,7 +72,17 @@ def name_clusters(assigned: DataFrame, n_clusters: int) -> list[str]:
 
 def train_segments(features: DataFrame, k: int = 4, pca_k: int = 3, seed: int = 7):
     """Fit the pipeline and name its clusters. Returns (PipelineModel,
-    SegmentModel, silhouette)."""
+    SegmentModel, silhouette).
+
+    The scaler, PCA, KMeans (several passes), naming and silhouette all read
+    the features again, so they are checkpointed once first: the passes
+    read the written copy instead of re-running the feature joins, and the
+    lineage no longer reaches back to the raw tables.
+    """
+    from tessera.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(features.sparkSession)
+    features = features.select("customer_id", *FEATURE_ORDER).checkpoint(eager=True)
     pm = fit_pipeline(features, k, pca_k, seed)
     assigned = pm.transform(features)
     names = name_clusters(assigned, k)
@@ -90,7 +100,7 @@ def model_params(pm, names: list[str]) -> SegmentModel:
 
 def cluster_summary(features: DataFrame, pm, model: SegmentModel, silhouette: float) -> DataFrame:
     """One row per cluster: name, members, silhouette of the whole model."""
-    assigned = pm.transform(features)
+    assigned = pm.transform(features.select("customer_id", *FEATURE_ORDER))
     names = F.element_at(F.array(*[F.lit(n) for n in model.names]), (F.col("cluster") + 1).cast("int"))
     return (assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("customers"))
             .select("cluster", names.alias("segment_name"), "customers", F.lit(silhouette).alias("silhouette")))
