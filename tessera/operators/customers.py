@@ -177,3 +177,16 @@ def user_segmentation(customers: DataFrame, user_segments: DataFrame, segments:
 
 def segment_master(segments: DataFrame) -> DataFrame:
     return segments.select("id", "name", F.coalesce("description", F.lit("")).alias("description"))
+
+
+# -- B13: one-customer form of a set-based report ---------------------------------
+def for_customer(df: DataFrame, customers: DataFrame, key: str, id_col: str = "customer_id",
+                 by_public_id: bool = True) -> DataFrame:
+    """Rows of a per-customer report for the customer named by ``key``
+    (internal id as text or public id): the set-based DataFrame plus an
+    equality filter, after resolving the key like the reference does."""
+    from tessera.functions.joins import unique_aliases
+
+    hit = unique_aliases(customers).filter(F.col("alias") == F.lit(key))
+    col = "resolved_customer_id" if by_public_id else "resolved_id"
+    return df.join(hit.select(F.col(col).alias(id_col)), id_col, "left_semi")

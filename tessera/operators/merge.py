@@ -181,7 +181,11 @@ def apply_segment_updates(batch: DataFrame, customers: DataFrame, segments: Data
     returns the next ``segments`` / ``user_segments`` snapshots and the
     per-row results. The gate is a scalar subquery (count of failures), so
     the decision stays inside the plan."""
-    checked = validate_segment_batch(batch, customers)
+    ensure_checkpoint_dir(batch.sparkSession)
+    # The validated batch feeds the gate, both upserts and the results; it is
+    # written once (reliable checkpoint) so each of them reads that copy
+    # instead of re-running the validation joins inside its own plan.
+    checked = validate_segment_batch(batch, customers).checkpoint(eager=True)
     rejected = checked.filter(F.col("error").isNotNull())
     ok = F.coalesce(rejected.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
     valid = checked.filter(F.col("error").isNull() & ok)

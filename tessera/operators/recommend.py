@@ -105,3 +105,37 @@ def personalization(customers: DataFrame, user_segments: DataFrame, segments: Da
         F.coalesce("recommended_count", zero).alias("recommended_count"),
         F.coalesce("recommended_features", F.lit("")).alias("recommended_features"),
     )
+
+
+def personalization_nested(customers: DataFrame, user_segments: DataFrame, segments: DataFrame,
+                           recommendations_: DataFrame, user_activities: DataFrame, n: int = 5) -> DataFrame:
+    """The homepage object of every customer as nested columns
+    (``to_json`` / ``write.json`` give the API shape). Lists are bounded: at
+    most ``n`` quick actions, and one segment's rows of the small
+    recommendations table."""
+    top = top_segment(user_segments, segments, join_first=True).select(
+        F.col("customer_id").alias("customer_pk"), "segment_id",
+        F.struct(F.col("segment_id").alias("id"), F.col("segment_name").alias("name"), "confidence").alias("segment"))
+    qa = (ranked_features(user_activities, n)
+          .groupBy(F.col("customer_id").alias("customer_pk"))
+          .agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "usage_count",
+                                                    F.col("last_used_at"))).alias("qa")).alias("qa")))
+    qa = qa.select("customer_pk", F.transform("qa", lambda x: x.dropFields("rank")).alias("quick_actions"))
+    rec = (recommendations_.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct(
+        "priority", "id", F.coalesce("feature", F.lit("")).alias("feature"),
+        F.coalesce("reason", F.lit("")).alias("reason")))).alias("recs")))
+    rec = small_side(rec.select("segment_id", F.transform("recs", lambda x: F.struct(
+        x["id"].alias("id"), x["feature"].alias("feature"), x["reason"].alias("reason"),
+        x["priority"].alias("priority"))).alias("recommended_sections")))
+    flat = personalization(customers, user_segments, segments, recommendations_, user_activities, n)
+    c = customers.select(F.col("id").alias("customer_pk"), "customer_id")
+    out = (c.join(top, "customer_pk", "left").join(qa, "customer_pk", "left").join(rec, "segment_id", "left")
+           .join(flat.select("customer_id", "primary_feature"), "customer_id"))
+    empty = F.array()
+    return out.select("customer_id", F.struct(
+        "primary_feature",
+        F.coalesce("segment", F.struct(F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("name"),
+                                       F.lit(None).cast("double").alias("confidence"))).alias("segment"),
+        F.coalesce("quick_actions", empty.cast(qa.schema["quick_actions"].dataType)).alias("quick_actions"),
+        F.coalesce("recommended_sections", empty.cast(rec.schema["recommended_sections"].dataType))
+        .alias("recommended_sections")).alias("homepage"))

@@ -43,3 +43,25 @@ def publish_snapshot(df: DataFrame, table_root: str) -> str:
 def read_current(spark, table_root: str) -> DataFrame:
     current = spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()[0]
     return spark.read.parquet(current)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Nested output as JSON lines (the API payload shape)."""
+    df.write.mode("overwrite").json(path)
+
+
+def save_segment_model(spark, model, path: str) -> None:
+    """Store scoring parameters (small) as one JSON document."""
+    import dataclasses
+    import json
+
+    spark.createDataFrame([(json.dumps(dataclasses.asdict(model)),)], "model string") \
+        .coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_segment_model(spark, path: str):
+    import json
+
+    from tessera.operators.segmentation import SegmentModel
+
+    return SegmentModel(**json.loads(spark.read.text(path).first()[0]))
