@@ -135,41 +135,29 @@ def projection(model: SegmentModel) -> list[Column]:
 def score_segments(features: DataFrame, model: SegmentModel) -> DataFrame:
     """Nearest centre (ties to the lower cluster index), softmax of negative
     distances as confidence (2 decimals, half to even), segment name and the
-    description text. ``features`` is :func:`model_features` output."""
-    coords = projection(model)
-    proj = features.select("*", *[c.alias(f"_p{j}") for j, c in enumerate(coords)])
-    dists = []
-    for center in model.centers:
-        acc = None
-        for j, cj in enumerate(center):
-            d = F.col(f"_p{j}") - _lit(cj)
-            acc = d * d if acc is None else acc + d * d
-        dists.append(F.sqrt(acc))
-    scored = proj.select("*", *[d.alias(f"_d{c}") for c, d in enumerate(dists)])
-    n = len(model.centers)
-    d = [F.col(f"_d{c}") for c in range(n)]
-    choice = F.lit(n - 1)
-    for c in reversed(range(n - 1)):
-        cond = None
-        for o in range(c + 1, n):
-            t = d[c] <= d[o]
-            cond = t if cond is None else cond & t
-        choice = F.when(cond, F.lit(c)).otherwise(choice)
-    denom = None
-    for c in range(n):
-        e = F.exp(-d[c])
-        denom = e if denom is None else denom + e
-    chosen_d = F.lit(None).cast("double")
-    for c in reversed(range(n)):
-        chosen_d = F.when(F.col("cluster") == c, d[c]).otherwise(chosen_d)
+    description text. ``features`` is :func:`model_features` output.
+
+    The coordinates form one array and the distances another
+    (``transform`` / ``zip_with`` / ``aggregate`` over the literal centres),
+    so every later step refers to a single column: the expression stays
+    linear in size even when the optimizer inlines projections or pushes a
+    filter on ``confidence`` through them.
+    """
+    coords = F.array(*projection(model))
+    centers = F.array(*[F.array(*[_lit(v) for v in c]) for c in model.centers])
+    zero = F.lit(0.0)
+    dist = F.transform(centers, lambda c: F.sqrt(F.aggregate(
+        F.zip_with(F.col("_p"), c, lambda a, b: (a - b) * (a - b)), zero, lambda acc, x: acc + x)))
+    scored = features.select("*", coords.alias("_p")).select("*", dist.alias("_d"))
+    nearest = F.array_min("_d")
+    denom = F.aggregate("_d", zero, lambda acc, x: acc + F.exp(-x))
+    with_cluster = scored.select("*", (F.array_position("_d", nearest) - 1).cast("int").alias("cluster"),
+                                 F.bround(F.exp(-nearest) / denom, 2).alias("confidence"))
     names = F.array(*[F.lit(x) for x in model.names])
-    with_cluster = scored.select("*", choice.alias("cluster"))
-    seg = F.element_at(names, (F.col("cluster") + 1).cast("int"))
-    out = with_cluster.select(
-        "customer_id", F.col("cluster"), seg.alias("segment_name"),
-        F.bround(F.exp(-chosen_d) / denom, 2).alias("confidence"),
+    seg = F.element_at(names, F.col("cluster") + 1)
+    return with_cluster.select(
+        "customer_id", "cluster", seg.alias("segment_name"), "confidence",
         description(seg, F.col("dominant_feature"), F.col("total_activity")).alias("description"))
-    return out
 
 
 def description(segment_name: Column, dominant: Column, total: Column) -> Column:

@@ -62,25 +62,34 @@ def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, exi
                   trigger_available_now: bool = True):
     """Validate a stream of raw events against the customer table
     (stream-static join), number accepted rows after every id already
-    written, and write accepted / rejected rows per micro-batch."""
+    given out, and write accepted / rejected rows per micro-batch.
+
+    Each micro-batch leaves a one-row high-water mark (largest id so far)
+    under ``marks/batch_id=<n>``; batch n starts from batch n-1's mark, so
+    no batch rescans earlier output, and a retried batch recomputes the
+    same ids."""
     checked = validate_events(raw, customers, principal_role, principal_code)
-    accepted_root, rejected_root = f"{out}/accepted", f"{out}/rejected"
+    accepted_root, rejected_root, marks = f"{out}/accepted", f"{out}/rejected", f"{out}/marks"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        try:
-            done = s.read.parquet(accepted_root).filter(F.col("batch_id") < batch_id)
-            start = F.greatest(max_id(done), max_id(existing_events))
-        except Exception:  # noqa: BLE001 - nothing written yet
+        if batch_id == 0:
             start = max_id(existing_events)
+        else:
+            start = s.read.parquet(f"{marks}/batch_id={batch_id - 1}").select(
+                F.col("max_id").cast("bigint")).scalar()
         ok = batch.filter(F.col("error").isNull())
         numbered = sequence_ids(ok, ["received_at", "raw_id"], start, "id")
+        target = f"{accepted_root}/batch_id={batch_id}"
         (numbered.select("id", F.col("cid").alias("customer_id"), "event_type", "feature", "metadata",
                          F.col("received_at").alias("created_at"))
-         .write.mode("overwrite").parquet(f"{accepted_root}/batch_id={batch_id}"))
+         .write.mode("overwrite").parquet(target))
         (batch.filter(F.col("error").isNotNull())
          .select("raw_id", "customer_id", "event_type", "feature", "received_at", "error")
          .write.mode("overwrite").parquet(f"{rejected_root}/batch_id={batch_id}"))
+        written = s.read.parquet(target).agg(F.max("id").cast("bigint")).scalar()
+        (s.range(1).select(F.coalesce(written, start).alias("max_id"))
+         .write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}"))
 
     w = checked.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
