@@ -155,8 +155,9 @@ def score_segments(features: DataFrame, model: SegmentModel) -> DataFrame:
                                  F.bround(F.exp(-nearest) / denom, 2).alias("confidence"))
     names = F.array(*[F.lit(x) for x in model.names])
     seg = F.element_at(names, F.col("cluster") + 1)
+    keys = [c for c in ("customer_pk", "customer_id") if c in features.columns]
     return with_cluster.select(
-        "customer_id", "cluster", seg.alias("segment_name"), "confidence",
+        *keys, "cluster", seg.alias("segment_name"), "confidence",
         description(seg, F.col("dominant_feature"), F.col("total_activity")).alias("description"))
 
 

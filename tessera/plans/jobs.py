@@ -17,8 +17,7 @@ def predictions(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
     (default: all), as a segment-update batch (``pos`` = internal id)."""
     cust = customers if customers is not None else t.customers
     feats = model_features(cust, t.transactions, t.accounts, t.user_activities, as_of)
-    scored = score_segments(feats, model)
-    return scored.join(feats.select("customer_id", "customer_pk"), "customer_id").select(
+    return score_segments(feats, model).select(
         F.col("customer_pk").alias("pos"), "customer_id", "segment_name", "description", "confidence")
 
 

@@ -758,7 +758,7 @@ from tessera.plans import jobs as J  # noqa: E402
 @query("score_segments", O.with_views(SG.score_sql(SG.DEFAULT_MODEL, "mf"), *MODEL_FEATURE_CTES,
                                       ("mf", MODEL_FEATURES_SQL)))
 def _score_segments(t: Tables) -> DataFrame:
-    return SG.score_segments(_model_features(t), SG.DEFAULT_MODEL)
+    return SG.score_segments(_model_features(t).drop("customer_pk"), SG.DEFAULT_MODEL)
 
 
 @query("train_segments")

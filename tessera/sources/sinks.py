@@ -29,20 +29,28 @@ def write_sorted(df: DataFrame, path: str, *order) -> None:
 
 
 def publish_snapshot(df: DataFrame, table_root: str) -> str:
-    """Write the next version of a table under ``<root>/v=<uuid>`` and then
-    point ``<root>/_CURRENT`` at it. Readers of the previous version are
-    never overwritten mid-read; a failed job leaves the pointer unchanged."""
+    """Write the next version of a table under ``<root>/v=<version>``, then
+    append a marker naming it under ``<root>/_versions``. Nothing is ever
+    overwritten or deleted: readers of an older version keep reading it, and
+    a job that fails before the marker leaves the current version in place.
+    Version names start with a zero-padded clock, so the greatest marker is
+    the newest."""
+    import time
+
     spark = df.sparkSession
-    version = f"{table_root.rstrip('/')}/v={uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1) \
-        .write.mode("overwrite").text(f"{table_root.rstrip('/')}/_CURRENT")
-    return version
+    root = table_root.rstrip("/")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    path = f"{root}/v={version}"
+    df.write.mode("errorifexists").parquet(path)
+    spark.createDataFrame([(version, path)], "version string, path string").coalesce(1) \
+        .write.mode("append").json(f"{root}/_versions")
+    return path
 
 
 def read_current(spark, table_root: str) -> DataFrame:
-    current = spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()[0]
-    return spark.read.parquet(current)
+    """The newest published version (one small read of the markers)."""
+    marks = spark.read.schema("version string, path string").json(f"{table_root.rstrip('/')}/_versions")
+    return spark.read.parquet(marks.orderBy(F.desc("version")).first()["path"])
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -59,3 +59,44 @@ def test_snapshot_publication(spark):
     v1 = sinks.publish_snapshot(spark.range(3), f"{d}/t")
     v2 = sinks.publish_snapshot(spark.range(5), f"{d}/t")
     assert v1 != v2 and sinks.read_current(spark, f"{d}/t").count() == 5
+
+
+def test_constraint_report_finds_violations(spark, t001):
+    from tessera.operators import merge as G
+
+    class Broken:
+        pass
+    b = Broken()
+    for name in ["customers", "customer_profiles", "accounts", "transactions", "user_activities",
+                 "analytics_events", "segments", "user_segments", "recommendations", "ab_tests",
+                 "ab_test_assignments"]:
+        setattr(b, name, getattr(t001, name))
+    b.user_segments = t001.user_segment_history          # customer_id no longer unique
+    b.analytics_events = t001.analytics_events.unionByName(
+        t001.analytics_events.limit(3).withColumn("customer_id", F.lit(10**9)))  # orphans
+    rep = {(r.table_name, r.constraint_name): r.violations for r in G.constraint_report(b).collect()}
+    dup_rows = (t001.user_segment_history.groupBy("customer_id").count().filter("count > 1")
+                .agg(F.sum("count")).first()[0])
+    assert rep[("user_segments", "unique(customer_id)")] == dup_rows > 0
+    assert rep[("analytics_events", "fk(customer_id)->customers")] == 3
+    assert rep[("customers", "unique(id)")] == 0
+
+
+def test_cascade_delete_removes_children(t001):
+    from tessera.operators import merge as G
+
+    doomed = t001.customers.filter(F.col("id") == 7)
+    after = G.cascade_delete(t001, doomed)
+    assert after["customers"].filter(F.col("id") == 7).count() == 0
+    assert after["analytics_events"].filter(F.col("customer_id") == 7).count() == 0
+    assert after["transactions"].filter(F.col("account_id") == 7).count() == 0
+    before = t001.analytics_events.count()
+    assert after["analytics_events"].count() == before - t001.analytics_events.filter(F.col("customer_id") == 7).count()
+
+
+def test_visible_rows_admin_and_customer(t001):
+    ev = t001.analytics_events
+    assert C.visible_rows(ev, "admin", 49).count() == ev.count()
+    mine = C.visible_rows(ev, "customer", 7)
+    assert mine.count() == ev.filter(F.col("customer_id") == 7).count()
+    assert C.admin_only(ev, "customer").count() == 0
