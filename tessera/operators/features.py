@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
-from tessera.operators.customers import feature_usage
 
 # Fixed values (feature order and defaults the scoring model expects) ---------
 FEATURE_ORDER = [
@@ -66,16 +65,25 @@ def dominant_activity_code(name: Column) -> Column:
 
 
 def activity_counts(transactions: DataFrame, accounts: DataFrame, user_activities: DataFrame) -> DataFrame:
-    """(cid, normalised name) -> count: feature usage counts plus one per
-    transaction of that type, merged on the normalised name."""
-    fu = feature_usage(user_activities).select(
+    """(cid, normalised name) -> cnt, tx_cnt, latest_tx.
+
+    One row per feature use (NULL features left out) and one per
+    transaction, named by their normalised feature / type, grouped once.
+    Summing usage counts per raw feature and then per normalised name gives
+    the same totals as counting per normalised name directly. ``tx_cnt`` and
+    ``latest_tx`` only count transactions (also those whose type normalises
+    to '')."""
+    fu = user_activities.filter(F.col("feature").isNotNull()).select(
         F.col("customer_id").alias("cid"), X.normalize_feature("feature").alias("name"),
-        F.col("usage_count").alias("cnt"))
+        F.lit(None).cast("timestamp_ntz").alias("tx_at"))
     owners = accounts.select(F.col("id").alias("account_id"), F.col("customer_id").alias("cid"))
-    tx = (transactions.select("account_id", X.normalize_feature("type").alias("name")).join(owners, "account_id")
-          .groupBy("cid", "name").agg(F.count(F.lit(1)).alias("cnt")))
-    both = fu.unionByName(tx.select("cid", "name", "cnt")).filter(F.col("name") != "")
-    return both.groupBy("cid", "name").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    tx = transactions.select("account_id", X.normalize_feature("type").alias("name"),
+                             F.col("created_at").alias("tx_at"), F.lit(True).alias("is_tx")) \
+        .join(owners, "account_id").select("cid", "name", "tx_at", "is_tx")
+    rows = fu.withColumn("is_tx", F.lit(False)).unionByName(tx)
+    return rows.groupBy("cid", "name").agg(
+        F.count(F.lit(1)).alias("cnt"), X.count_if(F.col("is_tx")).alias("tx_cnt"),
+        F.max("tx_at").alias("latest_tx"))
 
 
 def model_features(customers: DataFrame, transactions: DataFrame, accounts: DataFrame,
@@ -83,15 +91,18 @@ def model_features(customers: DataFrame, transactions: DataFrame, accounts: Data
     """One row per customer: ``customer_id`` (public), the 17 model inputs
     (double), ``dominant_feature`` and ``total_activity``.
 
-    Counts are reduced per (customer, name) before the per-customer
-    aggregation; the dominant feature is a ``min(struct(-count, name))``
-    aggregate, so no per-customer list is ever built.
+    Transactions and feature uses are reduced per (customer, name) in one
+    aggregation, then per customer; the dominant feature is a
+    ``min(struct(-count, name))`` aggregate, so no per-customer list is ever
+    built and the transactions are joined to their accounts once.
     """
     counts = activity_counts(transactions, accounts, user_activities)
-    cnt, name = F.col("cnt"), F.col("name")
+    name = F.col("name")
+    named = name != ""
+    cnt = F.when(named, F.col("cnt")).otherwise(F.lit(0))
 
     def matching(needles):
-        return F.sum(F.when(X.contains_any(name, needles), cnt).otherwise(F.lit(0)))
+        return F.sum(F.when(named & X.contains_any(name, needles), F.col("cnt")).otherwise(F.lit(0)))
 
     per_c = counts.groupBy("cid").agg(
         F.sum(cnt).alias("total"),
@@ -100,19 +111,18 @@ def model_features(customers: DataFrame, transactions: DataFrame, accounts: Data
         matching(QRIS_NEEDLES).alias("qris_n"),
         matching(TOPUP_NEEDLES).alias("topup_n"),
         matching(INVESTMENT_NEEDLES).alias("investment_n"),
-        F.min(F.struct((-cnt).alias("neg"), name.alias("name"))).alias("_dom"),
+        F.min(F.when(named, F.struct((-F.col("cnt")).alias("neg"), name.alias("name")))).alias("_dom"),
+        F.sum("tx_cnt").alias("n_tx"),
+        F.max("latest_tx").alias("latest"),
     )
-    owners = accounts.select(F.col("id").alias("account_id"), F.col("customer_id").alias("cid"))
-    tx_stats = (transactions.select("account_id", "created_at").join(owners, "account_id")
-                .groupBy("cid").agg(F.count(F.lit(1)).alias("n_tx"), F.max("created_at").alias("latest")))
     c = customers.select(F.col("id").alias("cid"), "customer_id")
-    j = c.join(per_c, "cid", "left").join(tx_stats, "cid", "left")
+    j = c.join(per_c, "cid", "left")
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
     dominant = F.coalesce(F.col("_dom.name"), F.lit(""))
     days = F.greatest(X.days_between_floor(X.ntz(as_of), F.col("latest")), F.lit(0))
-    recent = F.when(F.coalesce(F.col("n_tx"), F.lit(0)) == 0, F.lit(DEFAULT_RECENT_TRANSACTION_DAYS)) \
-              .when(F.col("latest").isNull(), F.lit(DEFAULT_RECENT_TRANSACTION_DAYS)) \
-              .otherwise(days.cast("double"))
+    recent = (F.when(F.coalesce(F.col("n_tx"), F.lit(0)) == 0, F.lit(DEFAULT_RECENT_TRANSACTION_DAYS))
+              .when(F.col("latest").isNull(), F.lit(DEFAULT_RECENT_TRANSACTION_DAYS))
+              .otherwise(days.cast("double")))
     feats = {
         "transaction_frequency_monthly": F.coalesce(F.col("n_tx"), F.lit(0)).cast("double"),
         "avg_balance": F.lit(DEFAULT_AVG_BALANCE),
