@@ -87,7 +87,7 @@ def activity_counts(transactions: DataFrame, accounts: DataFrame, user_activitie
 
 
 def model_features(customers: DataFrame, transactions: DataFrame, accounts: DataFrame,
-                   user_activities: DataFrame, as_of) -> DataFrame:
+                   user_activities: DataFrame, as_of, use_balances: bool = False) -> DataFrame:
     """One row per customer: ``customer_id`` (public), the 17 model inputs
     (double), ``dominant_feature`` and ``total_activity``.
 
@@ -95,6 +95,10 @@ def model_features(customers: DataFrame, transactions: DataFrame, accounts: Data
     aggregation, then per customer; the dominant feature is a
     ``min(struct(-count, name))`` aggregate, so no per-customer list is ever
     built and the transactions are joined to their accounts once.
+
+    ``avg_balance`` is the fixed default, as in the reference, unless
+    ``use_balances=True``: then it is the mean balance of the customer's
+    accounts (default when the customer has none).
     """
     counts = activity_counts(transactions, accounts, user_activities)
     name = F.col("name")
@@ -117,6 +121,12 @@ def model_features(customers: DataFrame, transactions: DataFrame, accounts: Data
     )
     c = customers.select(F.col("id").alias("cid"), "customer_id")
     j = c.join(per_c, "cid", "left")
+    balance = F.lit(DEFAULT_AVG_BALANCE)
+    if use_balances:
+        bal = accounts.groupBy(F.col("customer_id").alias("cid")).agg(
+            F.avg(F.col("balance").cast("double")).alias("_bal"))
+        j = j.join(bal, "cid", "left")
+        balance = F.coalesce(F.col("_bal"), balance)
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
     dominant = F.coalesce(F.col("_dom.name"), F.lit(""))
     days = F.greatest(X.days_between_floor(X.ntz(as_of), F.col("latest")), F.lit(0))
@@ -125,7 +135,7 @@ def model_features(customers: DataFrame, transactions: DataFrame, accounts: Data
               .otherwise(days.cast("double")))
     feats = {
         "transaction_frequency_monthly": F.coalesce(F.col("n_tx"), F.lit(0)).cast("double"),
-        "avg_balance": F.lit(DEFAULT_AVG_BALANCE),
+        "avg_balance": balance,
         "transfer_ratio": X.ratio4(F.col("transfer_n"), total),
         "payment_ratio": X.ratio4(F.col("payment_n"), total),
         "qris_ratio": X.ratio4(F.col("qris_n"), total),

@@ -12,18 +12,28 @@ from tessera.operators.merge import max_id, sequence_ids
 
 
 def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str = "admin",
-                    principal_code: str | None = None) -> DataFrame:
+                    principal_code: str | None = None, respect_tracking: bool = False) -> DataFrame:
     """Check raw events (``raw_id``, ``customer_id`` key, ``event_type``,
     ``feature``, ``metadata`` text, ``received_at``); the first failing rule
     wins: event_type required, feature required, actor allowed, customer
     exists, metadata valid JSON. A missing key means the principal itself;
     missing metadata means ``{}``. Adds the resolved ``cid`` /
     ``customer_code``, the stored ``metadata`` text and ``error``.
+
+    The reference stores the tracking flag but never checks it at ingest;
+    ``respect_tracking=True`` additionally rejects events of customers who
+    turned tracking off.
     """
     key = F.when(F.coalesce(F.col("customer_id"), F.lit("")) == "", F.lit(principal_code)) \
            .otherwise(F.col("customer_id"))
     r = raw.withColumn("_key", key)
     aliases = unique_aliases(customers)
+    if respect_tracking:
+        flags = customers.select(F.col("id").alias("resolved_id"),
+                                 F.coalesce("is_activity_tracking_enabled", F.lit(True)).alias("_tracking"))
+        aliases = aliases.join(flags, "resolved_id", "left")
+    else:
+        aliases = aliases.withColumn("_tracking", F.lit(True))
     j = r.join(aliases, r["_key"] == aliases["alias"], "left")
     meta = F.when(F.coalesce(F.col("metadata"), F.lit("")) == "", F.lit("{}")).otherwise(F.col("metadata"))
     forbidden = F.lit(principal_role != "admin") & (F.coalesce(F.col("_key"), F.lit("")) != F.lit(principal_code or ""))
@@ -31,19 +41,21 @@ def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str =
              .when(~X.non_empty("feature"), "feature is required")
              .when(forbidden, "forbidden")
              .when(F.col("resolved_id").isNull(), "user not found")
-             .when(F.try_parse_json(meta).isNull(), "metadata must be valid JSON"))
+             .when(F.try_parse_json(meta).isNull(), "metadata must be valid JSON")
+             .when(~F.coalesce(F.col("_tracking"), F.lit(True)), "activity tracking disabled"))
     return j.select("raw_id", "customer_id", "event_type", "feature", meta.alias("metadata"), "received_at",
                     F.col("resolved_id").alias("cid"), F.col("resolved_customer_id").alias("customer_code"),
                     error.alias("error"))
 
 
 def ingest_events(raw: DataFrame, customers: DataFrame, existing_events: DataFrame,
-                  principal_role: str = "admin", principal_code: str | None = None) -> dict[str, DataFrame]:
+                  principal_role: str = "admin", principal_code: str | None = None,
+                  respect_tracking: bool = False) -> dict[str, DataFrame]:
     """Validate, then give accepted events ids after the current maximum, in
     arrival order (``received_at``, ``raw_id``). ``created_at`` is the
     arrival time. Returns ``accepted`` rows in the ``analytics_events``
     shape and ``rejected`` rows with their error (dead letters)."""
-    checked = validate_events(raw, customers, principal_role, principal_code)
+    checked = validate_events(raw, customers, principal_role, principal_code, respect_tracking)
     ok = checked.filter(F.col("error").isNull())
     numbered = sequence_ids(ok, ["received_at", "raw_id"], max_id(existing_events), "id")
     accepted = numbered.select("id", F.col("cid").alias("customer_id"), "event_type", "feature", "metadata",

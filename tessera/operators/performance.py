@@ -172,6 +172,19 @@ def ab_test_results(ab_tests: DataFrame, assignments: DataFrame, events: DataFra
     )
 
 
+def ab_test_assigned(ab_tests: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Distinct assigned customers per test and variant (the reference's
+    ``customer_count`` counts joined rows instead; this is the head count)."""
+    per = assignments.groupBy("ab_test_id").agg(
+        F.count_distinct(F.when(F.col("variant") == "A", F.col("customer_id"))).alias("variant_a_assigned"),
+        F.count_distinct(F.when(F.col("variant") == "B", F.col("customer_id"))).alias("variant_b_assigned"))
+    out = ab_tests.join(per, ab_tests["id"] == per["ab_test_id"], "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select(F.col("id").alias("test_id"), "test_name",
+                      F.coalesce("variant_a_assigned", zero).alias("variant_a_assigned"),
+                      F.coalesce("variant_b_assigned", zero).alias("variant_b_assigned"))
+
+
 # -- L11 -----------------------------------------------------------------------
 def recommendation_roi(events: DataFrame, as_of, days: int = S.DEFAULT_DAYS) -> DataFrame:
     """Recommendation events (prefix match, pushed to the scan) and clicks;

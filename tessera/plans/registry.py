@@ -803,3 +803,12 @@ FROM (SELECT date_trunc('day', created_at) - to_days(CAST(k AS INTEGER)) AS wind
       FROM analytics_events CROSS JOIN range(7) t(k) GROUP BY 1, 2) w""")
 
 QUERIES["stream_segment_updates"] = lambda spark, sf_dir: ST.stream_segment_results(spark, sf_dir, AS_OF)
+
+
+@query("ab_test_assigned", O.with_views("""
+SELECT t.id AS test_id, t.test_name,
+       COUNT(DISTINCT CASE WHEN a.variant = 'A' THEN a.customer_id END) AS variant_a_assigned,
+       COUNT(DISTINCT CASE WHEN a.variant = 'B' THEN a.customer_id END) AS variant_b_assigned
+FROM ab_tests t LEFT JOIN ab_test_assignments a ON a.ab_test_id = t.id GROUP BY t.id, t.test_name"""))
+def _ab_test_assigned(t: Tables) -> DataFrame:
+    return P.ab_test_assigned(t.ab_tests, t.ab_test_assignments)

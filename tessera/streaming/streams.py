@@ -147,6 +147,17 @@ def run_complete(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/result")
 
 
+def append_finalized(agg: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Long-running form of the windowed metrics: append mode to a parquet
+    sink. A window is written once, after the watermark passes its end, and
+    its state is then dropped, so state stays bounded by the watermark
+    delay rather than growing with history."""
+    w = (agg.writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
 def stream_daily_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_complete(spark, daily_clicks(event_stream(spark, sf_dir)), "daily-clicks")
 

@@ -126,3 +126,21 @@ def test_description_default_text(spark):
     r = df.select(SG.description(F.col("s"), F.col("d"), F.col("t")).alias("x")).first().x
     assert r == ("Segmen nasabah berdasarkan model clustering. Fitur dominan: aktivitas mobile banking. "
                  "Total aktivitas terdeteksi: 0.")
+
+
+def test_respect_tracking_option(spark, t001):
+    raw = _raw(spark, [(1, "3", "feature_used", "qris", "{}"), (2, "1", "feature_used", "qris", "{}")])
+    off = {r.raw_id: r.error for r in I.validate_events(raw, t001.customers, "admin", "CUS-000049").collect()}
+    on = {r.raw_id: r.error for r in
+          I.validate_events(raw, t001.customers, "admin", "CUS-000049", respect_tracking=True).collect()}
+    # customer 3 has tracking off (3 % 4 == 3)
+    assert off == {1: None, 2: None}
+    assert on == {1: "activity tracking disabled", 2: None}
+
+
+def test_use_balances_option(t001):
+    f = FE.model_features(t001.customers, t001.transactions, t001.accounts, t001.user_activities, AS_OF,
+                          use_balances=True)
+    bal = {r.id: float(r.balance) for r in t001.accounts.collect()}
+    got = {r.customer_pk: r.avg_balance for r in f.collect()}
+    assert all(abs(got[k] - v) < 1e-6 for k, v in bal.items())

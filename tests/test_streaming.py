@@ -40,3 +40,15 @@ def test_stream_windows_equal_batch(spark, t001):
     # every event falls into 7 sliding windows
     total = weekly.agg(F.sum("clicks")).first()[0]
     assert total == 7 * sum(batch.values())
+
+
+def test_append_mode_emits_only_finalized_days(spark, t001):
+    out, ck = ST.scratch(spark, "test-append"), ST.scratch(spark, "test-append-ck")
+    q = ST.append_finalized(ST.daily_clicks(ST.event_stream(spark, "/root/testdata/sf0.001")), out, ck,
+                            available_now=True)
+    q.awaitTermination()
+    got = {r.day: r.clicks for r in spark.read.parquet(out).collect()}
+    full = {r.day: r.clicks for r in ST.stream_daily_clicks(spark, "/root/testdata/sf0.001").collect()}
+    # every emitted day is final and equals the batch count; the newest day waits for the watermark
+    assert got and all(full[d] == n for d, n in got.items())
+    assert max(full) not in got
