@@ -42,6 +42,10 @@ def duck(sf_dir: str):
     return con
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+            "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def compare(spark, sf_dir, name, con=None):
     import __spark_entry__ as E
     df = E.queries()[name](spark, sf_dir)
@@ -49,6 +53,10 @@ def compare(spark, sf_dir, name, con=None):
     con = con or duck(sf_dir)
     res = con.execute(E.oracle_sql()[name])
     d_cols, d_rows = [d[0] for d in res.description], res.fetchall()
+    duck_types = {d[0]: str(d[1]).upper() for d in res.description}
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert TYPE_MAP.get(st, st.upper()) == duck_types.get(f.name), (f.name, st, duck_types.get(f.name))
     assert sorted(s_cols) == sorted(d_cols), (s_cols, d_cols)
     a, b = rows(s_cols, s_rows), rows(d_cols, d_rows)
     assert len(a) == len(b), (len(a), len(b))
