@@ -30,6 +30,20 @@ def in_range(c, start: Column, end: Column) -> Column:
     return (c >= start) & (c < end)
 
 
+PARTITION_DATE = "event_date"
+
+
+def time_window(df, c: str, start: Column, end: Column):
+    """``df`` rows with ``c`` in [start, end). When the table is stored
+    partitioned by day (``event_date``), the same range is also put on the
+    partition column so the scan skips whole days (partition pruning); the
+    exact filter on ``c`` still applies inside the kept days."""
+    out = df.filter(in_range(c, start, end))
+    if PARTITION_DATE in df.columns:
+        out = out.filter((F.col(PARTITION_DATE) >= F.to_date(start)) & (F.col(PARTITION_DATE) <= F.to_date(end)))
+    return out
+
+
 def is_impression(c="event_type") -> Column:
     return col(c).isin(*S.IMPRESSION_EVENTS)
 

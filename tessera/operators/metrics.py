@@ -71,7 +71,7 @@ def dashboard_metrics(events: DataFrame, as_of, segment: str | None = None,
     now = X.ntz(as_of)
     this_start = X.days_before(now, 7)
     last_start = X.days_before(now, 14)
-    ev = events.filter(X.in_range("created_at", last_start, now))
+    ev = X.time_window(events, "created_at", last_start, now)
     if segment:
         if user_segments is None or segments is None:
             raise ValueError("segment filter needs user_segments and segments")
@@ -108,7 +108,7 @@ def weekly_clicks_chart(events: DataFrame, as_of) -> DataFrame:
     now = X.ntz(as_of)
     monday = X.week_monday(now)
     week_end = F.timestamp_add("DAY", F.lit(7), monday)
-    daily = (events.filter(X.is_click() & X.in_range("created_at", monday, week_end))
+    daily = (X.time_window(events, "created_at", monday, week_end).filter(X.is_click())
              .groupBy(F.to_date("created_at").alias("day"))
              .agg(F.count(F.lit(1)).alias("clicks")))
     calendar = spark.range(7).select(

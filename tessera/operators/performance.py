@@ -26,7 +26,7 @@ def window_bounds(as_of, days: int):
 
 def events_in_window(events: DataFrame, as_of, days: int) -> DataFrame:
     start, end = window_bounds(as_of, days)
-    return events.filter(X.in_range("created_at", start, end))
+    return X.time_window(events, "created_at", start, end)
 
 
 def customer_event_counts(events: DataFrame, as_of, days: int = S.DEFAULT_DAYS) -> DataFrame:

@@ -16,6 +16,12 @@ def append_events(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("event_date").parquet(path))
 
 
+def read_events_table(spark, path: str) -> DataFrame:
+    """The date-partitioned event table written by :func:`append_events`
+    (``event_date`` is the partition column the reports prune on)."""
+    return spark.read.parquet(path)
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
     """Replace only the partitions present in ``df`` (dynamic overwrite),
     e.g. re-running one day's roll-up."""

@@ -100,3 +100,17 @@ def test_visible_rows_admin_and_customer(t001):
     mine = C.visible_rows(ev, "customer", 7)
     assert mine.count() == ev.filter(F.col("customer_id") == 7).count()
     assert C.admin_only(ev, "customer").count() == 0
+
+
+def test_partitioned_events_prune_days(spark, t001):
+    from tessera.operators import metrics as M
+    from tessera.operators import performance as P
+    d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
+    sinks.append_events(t001.analytics_events, f"{d}/events")
+    stored = sinks.read_events_table(spark, f"{d}/events")
+    a = P.performance_overview(t001.customers, stored, "2024-01-31 00:00:00", 7).drop("date_range").first()
+    b = P.performance_overview(t001.customers, t001.analytics_events, "2024-01-31 00:00:00", 7) \
+        .drop("date_range").first()
+    assert a == b
+    plan = M.dashboard_metrics(stored, "2024-01-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date#" in plan
