@@ -136,29 +136,39 @@ def segment_upsert(segments: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.unionByName(fresh)
 
 
-def user_segment_upsert(user_segments: DataFrame, resolved: DataFrame, new_segments: DataFrame,
-                        as_of) -> tuple[DataFrame, DataFrame]:
-    """Apply resolved batch rows (``pos``, ``cid``, ``segment_name``,
-    ``confidence``) to ``user_segments`` in order.
-
-    Returns (next snapshot, per-row actions). The last row of a customer
-    wins and stamps ``created_at = as_of``; a row is ``inserted`` only when
-    it is its customer's first row and the customer had no assignment.
-    """
-    from tessera.functions.expr import ntz
-
+def _resolved_rows(resolved: DataFrame, new_segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     seg_ids = new_segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"))
     rows = resolved.join(seg_ids, "segment_name")
     per_customer = rows.groupBy("cid").agg(
         F.max(F.struct("pos", "segment_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).alias("_last"),
         F.min("pos").alias("first_pos"))
+    return rows, per_customer
+
+
+def user_segment_actions(user_segments: DataFrame, resolved: DataFrame, new_segments: DataFrame) -> DataFrame:
+    """Per batch row: ``inserted`` only for a customer's first row when the
+    customer had no assignment, else ``updated`` (later rows update the row
+    the first one inserted)."""
+    rows, per_customer = _resolved_rows(resolved, new_segments)
     had = user_segments.select(F.col("customer_id").alias("cid")).distinct().withColumn("_had", F.lit(True))
-    actions = (rows.join(per_customer.select("cid", "first_pos"), "cid")
-               .join(had, "cid", "left")
-               .select("pos", "cid", "customer_code", "segment_name", "segment_id",
-                       F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                       F.when((F.col("pos") == F.col("first_pos")) & F.col("_had").isNull(), "inserted")
-                        .otherwise("updated").alias("action")))
+    return (rows.join(per_customer.select("cid", "first_pos"), "cid")
+            .join(had, "cid", "left")
+            .select("pos", "cid", "customer_code", "segment_name", "segment_id",
+                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                    F.when((F.col("pos") == F.col("first_pos")) & F.col("_had").isNull(), "inserted")
+                     .otherwise("updated").alias("action")))
+
+
+def user_segment_upsert(user_segments: DataFrame, resolved: DataFrame, new_segments: DataFrame,
+                        as_of) -> DataFrame:
+    """Next ``user_segments`` snapshot after applying resolved batch rows
+    (``pos``, ``cid``, ``segment_name``, ``confidence``) in order: the last
+    row of a customer wins and stamps ``created_at = as_of``; customers
+    without an assignment get one, with ids after the current maximum in
+    order of their first row."""
+    from tessera.functions.expr import ntz
+
+    _, per_customer = _resolved_rows(resolved, new_segments)
     t = user_segments.withColumnRenamed("customer_id", "cid")
     j = t.join(per_customer, "cid", "full_outer")
     now = ntz(as_of)
@@ -171,7 +181,27 @@ def user_segment_upsert(user_segments: DataFrame, resolved: DataFrame, new_segme
         F.col("cid").alias("customer_id"), F.col("_last.segment_id").alias("segment_id"),
         F.col("_last.confidence").alias("confidence"), now.alias("created_at"), "first_pos")
     fresh = sequence_ids(fresh, ["first_pos"], max_id(user_segments), "id").drop("first_pos")
-    return updated.unionByName(fresh.select(*updated.columns)), actions
+    return updated.unionByName(fresh.select(*updated.columns))
+
+
+class LazyOutputs(dict):
+    """Outputs of a job, each built on first access (building some of them
+    runs jobs, e.g. id allocation, that other outputs do not need)."""
+
+    def __init__(self, **factories):
+        super().__init__()
+        self._factories = factories
+
+    def __getitem__(self, key):
+        if not dict.__contains__(self, key):
+            dict.__setitem__(self, key, self._factories[key]())
+        return dict.__getitem__(self, key)
+
+    def __contains__(self, key):
+        return key in self._factories
+
+    def keys(self):
+        return self._factories.keys()
 
 
 def apply_segment_updates(batch: DataFrame, customers: DataFrame, segments: DataFrame,
@@ -190,11 +220,13 @@ def apply_segment_updates(batch: DataFrame, customers: DataFrame, segments: Data
     ok = F.coalesce(rejected.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
     valid = checked.filter(F.col("error").isNull() & ok)
     new_segments = segment_upsert(segments, valid)
-    new_user_segments, actions = user_segment_upsert(user_segments, valid, new_segments, as_of)
-    results = actions.select("pos", F.col("customer_code").alias("customer_id"), "segment_name",
-                             "confidence", "action")
-    return {"segments": new_segments, "user_segments": new_user_segments, "results": results,
-            "rejected": rejected.select("pos", "customer_id", "segment_name", "error")}
+    return LazyOutputs(
+        segments=lambda: new_segments,
+        user_segments=lambda: user_segment_upsert(user_segments, valid, new_segments, as_of),
+        results=lambda: user_segment_actions(user_segments, valid, new_segments).select(
+            "pos", F.col("customer_code").alias("customer_id"), "segment_name", "confidence", "action"),
+        rejected=lambda: rejected.select("pos", "customer_id", "segment_name", "error"),
+    )
 
 
 # -- K3 / L33 ----------------------------------------------------------------------
