@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera import schemas as S
 from tessera.functions import expr as X
 from tessera.functions.joins import unique_aliases
 from tessera.operators.merge import max_id, sequence_ids
