@@ -11,7 +11,8 @@ from tessera.operators.merge import max_id, sequence_ids
 
 
 def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str = "admin",
-                    principal_code: str | None = None, respect_tracking: bool = False) -> DataFrame:
+                    principal_code: str | None = None, respect_tracking: bool = False,
+                    aliases: DataFrame | None = None) -> DataFrame:
     """Check raw events (``raw_id``, ``customer_id`` key, ``event_type``,
     ``feature``, ``metadata`` text, ``received_at``); the first failing rule
     wins: event_type required, feature required, actor allowed, customer
@@ -22,11 +23,15 @@ def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str =
     The reference stores the tracking flag but never checks it at ingest;
     ``respect_tracking=True`` additionally rejects events of customers who
     turned tracking off.
+
+    ``aliases`` may pass a prepared :func:`unique_aliases` table (e.g. one
+    checkpointed when a stream starts), so a stream-static join does not
+    rebuild the index in every micro-batch.
     """
     key = F.when(F.coalesce(F.col("customer_id"), F.lit("")) == "", F.lit(principal_code)) \
            .otherwise(F.col("customer_id"))
     r = raw.withColumn("_key", key)
-    aliases = unique_aliases(customers)
+    aliases = aliases if aliases is not None else unique_aliases(customers)
     if respect_tracking:
         flags = customers.select(F.col("id").alias("resolved_id"),
                                  F.coalesce("is_activity_tracking_enabled", F.lit(True)).alias("_tracking"))

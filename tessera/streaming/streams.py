@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
+from tessera.functions.joins import unique_aliases
 from tessera.operators.ingest import DEFAULT_PRINCIPAL, raw_event_feed, validate_events
 from tessera.operators.merge import apply_segment_updates, max_id, sequence_ids
 from tessera.session import ensure_checkpoint_dir
@@ -59,7 +60,7 @@ def _run(q) -> None:
 # -- I1 ----------------------------------------------------------------------------
 def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, existing_events: DataFrame,
                   out: str, principal_role: str = "admin", principal_code: str | None = DEFAULT_PRINCIPAL,
-                  trigger_available_now: bool = True):
+                  trigger_available_now: bool = True, freeze_customers: bool = False):
     """Validate a stream of raw events against the customer table
     (stream-static join), number accepted rows after every id already
     given out, and write accepted / rejected rows per micro-batch.
@@ -68,7 +69,13 @@ def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, exi
     under ``marks/batch_id=<n>``; batch n starts from batch n-1's mark, so
     no batch rescans earlier output, and a retried batch recomputes the
     same ids."""
-    checked = validate_events(raw, customers, principal_role, principal_code)
+    aliases = None
+    if freeze_customers:
+        # build the key index once per stream run instead of once per
+        # micro-batch; customers created later are seen after a restart
+        ensure_checkpoint_dir(spark)
+        aliases = unique_aliases(customers).checkpoint(eager=True)
+    checked = validate_events(raw, customers, principal_role, principal_code, aliases=aliases)
     accepted_root, rejected_root, marks = f"{out}/accepted", f"{out}/rejected", f"{out}/marks"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

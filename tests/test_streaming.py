@@ -52,3 +52,14 @@ def test_append_mode_emits_only_finalized_days(spark, t001):
     # every emitted day is final and equals the batch count; the newest day waits for the watermark
     assert got and all(full[d] == n for d, n in got.items())
     assert max(full) not in got
+
+
+def test_stream_ingest_with_frozen_customer_index(spark, t001):
+    out = ST.scratch(spark, "test-frozen")
+    q = ST.stream_ingest(spark, raw_event_feed(ST.event_stream(spark, "/root/testdata/sf0.001")), t001.customers,
+                         t001.analytics_events, out, freeze_customers=True)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{out}/accepted").drop("batch_id")
+    want = ingest_events(raw_event_feed(t001.analytics_events), t001.customers, t001.analytics_events,
+                         "admin", DEFAULT_PRINCIPAL)["accepted"]
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
