@@ -809,3 +809,11 @@ SELECT t.id AS test_id, t.test_name,
 FROM ab_tests t LEFT JOIN ab_test_assignments a ON a.ab_test_id = t.id GROUP BY t.id, t.test_name"""))
 def _ab_test_assigned(t: Tables) -> DataFrame:
     return P.ab_test_assigned(t.ab_tests, t.ab_test_assignments)
+
+
+@query("segment_master", O.with_views(
+    "SELECT id, name, COALESCE(description, '') AS description FROM new_segments", *SEG_CTES))
+def _segment_master(t: Tables) -> DataFrame:
+    """The segment list (L24) of the segments table as it stands after the
+    derived segment batch has been applied."""
+    return C.segment_master(_segment_job(t)["segments"])
