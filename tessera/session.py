@@ -53,3 +53,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def scale_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.1,
+               target_partition_bytes: int = 128 << 20, max_partitions: int = 100_000) -> dict:
+    """Settings for a run over ``input_bytes`` of parquet on ``total_cores``.
+
+    Scan splits and post-shuffle partitions aim at ``target_partition_bytes``
+    (fits comfortably in an executor core's share of memory). Shuffled bytes
+    are estimated as ``shuffle_fraction`` of the input: the reports prune
+    columns and time ranges at the scan and aggregate map-side, so they
+    shuffle a small share of what they read. AQE starts from that many
+    partitions and coalesces small ones; a partition over 4x the target (and
+    5x the median) is treated as skewed and split.
+    """
+    import math
+
+    shuffle_bytes = max(1, int(input_bytes * shuffle_fraction))
+    parts = min(max_partitions, max(2 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }

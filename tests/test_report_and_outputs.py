@@ -114,3 +114,12 @@ def test_partitioned_events_prune_days(spark, t001):
     assert a == b
     plan = M.dashboard_metrics(stored, "2024-01-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date#" in plan
+
+
+def test_scale_conf_sizes_partitions():
+    from tessera.session import scale_conf
+    big = scale_conf(100 * 10**12, 8000)           # 100 TB on 1000 executors x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 74506
+    small = scale_conf(40 * 10**6, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
