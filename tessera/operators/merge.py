@@ -210,7 +210,9 @@ def apply_segment_updates(batch: DataFrame, customers: DataFrame, segments: Data
     (all-or-nothing) and ``rejected`` holds the failing rows. Otherwise
     returns the next ``segments`` / ``user_segments`` snapshots and the
     per-row results. The gate is a scalar subquery (count of failures), so
-    the decision stays inside the plan."""
+    the decision stays inside the plan. Outputs are built on first access,
+    so asking only for ``results`` or ``segments`` skips the id allocation
+    of new ``user_segments`` rows."""
     ensure_checkpoint_dir(batch.sparkSession)
     # The validated batch feeds the gate, both upserts and the results; it is
     # written once (reliable checkpoint) so each of them reads that copy
