@@ -12,13 +12,25 @@ import os
 import sys
 
 
+def _lines(path: str):
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+        with open(path, "rb") as fh:
+            yield from io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(fh), encoding="utf-8")
+    else:
+        with open(path, encoding="utf-8") as fh:
+            yield from fh
+
+
 def events(root: str):
-    files = sorted(p for p in glob.glob(os.path.join(root, "**", "*"), recursive=True) if os.path.isfile(p))
+    files = sorted(p for p in glob.glob(os.path.join(root, "**", "events_*"), recursive=True)
+                   if os.path.isfile(p) and not p.endswith(".crc"))
     for f in files:
-        with open(f) as fh:
-            for line in fh:
-                if '"SparkListenerStageCompleted"' in line:
-                    yield json.loads(line)["Stage Info"]
+        for line in _lines(f):
+            if '"SparkListenerStageCompleted"' in line:
+                yield json.loads(line)["Stage Info"]
 
 
 def main():
