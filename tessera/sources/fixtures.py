@@ -92,6 +92,18 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    TABLE_NAMES = ("customers", "customer_profiles", "accounts", "transactions", "analytics_events",
+                   "user_activities", "segments", "user_segments", "user_segment_history", "recommendations",
+                   "ab_tests", "ab_test_assignments")
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every table as a temporary view, for ``spark.sql``."""
+        names = []
+        for name in self.TABLE_NAMES:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
     # -- facts and customer-sized tables ---------------------------------
     @cached_property
     def customers(self) -> DataFrame:

@@ -123,3 +123,14 @@ def test_scale_conf_sizes_partitions():
     small = scale_conf(40 * 10**6, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+
+
+def test_sql_views_give_the_same_report(spark, t001):
+    from tessera.operators import metrics as M
+    t001.register_views("t_")
+    sql = spark.sql("""
+        SELECT COUNT(*) AS total_events,
+               COUNT_IF(event_type IN ('recommendation_click', 'recommendation_clicked')) AS clicks
+        FROM t_analytics_events""").first()
+    df = M.metric_summary(t001.analytics_events).first()
+    assert (sql.total_events, sql.clicks) == (df.total_events, df.clicks)
