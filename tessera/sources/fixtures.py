@@ -63,9 +63,10 @@ def analytics_from_events(e: DataFrame) -> DataFrame:
     et = F.col("event_type")
     even = F.col("event_id") % 2 == 0
     k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int") % 12
-    feature = F.lit(None).cast("string")
-    for i in reversed(range(len(EVENT_FEATURES))):
-        feature = F.when(k == i, F.lit(EVENT_FEATURES[i])).otherwise(feature)
+    # one array lookup: the regex runs once per row (a CASE chain would
+    # evaluate it again in every branch condition); bucket 11 -> NULL
+    names = F.array(*[F.lit(x) for x in EVENT_FEATURES], F.lit(None).cast("string"))
+    feature = F.try_element_at(names, (k + 1).cast("int"))
     return e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("customer_id"),
