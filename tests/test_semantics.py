@@ -201,3 +201,22 @@ def test_upsert_updates_and_inserts(spark):
     src = spark.createDataFrame([("b", 20.0, 1), ("b", 21.0, 2), ("c", 3.0, 1)], "k string, v double, seq int")
     out = {r.k: (r.id, r.v) for r in G.upsert(tgt, src, ["k"], ["v"], order_col="seq").collect()}
     assert out == {"a": (1, 1.0), "b": (2, 21.0), "c": (3, 3.0)}
+
+
+def test_engagement_dashboard_without_clicked_features(spark):
+    rows = [(1, 1, "recommendation_viewed", "qris", "2024-01-30 10:00:00"),
+            (2, 1, "recommendation_click", "", "2024-01-30 10:00:00")]   # a click, but no named feature
+    out = M.engagement_dashboard(events(spark, rows), AS_OF).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r.rank, r.feature, r.total_clicks) == (None, None, None)
+    assert (r.ctr, r.total_clicks_this_week, r.period) == (100.0, 1, "2024-01-24 to 2024-01-31")
+
+
+def test_empty_segment_ranks_last(t01):
+    ranked = P.top_performing_segments(t01.segments, t01.user_segments, t01.analytics_events, AS_OF, 30, n=5) \
+        .orderBy("rank").collect()
+    assert ranked[-1].segment_name == "empty_segment"
+    assert ranked[-1].engagement_rate == 0.0 and ranked[-1].customer_count == 0
+    rates = [r.engagement_rate for r in ranked[:-1]]
+    assert rates == sorted(rates, reverse=True)
