@@ -19,6 +19,12 @@ def ntz(text: str) -> Column:
     return F.lit(str(text)).cast("timestamp_ntz")
 
 
+def now_wall_clock() -> Column:
+    """The query's (or micro-batch's) current time as a UTC wall-clock
+    TIMESTAMP_NTZ, independent of the session time zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), ntz("1970-01-01 00:00:00"))
+
+
 def days_before(ts: Column, days: int) -> Column:
     """``ts - n days`` on a TIMESTAMP_NTZ (calendar days, like AddDate)."""
     return F.timestamp_add("DAY", F.lit(-int(days)), ts)

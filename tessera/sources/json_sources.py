@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
+from tessera.functions import expr as X
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -16,16 +17,27 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event submissions, one JSON object per line."""
+    """Event submissions, one JSON object per line, in the raw shape the
+    ingest job takes: ``raw_id`` (unique per row), the four input fields
+    (an object ``metadata`` keeps its raw text) and ``received_at`` (read
+    time, UTC wall clock)."""
     df = spark.read.schema(S.EVENT_INPUT).json(path)
-    return df.withColumn("raw_id", F.monotonically_increasing_id())
+    return df.select(F.monotonically_increasing_id().alias("raw_id"), "customer_id", "event_type", "feature",
+                     "metadata", X.now_wall_clock().alias("received_at"))
 
 
 def read_events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same raw shape from a file stream: ``received_at`` is the
+    micro-batch time; ``raw_id`` hashes the source file and the submitted
+    fields (row numbering is not available on streams) and only orders
+    submissions that arrive in the same micro-batch."""
     reader = spark.readStream.schema(S.EVENT_INPUT)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    df = reader.json(path)
+    raw_id = F.xxhash64(F.input_file_name(), "customer_id", "event_type", "feature", "metadata")
+    return df.select(raw_id.alias("raw_id"), "customer_id", "event_type", "feature", "metadata",
+                     X.now_wall_clock().alias("received_at"))
 
 
 def read_segment_batch(spark: SparkSession, path: str) -> DataFrame:

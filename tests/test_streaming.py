@@ -63,3 +63,29 @@ def test_stream_ingest_with_frozen_customer_index(spark, t001):
     want = ingest_events(raw_event_feed(t001.analytics_events), t001.customers, t001.analytics_events,
                          "admin", DEFAULT_PRINCIPAL)["accepted"]
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_json_event_submissions_batch_and_stream(spark, t001):
+    import json
+    import os
+
+    from tessera.sources import json_sources as J
+    src = ST.scratch(spark, "test-json-events")
+    local = src.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    subs = [{"customer_id": "CUS-000001", "event_type": "feature_used", "feature": "qris", "metadata": {"k": 1}},
+            {"customer_id": "2", "event_type": "recommendation_click", "feature": "topup"},
+            {"customer_id": "CUS-999999", "event_type": "feature_used", "feature": "qris"},
+            {"event_type": "", "feature": "qris"}]
+    with open(f"{local}/part-0.json", "w") as fh:
+        fh.write("\n".join(json.dumps(s) for s in subs) + "\n")
+    raw = J.read_events(spark, src).withColumn("received_at", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    res = ingest_events(raw, t001.customers, t001.analytics_events, "admin", DEFAULT_PRINCIPAL)
+    got = {r.feature: (r.customer_id, r.metadata) for r in res["accepted"].collect()}
+    # an object value is kept as its raw text, as written in the submission
+    assert got == {"qris": (1, '{"k": 1}'), "topup": (2, "{}")}
+    assert sorted(r.error for r in res["rejected"].collect()) == ["event_type is required", "user not found"]
+    stream = J.read_events_stream(spark, src)
+    out = ST.scratch(spark, "test-json-ingest")
+    ST.stream_ingest(spark, stream, t001.customers, t001.analytics_events, out).awaitTermination()
+    assert spark.read.parquet(f"{out}/accepted").count() == 2
