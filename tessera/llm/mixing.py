@@ -115,10 +115,9 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     keyed = docs.select("*", h1.alias("__h1"), h2.alias("__h2"))
     mixed = mix(keyed, doc_id, text, source, carry=("__h1", "__h2"), **options)
     # rows that are equal in all columns are one key here: their copies add up
-    times = mixed.groupBy("__h1", "__h2").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows"))
-    times = shared_table(times.filter("__n > 0"), "copies")
-    joined = keyed.join(times, ["__h1", "__h2"])
-    single = joined.filter("__rows = 1")
-    repeated = joined.filter("__rows > 1").dropDuplicates(["__h1", "__h2"])
-    return single.unionByName(repeated).withColumn(
-        "__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in cols])
+    times = mixed.groupBy("__h1", "__h2").agg(F.sum("copies").alias("__n")).filter("__n > 0")
+    times = shared_table(times, "copies")
+    # the join leaves the rows partitioned and sorted by the key, so the next step moves nothing
+    once = keyed.join(times, ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"])
+    again = F.sequence(F.lit(1), F.col("__n").cast("int"))
+    return once.withColumn("__i", F.explode(again)).select(*[F.col(f"`{c}`") for c in cols])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=R
     """
     spark = docs.sparkSession
     version = rule_version(rules)
-    ledger = ledger or f"{ensure_checkpoint_dir(spark)}/ledger-{__import__('uuid').uuid4().hex}"
+    ledger = ledger or f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
     docs = docs.drop("blob", "spans")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     addressed = docs.withColumn("blob", F.sha2(body, 256))
@@ -136,7 +137,10 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = [r[0] for r in BASE_RULES]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [count(kind) for kind in base]
     return found.select(doc_id, *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
                         .alias("base_sha256"), joined(F.col("spans")).alias("spans"))
