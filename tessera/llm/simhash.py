@@ -76,7 +76,8 @@ def _signed(masks: list[int]) -> F.Column:
 
 
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = 64) -> DataFrame:
-    """Pairs ``(a, b)`` of the distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits."""
+    """Pairs ``(a, b)`` of the distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits
+    (``segments`` from 2 on; the balls, and so the plan, grow with ``max_bits``)."""
     size = BITS // segments
     radius, rest = divmod(max_bits, segments)
     # if no segment had so few differing bits, the sum would exceed max_bits
