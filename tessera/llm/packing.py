@@ -87,7 +87,19 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], doc_i
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns ``(lengths, number of sequences)`` that use every piece once."""
+    """Patterns ``(lengths, number of sequences)`` that use every piece once.
+
+    Small lengths spent on exact fills among themselves can be missed later
+    beside large ones, so plans whose exact fills start from all lengths, from
+    those over half the capacity, and from none are made, and the one with the
+    fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, least) for least in (1, capacity // 2 + 1, capacity)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact fills start from lengths of at least ``least``."""
     left = Counter({n: c for n, c in counts.items() if c > 0})
     sizes = sorted(left, reverse=True)
     out: list[tuple[tuple[int, ...], int]] = []
@@ -119,6 +131,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                         yield (x, y, z)
 
     for big in sizes:
+        if big < least:
+            break
         if left[big] and big == capacity:
             use((big,))
             continue

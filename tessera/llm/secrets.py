@@ -94,7 +94,7 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=R
         unseen = unseen.join(seen, "blob", "left_anti")
     unseen = shared_table(unseen.select("blob", "k.h1", "k.h2"), "unseen")
     bodies = addressed.select("blob", h1.alias("h1"), h2.alias("h2"), body.alias("body"))
-    todo = bodies.join(unseen, ["blob", "h1", "h2"], "left_semi").select("blob", "body")
+    todo = bodies.join(unseen, ["blob", "h1", "h2"], "left_semi").dropDuplicates(["blob", "h1", "h2"]).select("blob", "body")
 
     def rows(blob, content):
         yield blob, version, [{"kind": k, "start": s, "end": e} for k, s, e in find_spans(content, rules)]

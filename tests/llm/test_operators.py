@@ -171,7 +171,7 @@ def test_plan_uses_every_piece(counts):
     assert used == Counter(counts)
     bins, total = sum(n for _, n in made), sum(k * v for k, v in counts.items())
     assert bins >= -(-total // 40)
-    # no worse than first fit decreasing by more than a few sequences
+    # no worse than first fit decreasing
     free = []
     for x in sorted(Counter(counts).elements(), reverse=True):
         k = next((i for i, f in enumerate(free) if f >= x), None)
@@ -179,7 +179,7 @@ def test_plan_uses_every_piece(counts):
             free.append(40 - x)
         else:
             free[k] -= x
-    assert bins <= len(free) * 1.05 + 2
+    assert bins <= len(free) + 1
 
 
 @pytest.mark.parametrize("data", ["docs", "small"])
@@ -208,7 +208,7 @@ def test_packing(data, request):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(places) <= -(-sum(r.length for r in got) // 1024) * 1.02 + 2
+    assert len(places) <= -(-sum(r.length for r in got) // 1024) * 1.02 + 4
 
 
 def test_encoder_reads_special_strings_like_the_tokenizer():
