@@ -24,11 +24,11 @@ def predictions(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
 def predict_and_update(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
                        customer_ids: list[str] | None = None) -> dict[str, DataFrame]:
     """Score the given customers (any role; all when ``customer_ids`` is
-    None) and upsert their segments in one all-or-nothing batch."""
+    None, none for an empty list) and upsert their segments in one all-or-nothing batch."""
     cust = t.customers
-    if customer_ids:
-        cust = cust.filter(F.col("customer_id").isin(*customer_ids)
-                           | F.col("id").cast("string").isin(*customer_ids))
+    if customer_ids is not None:
+        cust = cust.filter(F.col("customer_id").isin(customer_ids)
+                           | F.col("id").cast("string").isin(customer_ids))
     batch = predictions(t, as_of, model, cust)
     return apply_segment_updates(batch, t.customers, t.segments, t.user_segments, as_of)
 

@@ -25,13 +25,13 @@ SELECT c_custkey AS id, c_custkey AS customer_id, c_name AS full_name,
        TIMESTAMP '2023-12-31 00:00:00' AS created_at
 FROM customer WHERE c_custkey % 11 <> 10"""),
     ("accounts", """
-SELECT c_custkey AS id, c_custkey AS customer_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS account_no,
+SELECT c_custkey AS id, c_custkey AS customer_id, printf('%010d', c_custkey) AS account_no,
        CASE c_custkey % 3 WHEN 0 THEN 'savings' WHEN 1 THEN 'investment' ELSE 'e_wallet' END AS type,
        CAST(c_acctbal AS DECIMAL(15,2)) AS balance, 'IDR' AS currency,
        TIMESTAMP '2023-12-31 00:00:00' AS created_at
 FROM customer"""),
     ("transactions", """
-SELECT o_orderkey AS id, o_custkey AS account_id, concat('TRX-', lpad(CAST(o_orderkey AS VARCHAR), 6, '0')) AS trx_id,
+SELECT o_orderkey AS id, o_custkey AS account_id, concat('TRX-', printf('%06d', o_orderkey)) AS trx_id,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'Transfer' WHEN '2-HIGH' THEN 'bill payment' WHEN '3-MEDIUM' THEN 'topup'
             WHEN '4-NOT SPECIFIED' THEN 'qris' ELSE 'investment' END AS type,
        CAST(o_totalprice AS DECIMAL(15,2)) AS amount,

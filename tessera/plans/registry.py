@@ -611,8 +611,8 @@ SELECT (SELECT MAX(id) FROM accounts) + ROW_NUMBER() OVER (ORDER BY s.account_no
        CAST(s.balance AS DOUBLE), s.currency, s.created_at
 FROM src s WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.account_no = s.account_no)""",
     ("src", f"""
-SELECT CASE WHEN o_custkey % 9 = 0 THEN 'N' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
-            ELSE lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS account_no,
+SELECT CASE WHEN o_custkey % 9 = 0 THEN 'N' || printf('%09d', o_custkey)
+            ELSE printf('%010d', o_custkey) END AS account_no,
        o_custkey AS customer_id, 'savings' AS type, CAST(o_totalprice AS DECIMAL(15,2)) AS balance, 'IDR' AS currency,
        {O.AS_OF} AS created_at
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn

@@ -42,21 +42,23 @@ def get_session(master: str | None = None, app: str = "tessera",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a local
+    master gets a fresh scratch folder and any other an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def scale_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.1,
-               target_partition_bytes: int = 128 << 20, max_partitions: int = 100_000) -> dict:
+               target_partition_bytes: int = 128 << 20) -> dict:
     """Settings for a run over ``input_bytes`` of parquet on ``total_cores``.
 
     Scan splits and post-shuffle partitions aim at ``target_partition_bytes``
@@ -70,7 +72,7 @@ def scale_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.1
     import math
 
     shuffle_bytes = max(1, int(input_bytes * shuffle_fraction))
-    parts = min(max_partitions, max(2 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes)))
+    parts = max(2 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),

@@ -90,8 +90,8 @@ def account_refresh(t: Tables, as_of: str) -> DataFrame:
     latest = o.groupBy("o_custkey").agg(
         F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("l"))
     k = F.col("o_custkey")
-    acct = F.when(k % 9 == 0, F.concat(F.lit("N"), F.lpad(k.cast("string"), 9, "0"))) \
-            .otherwise(F.lpad(k.cast("string"), 10, "0"))
+    acct = F.when(k % 9 == 0, F.concat(F.lit("N"), F.format_string("%09d", k))) \
+            .otherwise(F.format_string("%010d", k))
     return latest.select(acct.alias("account_no"), k.alias("customer_id"), F.lit("savings").alias("type"),
                          F.col("l.o_totalprice").cast("decimal(15,2)").alias("balance"),
                          F.lit("IDR").alias("currency"),

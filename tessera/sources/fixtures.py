@@ -133,7 +133,7 @@ class Tables:
         k = F.col("c_custkey")
         return c.select(
             k.alias("id"), k.alias("customer_id"),
-            F.lpad(k.cast("string"), 10, "0").alias("account_no"),
+            F.format_string("%010d", k).alias("account_no"),
             F.when(k % 3 == 0, "savings").when(k % 3 == 1, "investment").otherwise("e_wallet").alias("type"),
             F.col("c_acctbal").cast("decimal(15,2)").alias("balance"),
             F.lit("IDR").alias("currency"),
@@ -148,7 +148,7 @@ class Tables:
         return o.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("account_id"),
-            F.concat(F.lit("TRX-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("trx_id"),
+            F.concat(F.lit("TRX-"), F.format_string("%06d", F.col("o_orderkey"))).alias("trx_id"),
             F.when(p == "1-URGENT", "Transfer").when(p == "2-HIGH", "bill payment")
              .when(p == "3-MEDIUM", "topup").when(p == "4-NOT SPECIFIED", "qris")
              .otherwise("investment").alias("type"),
