@@ -2,9 +2,8 @@
 
 Only the raw input tables are registered on the DuckDB side, so every oracle
 statement starts with the fixture views as CTEs (same contents as
-:mod:`tessera.sources.fixtures`). The statements are written the way the
-reference writes them (OR-key joins, LATERAL-style row_number, joins on raw
-events), independently of the Spark plans they check.
+:mod:`tessera.sources.fixtures`). The statements follow the meaning of each
+report and count in another way than the Spark plans they check.
 """
 
 from __future__ import annotations
