@@ -149,3 +149,20 @@ def days_between_floor(later: Column, earlier: Column) -> Column:
     """floor((later - earlier) / 1 day) on NTZ timestamps, session-zone independent."""
     secs = F.timestamp_diff("SECOND", earlier, later)
     return F.floor(secs / F.lit(86400))
+
+
+def valid_json(c: str | Column) -> Column:
+    """Whether a text is exactly one JSON value: repeated keys are allowed, text after
+    the value is not.
+
+    The reader of arrays stops at the end of the array, so the text is read as the only
+    item of one array and as the first of two: a text that closes the array itself
+    gives both the same length.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    text = F.col(c) if isinstance(c, str) else c
+
+    def items(tail: str) -> Column:
+        return F.size(F.from_json(F.concat(F.lit("["), text, F.lit(tail)), "array<string>", strict))
+
+    return F.coalesce((items("]") == 1) & (items(",0]") == 2), F.lit(False))

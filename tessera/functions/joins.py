@@ -1,24 +1,12 @@
-"""Join helpers: size-checked broadcast and the OR-key -> equi-join rewrite."""
+"""Join helpers: the OR-key -> equi-join rewrite."""
+
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension we broadcast explicitly (rows). Beyond it the plain join
-# stays and AQE picks the strategy from runtime sizes.
-DIM_MAX_ROWS = 200_000
-
-
-def small_side(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1).count()``), which
-    stops reading after ``max_rows + 1`` rows. Larger inputs are returned
-    unhinted, so the join falls back to a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from tessera.session import ensure_checkpoint_dir
 
 
 def customer_aliases(customers: DataFrame) -> DataFrame:
@@ -41,3 +29,17 @@ def unique_aliases(customers: DataFrame) -> DataFrame:
         F.min(F.struct("resolved_id", "resolved_customer_id")).alias("_c"))
     return agg.select("alias", F.col("_c.resolved_id").alias("resolved_id"),
                       F.col("_c.resolved_customer_id").alias("resolved_customer_id"))
+
+
+def stored_aliases(customers: DataFrame) -> DataFrame:
+    """:func:`unique_aliases`, written once (reliable checkpoint). A join with it
+    reads it through a shuffle of its own, which AQE can split on a hot key; an aggregate
+    made in the same plan cannot be split."""
+    ensure_checkpoint_dir(customers.sparkSession)
+    return unique_aliases(customers).checkpoint(eager=True)
+
+
+def spread_key(key: Column, row: Column) -> Column:
+    """``key``; an empty or missing one becomes a text that names nobody (keys hold no NUL)
+    and differs per row, so such rows do not meet in one task."""
+    return F.when(F.coalesce(key, F.lit("")) == "", F.concat(F.lit("\0"), row.cast("string"))).otherwise(key)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import customer_aliases, small_side
+from tessera.functions.joins import customer_aliases
 
 
 # -- B1 / B11 ----------------------------------------------------------------
@@ -62,8 +62,8 @@ def top_segment(user_segments: DataFrame, segments: DataFrame, join_first: bool
     ``join_first=True``: pick the best among assignments whose segment exists
     (``.. JOIN segments .. LIMIT 1``).
     """
-    seg = small_side(segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"),
-                                     F.col("description").alias("segment_description")))
+    seg = segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"),
+                          F.col("description").alias("segment_description"))
     if join_first:
         us = user_segments.join(seg.select("segment_id"), "segment_id", "left_semi")
         return top_assignment(us).join(seg, "segment_id")
@@ -84,7 +84,7 @@ def users_with_segments(customers: DataFrame, profiles: DataFrame, user_segments
                         segments: DataFrame) -> DataFrame:
     """Profiles plus the top-1 segment: '' / 0.0 / NULL when none."""
     top = top_assignment(user_segments).withColumnRenamed("customer_id", "sid")
-    seg = small_side(segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name")))
+    seg = segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"))
     top = top.join(seg, "segment_id", "left")
     out = user_profiles(customers, profiles)
     out = out.join(top, out["id"] == top["sid"], "left")
@@ -153,6 +153,21 @@ def user_activity(customers: DataFrame, transactions: DataFrame, accounts: DataF
                       "latest_transaction_at", "last_feature_used_at")
 
 
+def user_activity_items(customers: DataFrame, transactions: DataFrame, accounts: DataFrame,
+                        user_activities: DataFrame) -> DataFrame:
+    """The items of every customer's activity object as long rows: one per
+    transaction and one per frequently-used feature (``kind``). Per customer they
+    are listed by ``happened_at``, newest first, and features by ``usage_count``."""
+    tx = user_transactions(transactions, accounts, customers).select(
+        "customer_id", F.lit("transaction").alias("kind"), F.col("trx_id").alias("item"), "type", "amount", "status",
+        F.lit(None).cast("bigint").alias("usage_count"), F.col("created_at").alias("happened_at"))
+    used = frequent_features(user_activities, customers).select(
+        "customer_id", F.lit("feature").alias("kind"), F.col("feature").alias("item"),
+        F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("amount"),
+        F.lit(None).cast("string").alias("status"), "usage_count", F.col("last_used_at").alias("happened_at"))
+    return tx.unionByName(used)
+
+
 # -- L19 / L24 -----------------------------------------------------------------
 def user_segmentation(customers: DataFrame, user_segments: DataFrame, segments: DataFrame,
                       recommendations: DataFrame) -> DataFrame:
@@ -160,12 +175,12 @@ def user_segmentation(customers: DataFrame, user_segments: DataFrame, segments:
     (assignment, recommendation); an assignment whose segment has no
     recommendation keeps one row with NULL rec_* columns. Customers without
     a segment do not appear."""
-    seg = small_side(segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"),
-                                     F.coalesce("description", F.lit("")).alias("description")))
-    rec = small_side(recommendations.select(
+    seg = segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"),
+                          F.coalesce("description", F.lit("")).alias("description"))
+    rec = recommendations.select(
         F.col("segment_id"), F.col("id").alias("rec_id"),
         F.coalesce("feature", F.lit("")).alias("rec_feature"),
-        F.coalesce("reason", F.lit("")).alias("rec_reason"), F.col("priority").alias("rec_priority")))
+        F.coalesce("reason", F.lit("")).alias("rec_reason"), F.col("priority").alias("rec_priority"))
     c = customers.select(F.col("id").alias("cid"), F.col("customer_id").alias("customer_code"))
     us = user_segments.select(F.col("customer_id").alias("cid"), "segment_id", "confidence",
                               F.col("created_at").alias("assigned_at"))

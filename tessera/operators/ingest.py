@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
-from tessera.functions.joins import unique_aliases
+from tessera.functions.joins import spread_key, stored_aliases, unique_aliases
 from tessera.operators.merge import max_id, sequence_ids
 
 
@@ -28,9 +28,9 @@ def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str =
     checkpointed when a stream starts), so a stream-static join does not
     rebuild the index in every micro-batch.
     """
-    key = F.when(F.coalesce(F.col("customer_id"), F.lit("")) == "", F.lit(principal_code)) \
-           .otherwise(F.col("customer_id"))
-    r = raw.withColumn("_key", key)
+    own = F.coalesce(F.col("customer_id"), F.lit("")) == ""
+    r = raw.withColumn("_own", own).withColumn(
+        "_key", F.when(own, F.lit(principal_code)).otherwise(F.col("customer_id")))
     aliases = aliases if aliases is not None else unique_aliases(customers)
     if respect_tracking:
         flags = customers.select(F.col("id").alias("resolved_id"),
@@ -38,14 +38,19 @@ def validate_events(raw: DataFrame, customers: DataFrame, principal_role: str =
         aliases = aliases.join(flags, "resolved_id", "left")
     else:
         aliases = aliases.withColumn("_tracking", F.lit(True))
-    j = r.join(aliases, r["_key"] == aliases["alias"], "left")
+    j = r.join(aliases, spread_key(r["customer_id"], r["raw_id"]) == aliases["alias"], "left")
+    # rows without a key all mean the principal: one row, looked up once
+    me = aliases.filter(F.col("alias") == F.lit(principal_code)).agg(
+        F.first(F.struct("resolved_id", "resolved_customer_id", "_tracking")))
+    for c in ("resolved_id", "resolved_customer_id", "_tracking"):
+        j = j.withColumn(c, F.when(F.col("_own"), me.scalar()[c]).otherwise(F.col(c)))
     meta = F.when(F.coalesce(F.col("metadata"), F.lit("")) == "", F.lit("{}")).otherwise(F.col("metadata"))
     forbidden = F.lit(principal_role != "admin") & (F.coalesce(F.col("_key"), F.lit("")) != F.lit(principal_code or ""))
     error = (F.when(~X.non_empty("event_type"), "event_type is required")
              .when(~X.non_empty("feature"), "feature is required")
              .when(forbidden, "forbidden")
              .when(F.col("resolved_id").isNull(), "user not found")
-             .when(F.try_parse_json(meta).isNull(), "metadata must be valid JSON")
+             .when(~X.valid_json(meta), "metadata must be valid JSON")
              .when(~F.coalesce(F.col("_tracking"), F.lit(True)), "activity tracking disabled"))
     return j.select("raw_id", "customer_id", "event_type", "feature", meta.alias("metadata"), "received_at",
                     F.col("resolved_id").alias("cid"), F.col("resolved_customer_id").alias("customer_code"),
@@ -59,7 +64,9 @@ def ingest_events(raw: DataFrame, customers: DataFrame, existing_events: DataFra
     arrival order (``received_at``, ``raw_id``). ``created_at`` is the
     arrival time. Returns ``accepted`` rows in the ``analytics_events``
     shape and ``rejected`` rows with their error (dead letters)."""
-    checked = validate_events(raw, customers, principal_role, principal_code, respect_tracking)
+    # written once: the numbering and both outputs read that copy
+    checked = validate_events(raw, customers, principal_role, principal_code, respect_tracking,
+                              stored_aliases(customers)).checkpoint(eager=True)
     ok = checked.filter(F.col("error").isNull())
     numbered = sequence_ids(ok, ["received_at", "raw_id"], max_id(existing_events), "id")
     accepted = numbered.select("id", F.col("cid").alias("customer_id"), "event_type", "feature", "metadata",
@@ -71,25 +78,31 @@ def ingest_events(raw: DataFrame, customers: DataFrame, existing_events: DataFra
 
 def validate_registrations(regs: DataFrame, customers: DataFrame) -> DataFrame:
     """Registration rows (``pos``, ``full_name``, ``username``, ``email``):
-    email is required and must not exist yet, neither among customers nor
-    earlier in the batch (the unique constraint the insert would hit)."""
-    taken = customers.select(F.col("email").alias("_e")).withColumn("_taken", F.lit(True)).dropDuplicates(["_e"])
-    first = regs.groupBy(F.col("email").alias("_e")).agg(F.min("pos").alias("_first_pos"))
-    j = regs.join(taken, regs["email"] == taken["_e"], "left").drop("_e") \
-            .join(first, regs["email"] == first["_e"], "left").drop("_e")
-    error = (F.when(F.col("email").isNull(), "email is required")
-             .when(F.col("_taken").isNotNull() | (F.col("pos") != F.col("_first_pos")), "email already registered"))
+    missing fields become empty texts; the email must not exist yet, neither
+    among customers nor earlier in the batch (the unique constraint the
+    insert would hit, also for an empty email)."""
+    filled = regs.select("pos", *[F.coalesce(c, F.lit("")).alias(c) for c in ("full_name", "username", "email")])
+    # first position per email, so that repeats of one email join the customers once
+    first = filled.groupBy("email").agg(F.min("pos").alias("pos"))
+    free = first.join(customers.select("email"), "email", "left_anti").select("pos", F.lit(True).alias("_free"))
+    j = filled.join(free, "pos", "left")
+    error = F.when(F.col("_free").isNull(), "email already registered")
     return j.select("pos", "full_name", "username", "email", error.alias("error"))
 
 
 def onboard_customers(regs: DataFrame, customers: DataFrame, as_of) -> dict[str, DataFrame]:
-    """Register accounts in input order: ids continue the customers
-    sequence, ``customer_id`` is ``CUS-%06d``, role is always ``customer``,
-    tracking on. One customers row and one profile row per account. Any
-    invalid row rejects the whole batch (the gate is a scalar subquery)."""
+    """Register the accounts of one request in input order: ids continue the
+    customers sequence, ``customer_id`` is ``CUS-%06d``, role is always
+    ``customer``, tracking on. One customers row and one profile row per
+    account. Any invalid row rejects the whole request (the gate is a scalar
+    subquery); a request without accounts is rejected with one row."""
     checked = validate_registrations(regs, customers)
-    rejected = checked.filter(F.col("error").isNotNull())
-    ok = F.coalesce(rejected.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
+    none = checked.groupBy().agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 0).select(
+        *[F.lit(None).cast(checked.schema[c].dataType).alias(c) for c in checked.columns[:-1]],
+        F.lit("at least one account is required").alias("error"))
+    failed = checked.filter(F.col("error").isNotNull())
+    rejected = failed.unionByName(none)
+    ok = F.coalesce(failed.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
     valid = checked.filter(F.col("error").isNull() & ok)
     numbered = sequence_ids(valid, ["pos"], max_id(customers), "id")
     now = X.ntz(as_of)
@@ -108,8 +121,8 @@ DEFAULT_PRINCIPAL = "CUS-000049"  # an admin of the fixture tables
 def raw_event_feed(events: DataFrame) -> DataFrame:
     """Raw event submissions derived from the input ``events`` table: keys as
     internal id text, public id, empty (the principal) or unknown; missing
-    event types for errors; metadata sometimes missing, literal ``null`` or
-    broken JSON."""
+    event types for errors; metadata sometimes missing, literal ``null``, a
+    plain text, with a repeated key, followed by text, or broken JSON."""
     eid = F.col("id")
     key = (F.when(eid % 13 == 0, F.concat(F.lit("CUS-X"), F.col("customer_id").cast("string")))
            .when(eid % 5 == 0, F.col("customer_id").cast("string"))
@@ -118,6 +131,11 @@ def raw_event_feed(events: DataFrame) -> DataFrame:
     etype = F.when((F.col("event_type") == "recommendation_generated") & (eid % 4 == 0), F.lit(None).cast("string")) \
              .otherwise(F.col("event_type"))
     meta = (F.when(eid % 17 == 0, F.lit("{broken"))
+            .when(eid % 29 == 0, F.lit('{"a": 1, "a": 2}'))
+            .when(eid % 31 == 0, F.lit("{} x"))
+            .when(eid % 37 == 0, F.lit('"text"'))
+            .when(eid % 41 == 0, F.lit("1],[2"))
+            .when(eid % 43 == 0, F.lit("{'a': 1}"))
             .when(eid % 19 == 0, F.lit(None).cast("string"))
             .when(eid % 23 == 0, F.lit("null"))
             .otherwise(F.col("metadata")))

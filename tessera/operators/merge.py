@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import customer_aliases, unique_aliases
+from tessera.functions.joins import customer_aliases, spread_key, stored_aliases, unique_aliases
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -96,18 +96,22 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
 
 
 # -- B10 (segment rows), K1, K2, L28 ---------------------------------------------
-def validate_segment_batch(batch: DataFrame, customers: DataFrame) -> DataFrame:
+def validate_segment_batch(batch: DataFrame, customers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Per batch row (``pos``, ``customer_id`` key, ``segment_name``,
     ``description``, ``confidence``): the first failing rule, or NULL.
-    Adds ``cid`` / ``customer_code`` of the resolved customer."""
-    aliases = unique_aliases(customers)
-    j = batch.join(aliases, batch["customer_id"] == aliases["alias"], "left")
+    Adds ``cid`` / ``customer_code`` of the resolved customer. A column
+    ``request_error`` (a request that the reader refuses as a whole) comes
+    first; ``aliases`` may pass a :func:`stored_aliases` table."""
+    aliases = aliases if aliases is not None else unique_aliases(customers)
+    j = batch.join(aliases, spread_key(batch["customer_id"], batch["pos"]) == aliases["alias"], "left")
     key, name = F.col("customer_id"), F.col("segment_name")
     conf = F.coalesce(F.col("confidence"), F.lit(0.0))
     error = (F.when(key.isNull() | (key == "") | name.isNull() | (name == ""),
                     "customer_id and segment_name are required")
              .when((conf < 0) | (conf > 1), "confidence must be between 0 and 1")
              .when(F.col("resolved_id").isNull(), "user not found"))
+    if "request_error" in batch.columns:
+        error = F.coalesce(F.col("request_error"), error)
     return j.select(*batch.columns, F.col("resolved_id").alias("cid"),
                     F.col("resolved_customer_id").alias("customer_code"), error.alias("error"))
 
@@ -127,36 +131,30 @@ def segment_upsert(segments: DataFrame, batch: DataFrame) -> DataFrame:
     j = t.join(per_name, "name", "full_outer")
     existing = j.filter(F.col("t_id").isNotNull()).select(
         F.col("t_id").alias("id"), "name", F.coalesce(F.col("_ne.d"), F.col("t_desc")).alias("description"))
-    # one row per new segment name: the numbering window runs over that short list
-    fresh = j.filter(F.col("t_id").isNull())
-    w = Window.orderBy("first_pos")
-    fresh = fresh.select(
-        (max_id(segments).cast("int") + F.row_number().over(w)).cast("int").alias("id"), "name",
-        F.coalesce(F.col("_ne.d"), F.col("_first.d")).alias("description"))
-    return existing.unionByName(fresh)
-
-
-def _resolved_rows(resolved: DataFrame, new_segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    seg_ids = new_segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"))
-    rows = resolved.join(seg_ids, "segment_name")
-    per_customer = rows.groupBy("cid").agg(
-        F.max(F.struct("pos", "segment_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).alias("_last"),
+    fresh = j.filter(F.col("t_id").isNull()).select(
+        "first_pos", "name", F.coalesce(F.col("_ne.d"), F.col("_first.d")).alias("description"))
+    numbered = sequence_ids(fresh, ["first_pos"], max_id(segments))
+    return existing.unionByName(numbered.select(F.col("id").cast("int").alias("id"), "name", "description"))
+
+
+def _per_customer(resolved: DataFrame) -> DataFrame:
+    """Last segment and first position of every customer of a batch."""
+    return resolved.groupBy("cid").agg(
+        F.max(F.struct("pos", "segment_name", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).alias("_last"),
         F.min("pos").alias("first_pos"))
-    return rows, per_customer
 
 
-def user_segment_actions(user_segments: DataFrame, resolved: DataFrame, new_segments: DataFrame) -> DataFrame:
+def user_segment_actions(user_segments: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per batch row: ``inserted`` only for a customer's first row when the
     customer had no assignment, else ``updated`` (later rows update the row
-    the first one inserted)."""
-    rows, per_customer = _resolved_rows(resolved, new_segments)
-    had = user_segments.select(F.col("customer_id").alias("cid")).distinct().withColumn("_had", F.lit(True))
-    return (rows.join(per_customer.select("cid", "first_pos"), "cid")
-            .join(had, "cid", "left")
-            .select("pos", "cid", "customer_code", "segment_name", "segment_id",
-                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                    F.when((F.col("pos") == F.col("first_pos")) & F.col("_had").isNull(), "inserted")
-                     .otherwise("updated").alias("action")))
+    the first one inserted). The rows are joined on their position, which
+    no two share, not on the customer, who may hold many."""
+    had = user_segments.select(F.col("customer_id").alias("cid"))
+    inserted = _per_customer(resolved).join(had, "cid", "left_anti").select(
+        F.col("first_pos").alias("pos"), F.lit("inserted").alias("_action"))
+    return resolved.join(inserted, "pos", "left").select(
+        "pos", "cid", "customer_code", "segment_name", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("_action", F.lit("updated")).alias("action"))
 
 
 def user_segment_upsert(user_segments: DataFrame, resolved: DataFrame, new_segments: DataFrame,
@@ -168,17 +166,20 @@ def user_segment_upsert(user_segments: DataFrame, resolved: DataFrame, new_segme
     order of their first row."""
     from tessera.functions.expr import ntz
 
-    _, per_customer = _resolved_rows(resolved, new_segments)
+    # one row per customer first, so that ids are looked up for the winners only
+    seg_ids = new_segments.select(F.col("id").alias("new_segment_id"), F.col("name").alias("segment_name"))
+    per_customer = (_per_customer(resolved).withColumn("segment_name", F.col("_last.segment_name"))
+                    .join(seg_ids, "segment_name").drop("segment_name"))
     t = user_segments.withColumnRenamed("customer_id", "cid")
     j = t.join(per_customer, "cid", "full_outer")
     now = ntz(as_of)
     updated = j.filter(F.col("id").isNotNull()).select(
         "id", F.col("cid").alias("customer_id"),
-        F.coalesce(F.col("_last.segment_id"), F.col("segment_id")).alias("segment_id"),
+        F.coalesce(F.col("new_segment_id"), F.col("segment_id")).alias("segment_id"),
         F.coalesce(F.col("_last.confidence"), F.col("confidence")).alias("confidence"),
         F.when(F.col("_last").isNotNull(), now).otherwise(F.col("created_at")).alias("created_at"))
     fresh = j.filter(F.col("id").isNull()).select(
-        F.col("cid").alias("customer_id"), F.col("_last.segment_id").alias("segment_id"),
+        F.col("cid").alias("customer_id"), F.col("new_segment_id").alias("segment_id"),
         F.col("_last.confidence").alias("confidence"), now.alias("created_at"), "first_pos")
     fresh = sequence_ids(fresh, ["first_pos"], max_id(user_segments), "id").drop("first_pos")
     return updated.unionByName(fresh.select(*updated.columns))
@@ -204,30 +205,49 @@ class LazyOutputs(dict):
         return self._factories.keys()
 
 
+def admitted(checked: DataFrame) -> DataFrame:
+    """The rows of the requests without a failing row. With a column ``request``
+    every request stands for itself, so a bad one costs no other its rows,
+    however requests are batched; without it the whole batch is one request.
+    A missing request id counts as one request named ''."""
+    good = checked.filter(F.col("error").isNull())
+    bad = checked.filter(F.col("error").isNotNull())
+    if "request" not in checked.columns:
+        return good.filter(F.coalesce(bad.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0)
+    name = F.coalesce(F.col("request").cast("string"), F.lit(""))
+    # written, so that the join with a request holding most rows can be split
+    bad = bad.select(name.alias("_r")).distinct().checkpoint(eager=True)
+    return good.join(bad, name == bad["_r"], "left_anti")
+
+
 def apply_segment_updates(batch: DataFrame, customers: DataFrame, segments: DataFrame,
                           user_segments: DataFrame, as_of) -> dict[str, DataFrame]:
-    """Validate the whole batch; if any row fails, nothing is applied
-    (all-or-nothing) and ``rejected`` holds the failing rows. Otherwise
-    returns the next ``segments`` / ``user_segments`` snapshots and the
-    per-row results. The gate is a scalar subquery (count of failures), so
-    the decision stays inside the plan. Outputs are built on first access,
-    so asking only for ``results`` or ``segments`` skips the id allocation
-    of new ``user_segments`` rows."""
+    """Validate the batch and apply the requests whose rows all pass
+    (:func:`admitted`); ``rejected`` holds the failing rows of the others.
+    Returns the next ``segments`` / ``user_segments`` snapshots and the
+    per-row results. The gate stays inside the plan. Outputs are built on
+    first access, so asking only for ``results`` skips the id allocation of
+    new rows."""
     ensure_checkpoint_dir(batch.sparkSession)
     # The validated batch feeds the gate, both upserts and the results; it is
     # written once (reliable checkpoint) so each of them reads that copy
     # instead of re-running the validation joins inside its own plan.
-    checked = validate_segment_batch(batch, customers).checkpoint(eager=True)
-    rejected = checked.filter(F.col("error").isNotNull())
-    ok = F.coalesce(rejected.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
-    valid = checked.filter(F.col("error").isNull() & ok)
-    new_segments = segment_upsert(segments, valid)
+    checked = validate_segment_batch(batch, customers, stored_aliases(customers)).checkpoint(eager=True)
+    valid = admitted(checked)
+    kept = []
+
+    def new_segments() -> DataFrame:
+        if not kept:
+            kept.append(segment_upsert(segments, valid).checkpoint(eager=True))
+        return kept[0]
+
     return LazyOutputs(
-        segments=lambda: new_segments,
-        user_segments=lambda: user_segment_upsert(user_segments, valid, new_segments, as_of),
-        results=lambda: user_segment_actions(user_segments, valid, new_segments).select(
+        segments=new_segments,
+        user_segments=lambda: user_segment_upsert(user_segments, valid, new_segments(), as_of),
+        results=lambda: user_segment_actions(user_segments, valid).select(
             "pos", F.col("customer_code").alias("customer_id"), "segment_name", "confidence", "action"),
-        rejected=lambda: rejected.select("pos", "customer_id", "segment_name", "error"),
+        rejected=lambda: checked.filter(F.col("error").isNotNull()).select(
+            "pos", "customer_id", "segment_name", "error"),
     )
 
 
@@ -273,13 +293,15 @@ def _dupes(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
 
 
 def _orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, pk: str, parent_name: str) -> DataFrame:
-    c = child.select(F.col(fk).alias("_k"))
+    # one row per foreign key before the join, so a hot key meets it once
+    c = child.groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     p = parent.select(F.col(pk).alias("_k")).distinct().withColumn("_hit", F.lit(True))
     j = c.join(p, "_k", "left")
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
     return j.agg(
         F.lit(table).alias("table_name"), F.lit(f"fk({fk})->{parent_name}").alias("constraint_name"),
-        F.count(F.lit(1)).alias("checked_rows"),
-        F.count(F.when(F.col("_k").isNotNull() & F.col("_hit").isNull(), 1)).alias("violations"))
+        total("_n").alias("checked_rows"),
+        total(F.when(F.col("_k").isNotNull() & F.col("_hit").isNull(), F.col("_n"))).alias("violations"))
 
 
 def _check(df: DataFrame, table: str, name: str, ok: Column) -> DataFrame:
@@ -347,15 +369,20 @@ def cascade_delete(t, doomed: DataFrame) -> dict[str, DataFrame]:
 
 
 def cascade_summary(t, doomed: DataFrame) -> DataFrame:
-    after = cascade_delete(t, doomed)
-    parts = []
-    for table, df in after.items():
-        before = getattr(t, table)
-        b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-        parts.append(b.select(F.lit(table).alias("table_name"), "rows_before",
-                              F.lit(df.agg(F.count(F.lit(1))).scalar()).alias("rows_after")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("table_name", "rows_before", (F.col("rows_before") - F.col("rows_after")).alias("rows_deleted"),
-                      "rows_after")
+    """Rows of every table before and after :func:`cascade_delete`; each table is read once."""
+    gone = doomed.select("id").distinct()
+
+    def counted(table: str, fk: str, keys: DataFrame) -> DataFrame:
+        per_key = getattr(t, table).groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        hit = keys.select(F.col("id").alias("_k"), F.lit(True).alias("_gone"))
+        total = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+        return per_key.join(hit, "_k", "left").agg(
+            F.lit(table).alias("table_name"), total("_n").alias("rows_before"),
+            total(F.when(F.col("_gone"), F.col("_n"))).alias("rows_deleted"))
+
+    out = counted("customers", "id", gone)
+    for table, fk in CASCADE_CHILDREN:
+        out = out.unionByName(counted(table, fk, gone))
+    accounts = t.accounts.join(gone.withColumnRenamed("id", "customer_id"), "customer_id", "left_semi")
+    out = out.unionByName(counted("transactions", "account_id", accounts.select("id").distinct()))
+    return out.withColumn("rows_after", F.col("rows_before") - F.col("rows_deleted"))

@@ -44,10 +44,10 @@ def top_feature_metrics(events: DataFrame, n: int = 10) -> DataFrame:
     return shown.orderBy(F.desc("event_count"), F.desc("clicks"), F.asc("feature")).limit(n)
 
 
-def _week_counts(events: DataFrame, now, this_start, last_start) -> DataFrame:
+def _week_counts(events: DataFrame, now, this_start, last_start, *by: str) -> DataFrame:
     this_week = X.in_range("created_at", this_start, now)
     last_week = X.in_range("created_at", last_start, this_start)
-    return events.agg(
+    return events.groupBy(*by).agg(
         X.count_if(this_week & X.is_impression()).alias("imp_now"),
         X.count_if(this_week & X.is_click()).alias("click_now"),
         X.count_if(this_week & X.is_engagement()).alias("eng_now"),
@@ -78,9 +78,13 @@ def dashboard_metrics(events: DataFrame, as_of, segment: str | None = None,
         members = (top_segment(user_segments, segments)
                    .filter(X.normalize_name("segment_name") == X.normalize_name(F.lit(segment)))
                    .select("customer_id"))
+        # Six counters per customer before the join: a hot customer's events never meet in it.
         # top_segment has one row per customer, so a semi join equals the inner join.
-        ev = ev.join(members, "customer_id", "left_semi")
-    w = _week_counts(ev, now, this_start, last_start)
+        per_customer = _week_counts(ev, now, this_start, last_start, "customer_id")
+        mine = per_customer.join(members, "customer_id", "left_semi").drop("customer_id")
+        w = mine.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in mine.columns])
+    else:
+        w = _week_counts(ev, now, this_start, last_start)
     ctr_now = X.pct_rate("click_now", "imp_now")
     ctr_last = X.pct_rate("click_last", "imp_last")
     conv_now = X.pct_rate("eng_now", "click_now")
@@ -144,8 +148,8 @@ def engagement_dashboard(events: DataFrame, as_of, n: int = 3) -> DataFrame:
     and the top-``n`` clicked features: one row per ranked feature.
 
     One scan: events are reduced to one row per feature value first; the
-    totals and the rank are windows over that small per-feature frame (its
-    size is the number of distinct features, not the number of events).
+    totals are a plain aggregate of those rows and the top ``n`` an ordered limit,
+    handed over as one array of at most ``n`` items, so no task holds all features.
     When no feature has clicks a single row with NULL rank/feature remains.
     """
     now = X.ntz(as_of)
@@ -156,26 +160,18 @@ def engagement_dashboard(events: DataFrame, as_of, n: int = 3) -> DataFrame:
         X.count_if(X.is_engagement()).alias("eng"),
         X.count_if(X.is_click() & (F.col("created_at") >= since)).alias("wclk"),
     )
-    everything = Window.partitionBy()
-    eligible = X.non_empty("feature") & (F.col("clk") > 0)
-    ranked = per_feature.select(
-        "feature", "clk",
-        eligible.alias("eligible"),
-        F.sum("imp").over(everything).alias("imp_all"),
-        F.sum("clk").over(everything).alias("clk_all"),
-        F.sum("eng").over(everything).alias("eng_all"),
-        F.sum("wclk").over(everything).alias("wclk_all"),
-        F.sum(eligible.cast("int")).over(everything).alias("n_eligible"),
-        F.row_number().over(Window.orderBy(F.desc(eligible), F.desc("clk"), F.asc("feature"))).alias("rn"),
-    )
-    kept = ranked.filter((F.col("eligible") & (F.col("rn") <= n)) | ((F.col("n_eligible") == 0) & (F.col("rn") == 1)))
-    show = F.col("eligible")
-    return kept.select(
-        F.when(show, F.col("rn")).cast("bigint").alias("rank"),
-        F.when(show, F.col("feature")).alias("feature"),
-        F.when(show, F.col("clk")).alias("total_clicks"),
+    top = (per_feature.filter(X.non_empty("feature") & (F.col("clk") > 0))
+           .orderBy(F.desc("clk"), F.asc("feature")).limit(n)
+           .agg(F.array_sort(F.collect_list(F.struct((-F.col("clk")).alias("k"), "feature", "clk"))).alias("top")))
+    zero = F.lit(0).cast("bigint")
+    totals = per_feature.agg(*[F.coalesce(F.sum(c), zero).alias(f"{c}_all") for c in ("imp", "clk", "eng", "wclk")])
+    shown = totals.select("*", F.posexplode_outer(top.scalar()).alias("pos", "x"))
+    return shown.select(
+        (F.col("pos") + 1).cast("bigint").alias("rank"),
+        F.col("x.feature").alias("feature"),
+        F.col("x.clk").alias("total_clicks"),
         X.pct_rate("clk_all", "imp_all").alias("ctr"),
         X.pct_rate("eng_all", "clk_all").alias("conversion_rate"),
-        F.col("wclk_all").cast("bigint").alias("total_clicks_this_week"),
+        F.col("wclk_all").alias("total_clicks_this_week"),
         X.period_text(since, now).alias("period"),
     )

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera import schemas as S
 from tessera.functions import expr as X
-from tessera.functions.joins import small_side
 
 
 def window_bounds(as_of, days: int):
@@ -127,9 +126,10 @@ def top_performing_segments(segments: DataFrame, user_segments: DataFrame, event
     rate = F.when(F.col("customer_count") > 0,
                   F.col("active_customers").cast("double") / F.col("customer_count").cast("double"))
     ranked = a.select("segment_name", "customer_count", rate.alias("rate"))
-    # one row per segment: the window runs over the (small) segment list
-    w = Window.orderBy(F.col("rate").desc_nulls_last(), F.asc("segment_name"))
-    ranked = ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+    # top n first, so the numbering window sees n rows
+    order = (F.col("rate").desc_nulls_last(), F.asc("segment_name"))
+    ranked = ranked.orderBy(*order).limit(n)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     return ranked.select("segment_name", F.coalesce("rate", F.lit(0.0)).alias("engagement_rate"),
                          "customer_count", "rank")
 
@@ -144,7 +144,6 @@ def ab_test_results(ab_tests: DataFrame, assignments: DataFrame, events: DataFra
     counts = counts if counts is not None else customer_event_counts(events, as_of, days)
     start, end = window_bounds(as_of, days)
     tests = ab_tests.filter((F.col("status") == "active") | X.in_range("end_date", start, end))
-    tests = small_side(tests)
     a = (assignments.join(tests.select(F.col("id").alias("ab_test_id")), "ab_test_id", "left_semi")
          .select("ab_test_id", "customer_id", "variant")
          .join(counts, "customer_id", "left"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
-from tessera.functions.joins import small_side
 from tessera.operators.customers import feature_usage, top_segment
 
 
@@ -16,10 +15,10 @@ def segment_recommendations(user_segments: DataFrame, segments: DataFrame,
     """Recommendations of every segment a customer is assigned to
     (user_segments ⋈ segments ⋈ recommendations). Listing order per customer
     is (confidence desc, priority asc, id asc)."""
-    seg = small_side(segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment")))
-    rec = small_side(recommendations.select(
+    seg = segments.select(F.col("id").alias("segment_id"), F.col("name").alias("segment"))
+    rec = recommendations.select(
         "segment_id", F.col("id").alias("rec_id"), F.coalesce("feature", F.lit("")).alias("feature"),
-        F.coalesce("reason", F.lit("")).alias("reason"), "priority"))
+        F.coalesce("reason", F.lit("")).alias("reason"), "priority")
     us = user_segments.select(F.col("customer_id").alias("customer_pk"), "segment_id", "confidence")
     out = us.join(seg, "segment_id").join(rec, "segment_id")
     return out.select("customer_pk", "rec_id", "feature", "reason", "priority", "segment", "confidence",
@@ -89,9 +88,9 @@ def personalization(customers: DataFrame, user_segments: DataFrame, segments: Da
            .agg(F.count(F.lit(1)).alias("recommended_count"),
                 F.array_sort(F.collect_list(F.struct("priority", "id", F.coalesce("feature", F.lit("")).alias("f"))))
                 .alias("recs")))
-    rec = small_side(rec.select("segment_id", "recommended_count",
-                                F.concat_ws(",", F.transform("recs", lambda x: x["f"])).alias("recommended_features"),
-                                F.try_element_at(F.transform("recs", lambda x: x["f"]), F.lit(1)).alias("first_rec")))
+    rec = rec.select("segment_id", "recommended_count",
+                     F.concat_ws(",", F.transform("recs", lambda x: x["f"])).alias("recommended_features"),
+                     F.try_element_at(F.transform("recs", lambda x: x["f"]), F.lit(1)).alias("first_rec"))
     c = customers.select(F.col("id").alias("customer_pk"), "customer_id")
     out = (c.join(top, "customer_pk", "left").join(qa, "customer_pk", "left")
            .join(rec, "segment_id", "left"))
@@ -124,9 +123,9 @@ def personalization_nested(customers: DataFrame, user_segments: DataFrame, segme
     rec = (recommendations_.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct(
         "priority", "id", F.coalesce("feature", F.lit("")).alias("feature"),
         F.coalesce("reason", F.lit("")).alias("reason")))).alias("recs")))
-    rec = small_side(rec.select("segment_id", F.transform("recs", lambda x: F.struct(
+    rec = rec.select("segment_id", F.transform("recs", lambda x: F.struct(
         x["id"].alias("id"), x["feature"].alias("feature"), x["reason"].alias("reason"),
-        x["priority"].alias("priority"))).alias("recommended_sections")))
+        x["priority"].alias("priority"))).alias("recommended_sections"))
     flat = personalization(customers, user_segments, segments, recommendations_, user_activities, n)
     c = customers.select(F.col("id").alias("customer_pk"), "customer_id")
     out = (c.join(top, "customer_pk", "left").join(qa, "customer_pk", "left").join(rec, "segment_id", "left")

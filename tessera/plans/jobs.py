@@ -1,18 +1,25 @@
-"""Prediction jobs: score customers and apply the result as a segment batch."""
+"""Jobs that apply their result: prediction and sync, event ingestion, daily roll-ups, listings.
+
+Snapshots are published under a root folder (see ``sources.sinks``): a job that fails
+leaves the current versions in place, and one that is repeated publishes the same rows again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.joins import customer_aliases
 from tessera.operators.features import model_features
+from tessera.operators.ingest import ingest_events
 from tessera.operators.merge import apply_segment_updates
-from tessera.operators.segmentation import DEFAULT_MODEL, SegmentModel, score_segments
+from tessera.operators.performance import engagement_metrics_daily, personalization_daily
+from tessera.operators.segmentation import SegmentModel, score_segments
+from tessera.sources import sinks
 from tessera.sources.fixtures import Tables
 
 
-def predictions(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
-                customers: DataFrame | None = None) -> DataFrame:
+def predictions(t: Tables, as_of, model: SegmentModel, customers: DataFrame | None = None) -> DataFrame:
     """Segment, confidence and description for every customer of ``customers``
     (default: all), as a segment-update batch (``pos`` = internal id)."""
     cust = customers if customers is not None else t.customers
@@ -21,28 +28,74 @@ def predictions(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
         F.col("customer_pk").alias("pos"), "customer_id", "segment_name", "description", "confidence")
 
 
-def predict_and_update(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL,
-                       customer_ids: list[str] | None = None) -> dict[str, DataFrame]:
-    """Score the given customers (any role; all when ``customer_ids`` is
-    None, none for an empty list) and upsert their segments in one all-or-nothing batch."""
-    cust = t.customers
+def publish_updates(updates: dict[str, DataFrame], root: str) -> DataFrame:
+    """Publish the next ``segments`` and ``user_segments`` and the per-row ``results``
+    under ``root``; returns the published results, read back."""
+    spark = updates["results"].sparkSession
+    for name in ("segments", "user_segments", "results"):
+        sinks.publish_snapshot(updates[name], f"{root}/{name}")
+    return sinks.read_current(spark, f"{root}/results")
+
+
+def predict_and_update(t: Tables, as_of, model: SegmentModel, root: str,
+                       customer_ids: DataFrame | list[str] | None = None) -> dict[str, DataFrame]:
+    """Score customers (any role), upsert their segments as one request and publish the
+    snapshots under ``root``.
+
+    ``customer_ids``: public or internal ids (a list, or a DataFrame whose first column
+    holds them); None means all customers, an empty one none. Returns the published ``results``,
+    ``rejected`` rows and the ``unknown`` ids that name nobody.
+    """
+    cust, unknown = t.customers, None
     if customer_ids is not None:
-        cust = cust.filter(F.col("customer_id").isin(customer_ids)
-                           | F.col("id").cast("string").isin(customer_ids))
-    batch = predictions(t, as_of, model, cust)
-    return apply_segment_updates(batch, t.customers, t.segments, t.user_segments, as_of)
+        if not isinstance(customer_ids, DataFrame):
+            customer_ids = t.spark.createDataFrame([(k,) for k in customer_ids], "key string")
+        keys = customer_ids.select(F.col(customer_ids.columns[0]).cast("string").alias("key")).distinct()
+        aliases = customer_aliases(t.customers)
+        hit = aliases.join(keys, aliases["alias"] == keys["key"], "left_semi").select(F.col("resolved_id").alias("id"))
+        cust = cust.join(hit, "id", "left_semi")
+        unknown = keys.join(aliases, keys["key"] == aliases["alias"], "left_anti")
+    updates = apply_segment_updates(predictions(t, as_of, model, cust), t.customers, t.segments, t.user_segments, as_of)
+    return {"results": publish_updates(updates, root), "rejected": updates["rejected"],
+            "unknown": unknown if unknown is not None else t.spark.createDataFrame([], "key string")}
 
 
-def sync_segments(t: Tables, as_of, model: SegmentModel = DEFAULT_MODEL, customer_id: str | None = None,
+def sync_segments(t: Tables, as_of, model: SegmentModel, root: str | None = None, customer_id: str | None = None,
                   dry_run: bool = False) -> DataFrame:
-    """Batch sync: customers with role 'customer' and a non-empty id,
-    optionally one of them. ``dry_run`` returns the predictions without
-    applying them; otherwise the per-row upsert results (empty input is a
-    no-op)."""
+    """Batch sync: customers with role 'customer' and a non-empty id, optionally one of
+    them. ``dry_run`` returns the predictions and publishes nothing; otherwise the snapshots are
+    published under ``root`` and the published per-row results returned (no customer: no rows)."""
     cust = t.customers.filter((F.col("role") == "customer") & F.coalesce(F.col("customer_id") != "", F.lit(False)))
     if customer_id:
         cust = cust.filter(F.col("customer_id") == customer_id)
     batch = predictions(t, as_of, model, cust)
     if dry_run:
         return batch
-    return apply_segment_updates(batch, t.customers, t.segments, t.user_segments, as_of)["results"]
+    if not root:
+        raise ValueError("a root folder is needed to publish the snapshots")
+    return publish_updates(apply_segment_updates(batch, t.customers, t.segments, t.user_segments, as_of), root)
+
+
+def ingest_to_table(raw: DataFrame, customers: DataFrame, table: str, principal_role: str = "admin",
+                    principal_code: str | None = None) -> DataFrame:
+    """Ingest into the date-partitioned event table at ``table`` (ids continue it); returns the rejected rows."""
+    existing = sinks.read_events_table(raw.sparkSession, table)
+    out = ingest_events(raw, customers, existing, principal_role, principal_code)
+    sinks.append_events(out["accepted"], table)
+    return out["rejected"]
+
+
+def write_rollups(t: Tables, root: str, as_of, days: int) -> None:
+    """Write the daily roll-ups; only the days computed here are replaced."""
+    sinks.overwrite_partitions(engagement_metrics_daily(t.user_segments, t.analytics_events, as_of, days),
+                               f"{root}/engagement_metrics", "metric_date")
+    sinks.overwrite_partitions(personalization_daily(t.user_segments, t.analytics_events, as_of, days),
+                               f"{root}/personalization", "date_period")
+
+
+def write_listing(df: DataFrame, path: str, *order, json: bool = False) -> None:
+    """A listing in its total order, as Parquet or as JSON lines."""
+    if json:
+        sinks.write_json(df.orderBy(*order), path)
+    else:
+        sinks.write_sorted(df, path, *order)

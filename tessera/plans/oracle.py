@@ -65,12 +65,12 @@ SELECT c.c_custkey AS id, c.c_custkey AS customer_id, s.id AS segment_id,
        CAST(c.c_custkey % 101 AS DOUBLE) / 100 AS confidence, TIMESTAMP '2024-01-01 00:00:00' AS created_at
 FROM customer c JOIN segments_mkt s ON s.mktsegment = c.c_mktsegment WHERE c.c_custkey % 7 <> 6"""),
     ("user_segment_history", """
-SELECT id, customer_id, segment_id, confidence, created_at FROM user_segments
-UNION ALL SELECT id + 1000000, customer_id, segment_id % 4 + 1, CASE WHEN customer_id % 2 = 0 THEN confidence ELSE 0.5 END,
+SELECT id * 2 AS id, customer_id, segment_id, confidence, created_at FROM user_segments
+UNION ALL SELECT id * 2 + 1, customer_id, segment_id % 4 + 1, CASE WHEN customer_id % 2 = 0 THEN confidence ELSE 0.5 END,
        TIMESTAMP '2024-01-10 00:00:00' FROM user_segments WHERE customer_id % 3 = 0"""),
     ("recommendations", """
-SELECT * FROM (VALUES (1, 1, 'promo reksa dana', 'invest', 1), (2, 2, 'promo transfer', NULL, 4),
-       (3, 3, 'promo e-wallet', 'cashback', 1), (5, 1, 'deposito', 'grow', 2),
+SELECT * FROM (VALUES (1, 1, 'fund switch', 'invest', 1), (2, 2, 'free payout', NULL, 4),
+       (3, 3, 'wallet bonus', 'cashback', 1), (5, 1, 'deposito', 'grow', 2),
        (6, 3, CAST(NULL AS VARCHAR), 'cashback2', 1)) AS t(id, segment_id, feature, reason, priority)"""),
     ("ab_tests", """
 SELECT * FROM (VALUES (1, 'cta', 'topup', 'blue', 'red', CAST(NULL AS TIMESTAMP), 'active'),

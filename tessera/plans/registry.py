@@ -243,6 +243,17 @@ def _user_activity(t: Tables) -> DataFrame:
     return C.user_activity(t.customers, t.transactions, t.accounts, t.user_activities)
 
 
+@query("user_activity_items", O.with_views("""
+SELECT c.customer_id, 'transaction' AS kind, t.trx_id AS item, t.type, CAST(t.amount AS DOUBLE) AS amount, t.status,
+       CAST(NULL AS BIGINT) AS usage_count, t.created_at AS happened_at
+FROM transactions t, accounts a, customers c WHERE a.id = t.account_id AND c.id = a.customer_id
+UNION ALL
+SELECT c.customer_id, 'feature', u.feature, NULL, NULL, NULL, COUNT(*), MAX(u.created_at)
+FROM user_activities u, customers c WHERE c.id = u.customer_id AND u.feature IS NOT NULL GROUP BY c.customer_id, u.feature"""))
+def _user_activity_items(t: Tables) -> DataFrame:
+    return C.user_activity_items(t.customers, t.transactions, t.accounts, t.user_activities)
+
+
 @query("user_segmentation", O.with_views("""
 SELECT c.customer_id, s.id AS segment_id, s.name AS segment_name, COALESCE(s.description, '') AS description,
        us.confidence, us.created_at AS assigned_at, r.rec_id, r.rec_feature, r.rec_reason, r.rec_priority
@@ -453,7 +464,9 @@ SELECT id AS raw_id,
             WHEN id % 5 = 1 THEN '' ELSE printf('CUS-%06d', customer_id) END AS customer_id,
        CASE WHEN event_type = 'recommendation_generated' AND id % 4 = 0 THEN NULL ELSE event_type END AS event_type,
        feature,
-       CASE WHEN id % 17 = 0 THEN '{broken' WHEN id % 19 = 0 THEN NULL WHEN id % 23 = 0 THEN 'null' ELSE metadata END AS metadata,
+       CASE WHEN id % 17 = 0 THEN '{broken' WHEN id % 29 = 0 THEN '{"a": 1, "a": 2}' WHEN id % 31 = 0 THEN '{} x'
+            WHEN id % 37 = 0 THEN '"text"' WHEN id % 41 = 0 THEN '1],[2' WHEN id % 43 = 0 THEN '{''a'': 1}'
+            WHEN id % 19 = 0 THEN NULL WHEN id % 23 = 0 THEN 'null' ELSE metadata END AS metadata,
        created_at AS received_at
 FROM analytics_events"""
 CHECKED_EVENTS_SQL = f"""
@@ -505,28 +518,44 @@ FROM customer WHERE c_custkey % 10 = 0"""
 RESOLVED_SQL = """
 SELECT b.*, (SELECT MIN(c.id) FROM customers c WHERE CAST(c.id AS VARCHAR) = b.customer_id OR c.customer_id = b.customer_id) AS cid
 FROM batch b"""
-BAD_SQL = """
-SELECT COUNT(*) AS n FROM resolved WHERE customer_id IS NULL OR customer_id = '' OR segment_name IS NULL
-  OR segment_name = '' OR COALESCE(confidence, 0) < 0 OR COALESCE(confidence, 0) > 1 OR cid IS NULL"""
+BAD_ROW = """(customer_id IS NULL OR customer_id = '' OR segment_name IS NULL
+  OR segment_name = '' OR COALESCE(confidence, 0) < 0 OR COALESCE(confidence, 0) > 1 OR cid IS NULL)"""
+BAD_SQL = f"SELECT COUNT(*) AS n FROM resolved WHERE {BAD_ROW}"
 NEW_SEGMENTS_SQL = """
-SELECT s.id, s.name, COALESCE(p.last_ne, s.description) AS description FROM segments s LEFT JOIN per p ON p.name = s.name
+SELECT s.id, s.name, COALESCE(p.last_ne, s.description) AS description FROM segments s LEFT JOIN per_name p ON p.name = s.name
 UNION ALL
 SELECT CAST((SELECT MAX(id) FROM segments) + ROW_NUMBER() OVER (ORDER BY p.first_pos) AS INTEGER), p.name,
        COALESCE(p.last_ne, p.first_desc)
-FROM per p WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.name = p.name)"""
+FROM per_name p WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.name = p.name)"""
 PER_NAME_SQL = """
 SELECT segment_name AS name, MIN(pos) AS first_pos,
        arg_max(description, pos) FILTER (WHERE COALESCE(description, '') <> '') AS last_ne,
        arg_min(COALESCE(description, ''), pos) AS first_desc
 FROM resolved WHERE (SELECT n FROM bad) = 0 GROUP BY segment_name"""
-SEG_CTES = (("batch", BATCH_SQL), ("resolved", RESOLVED_SQL), ("bad", BAD_SQL), ("per", PER_NAME_SQL),
+SEG_CTES = (("batch", BATCH_SQL), ("resolved", RESOLVED_SQL), ("bad", BAD_SQL), ("per_name", PER_NAME_SQL),
             ("new_segments", NEW_SEGMENTS_SQL))
+UPDATE_RESULTS_SQL = """
+SELECT r.pos, c.customer_id, r.segment_name, r.confidence,
+       CASE WHEN r.pos = MIN(r.pos) OVER (PARTITION BY r.cid)
+             AND NOT EXISTS (SELECT 1 FROM user_segments us WHERE us.customer_id = r.cid) THEN 'inserted'
+            ELSE 'updated' END AS action
+FROM resolved r JOIN customers c ON c.id = r.cid WHERE (SELECT n FROM bad) = 0"""
 
 
 def _segment_job(t: Tables) -> dict[str, DataFrame]:
     return G.apply_segment_updates(FD.segment_batch(t), t.customers, t.segments, t.user_segments, AS_OF)
 
 
+BAD_BATCH_SQL = f"""
+SELECT c_custkey AS pos,
+       CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'CUS-X' || CAST(c_custkey AS VARCHAR)
+            WHEN c_custkey % 2 = 0 THEN printf('CUS-%06d', c_custkey) ELSE CAST(c_custkey AS VARCHAR) END AS customer_id,
+       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE {SEG_NAME_SQL} END AS segment_name,
+       CASE WHEN c_custkey % 19 = 0 THEN -0.1 WHEN c_custkey % 23 = 0 THEN 1.1 WHEN c_custkey % 29 = 0 THEN 0.0
+            WHEN c_custkey % 31 = 0 THEN 1.0 ELSE CAST(c_custkey % 97 AS DOUBLE) / 100 END AS confidence
+FROM customer"""
+
+
 @query("segment_validation", O.with_views("""
 SELECT b.pos,
        CASE WHEN b.customer_id IS NULL OR b.customer_id = '' OR b.segment_name IS NULL OR b.segment_name = ''
@@ -534,28 +563,26 @@ SELECT b.pos,
             WHEN COALESCE(b.confidence, 0) < 0 OR COALESCE(b.confidence, 0) > 1 THEN 'confidence must be between 0 and 1'
             WHEN NOT EXISTS (SELECT 1 FROM customers c WHERE CAST(c.id AS VARCHAR) = b.customer_id OR c.customer_id = b.customer_id)
               THEN 'user not found' END AS error
-FROM bad_batch b""", ("bad_batch", f"""
-SELECT c_custkey AS pos,
-       CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'CUS-X' || CAST(c_custkey AS VARCHAR)
-            WHEN c_custkey % 2 = 0 THEN printf('CUS-%06d', c_custkey) ELSE CAST(c_custkey AS VARCHAR) END AS customer_id,
-       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE {SEG_NAME_SQL} END AS segment_name,
-       CASE WHEN c_custkey % 19 = 0 THEN -0.1 WHEN c_custkey % 23 = 0 THEN 1.1 WHEN c_custkey % 29 = 0 THEN 0.0
-            WHEN c_custkey % 31 = 0 THEN 1.0 ELSE CAST(c_custkey % 97 AS DOUBLE) / 100 END AS confidence
-FROM customer""")))
+FROM bad_batch b""", ("bad_batch", BAD_BATCH_SQL)))
 def _segment_validation(t: Tables) -> DataFrame:
     return G.validate_segment_batch(FD.segment_batch_with_errors(t), t.customers).select("pos", "error")
 
 
-@query("segment_update_results", O.with_views("""
-SELECT r.pos, c.customer_id, r.segment_name, r.confidence,
-       CASE WHEN r.pos = MIN(r.pos) OVER (PARTITION BY r.cid)
-             AND NOT EXISTS (SELECT 1 FROM user_segments us WHERE us.customer_id = r.cid) THEN 'inserted'
-            ELSE 'updated' END AS action
-FROM resolved r JOIN customers c ON c.id = r.cid WHERE (SELECT n FROM bad) = 0""", *SEG_CTES))
+@query("segment_update_results", O.with_views(UPDATE_RESULTS_SQL, *SEG_CTES))
 def _segment_update_results(t: Tables) -> DataFrame:
     return _segment_job(t)["results"]
 
 
+@query("segment_requests", O.with_views(UPDATE_RESULTS_SQL, ("batch", BAD_BATCH_SQL), ("found", RESOLVED_SQL.strip()),
+    ("resolved", f"""
+SELECT * FROM found WHERE pos // 3 NOT IN (SELECT pos // 3 FROM found WHERE {BAD_ROW})"""),
+    ("bad", "SELECT 0 AS n")))
+def _segment_requests(t: Tables) -> DataFrame:
+    """Three rows a request: a bad request costs no other its rows."""
+    batch = FD.segment_batch_with_errors(t).withColumn("request", F.floor(F.col("pos") / 3))
+    return G.apply_segment_updates(batch, t.customers, t.segments, t.user_segments, AS_OF)["results"]
+
+
 @query("segment_upsert", O.with_views("SELECT * FROM new_segments", *SEG_CTES))
 def _segment_upsert(t: Tables) -> DataFrame:
     return _segment_job(t)["segments"]
@@ -582,9 +609,8 @@ SELECT id, printf('CUS-%06d', id) AS customer_id, email, 'customer' AS role
 FROM (SELECT (SELECT MAX(id) FROM customers) + ROW_NUMBER() OVER (ORDER BY pos) AS id, email
       FROM regs WHERE (SELECT n FROM bad_regs) = 0) x""",
     ("regs", """SELECT s_suppkey AS pos, s_name AS full_name, lower(replace(s_name, '#', '_')) AS username,
-       lower(s_name) || '@mail.com' AS email FROM supplier"""),
-    ("bad_regs", """SELECT COUNT(*) AS n FROM regs r WHERE r.email IS NULL
-       OR EXISTS (SELECT 1 FROM customers c WHERE c.email = r.email)
+       CASE WHEN s_suppkey = 3 THEN '' ELSE lower(s_name) || '@mail.com' END AS email FROM supplier"""),
+    ("bad_regs", """SELECT COUNT(*) AS n FROM regs r WHERE EXISTS (SELECT 1 FROM customers c WHERE c.email = r.email)
        OR EXISTS (SELECT 1 FROM regs r2 WHERE r2.email = r.email AND r2.pos < r.pos)""")))
 def _onboard_customers(t: Tables) -> DataFrame:
     return I.onboard_customers(FD.registrations(t), t.customers, AS_OF)["registered"]
@@ -772,14 +798,33 @@ def _train_segments(t: Tables) -> DataFrame:
     return SG.cluster_summary(feats, pm, model, silhouette)
 
 
-@query("predict_and_update")
+@query("feature_statistics", O.with_views(
+    "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, round(AVG({f}), 4) AS mean, round(stddev_samp({f}), 4) AS std FROM mf"
+                         for f in FE.FEATURE_ORDER), *MODEL_FEATURE_CTES, ("mf", MODEL_FEATURES_SQL)))
+def _feature_statistics(t: Tables) -> DataFrame:
+    """What the scaler learns: mean and sample deviation of every model feature."""
+    row = _model_features(t).agg(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.round(F.avg(f), 4).alias("mean"), F.round(F.stddev_samp(f), 4).alias("std"))
+        for f in FE.FEATURE_ORDER]).alias("s"))
+    return row.select(F.inline("s"))
+
+
+def _predicted_ctes(who: str) -> tuple:
+    """The segment CTEs over the predictions of the customers that ``who`` names."""
+    return (*MODEL_FEATURE_CTES, ("mf", MODEL_FEATURES_SQL), ("scored", SG.score_sql(SG.DEFAULT_MODEL, "mf")),
+            ("batch", f"""
+SELECT c.id AS pos, p.customer_id, p.segment_name, p.description, p.confidence
+FROM scored p JOIN customers c ON c.customer_id = p.customer_id WHERE {who}"""), *SEG_CTES[1:])
+
+
+@query("predict_and_update", O.with_views(UPDATE_RESULTS_SQL, *_predicted_ctes("TRUE")))
 def _predict_and_update(t: Tables) -> DataFrame:
-    return J.predict_and_update(t, AS_OF)["results"]
+    return J.predict_and_update(t, AS_OF, SG.DEFAULT_MODEL, ST.scratch(t.spark, "predict"))["results"]
 
 
-@query("sync_segments")
+@query("sync_segments", O.with_views(UPDATE_RESULTS_SQL, *_predicted_ctes("c.role = 'customer' AND c.customer_id <> ''")))
 def _sync_segments(t: Tables) -> DataFrame:
-    return J.sync_segments(t, AS_OF)
+    return J.sync_segments(t, AS_OF, SG.DEFAULT_MODEL, ST.scratch(t.spark, "sync"))
 
 
 # ---------------------------------------------------------------------------
@@ -806,6 +851,7 @@ FROM (SELECT date_trunc('day', created_at) - to_days(CAST(k AS INTEGER)) AS wind
       FROM analytics_events CROSS JOIN range(7) t(k) GROUP BY 1, 2) w""")
 
 QUERIES["stream_segment_updates"] = lambda spark, sf_dir: ST.stream_segment_results(spark, sf_dir, AS_OF)
+ORACLE["stream_segment_updates"] = ORACLE["segment_update_results"]
 
 
 @query("ab_test_assigned", O.with_views("""

@@ -64,12 +64,12 @@ def segment_batch_with_errors(t: Tables) -> DataFrame:
 
 
 def registrations(t: Tables) -> DataFrame:
-    """Sign-ups derived from the supplier table, in supplier-key order."""
+    """Sign-ups derived from the supplier table, in supplier-key order; one has no email."""
     s = t.raw("supplier")
     name = F.col("s_name")
     return s.select(F.col("s_suppkey").alias("pos"), name.alias("full_name"),
                     F.lower(F.replace(name, F.lit("#"), F.lit("_"))).alias("username"),
-                    F.concat(F.lower(name), F.lit("@mail.com")).alias("email"))
+                    F.when(F.col("s_suppkey") != 3, F.concat(F.lower(name), F.lit("@mail.com"))).alias("email"))
 
 
 def tracking_updates(t: Tables) -> DataFrame:

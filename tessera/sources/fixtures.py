@@ -31,9 +31,9 @@ SEGMENT_ROWS = [
 ]
 # (id, segment_id, feature, reason, priority)
 RECOMMENDATION_ROWS = [
-    (1, 1, "promo reksa dana", "invest", 1),
-    (2, 2, "promo transfer", None, 4),
-    (3, 3, "promo e-wallet", "cashback", 1),
+    (1, 1, "fund switch", "invest", 1),
+    (2, 2, "free payout", None, 4),
+    (3, 3, "wallet bonus", "cashback", 1),
     (5, 1, "deposito", "grow", 2),
     (6, 3, None, "cashback2", 1),
 ]
@@ -202,12 +202,12 @@ class Tables:
     def user_segment_history(self) -> DataFrame:
         us = self.user_segments
         extra = (us.filter(F.col("customer_id") % 3 == 0)
-                 .select((F.col("id") + 1000000).alias("id"), "customer_id",
+                 .select((F.col("id") * 2 + 1).alias("id"), "customer_id",
                          (F.col("segment_id") % 4 + 1).alias("segment_id"),
                          F.when(F.col("customer_id") % 2 == 0, F.col("confidence"))
                           .otherwise(F.lit(0.5)).alias("confidence"),
                          ntz(HISTORY_ASSIGNED_AT).alias("created_at")))
-        return us.unionByName(extra)
+        return us.withColumn("id", F.col("id") * 2).unionByName(extra)
 
     @cached_property
     def ab_test_assignments(self) -> DataFrame:

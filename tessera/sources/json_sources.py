@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import schemas as S
 from tessera.functions import expr as X
@@ -16,37 +17,55 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
 
 
+def _submissions(lines: DataFrame) -> list:
+    """Input fields of the event submissions in ``value``. ``metadata`` is the JSON text of
+    its value: an object (spaces between its tokens go, repeated keys stay), a text
+    with its quotes, a literal null as ``null``."""
+    row = F.from_json("value", S.EVENT_INPUT)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.metadata", "variant"))
+    quoted = F.to_json(F.array(row["metadata"]))
+    meta = (F.when(kind == "STRING", F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+            .when(kind == "VOID", F.lit("null")).otherwise(row["metadata"]))
+    return [*[row[c].alias(c) for c in ("customer_id", "event_type", "feature")], meta.alias("metadata"),
+            X.now_wall_clock().alias("received_at")]
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event submissions, one JSON object per line, in the raw shape the
     ingest job takes: ``raw_id`` (unique per row), the four input fields
-    (an object ``metadata`` keeps its raw text) and ``received_at`` (read
-    time, UTC wall clock)."""
-    df = spark.read.schema(S.EVENT_INPUT).json(path)
-    return df.select(F.monotonically_increasing_id().alias("raw_id"), "customer_id", "event_type", "feature",
-                     "metadata", X.now_wall_clock().alias("received_at"))
+    (``metadata`` as JSON text) and ``received_at`` (read time, UTC wall
+    clock)."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.monotonically_increasing_id().alias("raw_id"), *_submissions(lines))
 
 
 def read_events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same raw shape from a file stream: ``received_at`` is the
     micro-batch time; ``raw_id`` hashes the source file and the submitted
-    fields (row numbering is not available on streams) and only orders
-    submissions that arrive in the same micro-batch."""
-    reader = spark.readStream.schema(S.EVENT_INPUT)
+    line (row numbering is not available on streams) and only orders
+    submissions that arrive in the same micro-batch; equal lines of a file share
+    it, and being equal they may be numbered in any order."""
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.json(path)
-    raw_id = F.xxhash64(F.input_file_name(), "customer_id", "event_type", "feature", "metadata")
-    return df.select(raw_id.alias("raw_id"), "customer_id", "event_type", "feature", "metadata",
-                     X.now_wall_clock().alias("received_at"))
+    lines = reader.text(path).filter(F.trim("value") != "")
+    return lines.select(F.xxhash64(F.input_file_name(), "value").alias("raw_id"), *_submissions(lines))
 
 
 def read_segment_batch(spark: SparkSession, path: str) -> DataFrame:
-    """``{"segments": [..]}`` documents; ``pos`` keeps batch order."""
+    """``{"segments": [..]}`` documents, each one request (``request``); ``pos`` keeps
+    batch order. A document without rows leaves one row whose ``request_error`` says so."""
     df = _ordered(spark.read.schema(S.SEGMENT_BATCH_INPUT).option("multiLine", True).json(path))
-    ex = df.select("_file", "_row", F.posexplode("segments").alias("i", "s"))
-    ex = ex.select("_file", "_row", "i", "s.*").orderBy("_file", "_row", "i")
-    return ex.select(F.monotonically_increasing_id().alias("pos"), "customer_id", "segment_name",
-                     "description", "confidence")
+    ex = df.select("_file", "_row", F.posexplode_outer("segments").alias("i", "s")).orderBy("_file", "_row", "i")
+    return ex.select(F.monotonically_increasing_id().alias("pos"), F.concat_ws("#", "_file", "_row").alias("request"),
+                     "s.*", F.when(F.col("i").isNull(), "segments is required").alias("request_error"))
+
+
+def read_tracking_updates(spark: SparkSession, path: str) -> DataFrame:
+    """Tracking updates, one JSON object per line: ``key`` names the customer; ``seq`` keeps order."""
+    schema = T.StructType([T.StructField("key", T.StringType()), *S.TRACKING_INPUT.fields])
+    df = _ordered(spark.read.schema(schema).json(path)).orderBy("_file", "_row")
+    return df.select(F.monotonically_increasing_id().alias("seq"), "key", "is_activity_tracking_enabled")
 
 
 def read_registrations(spark: SparkSession, path: str) -> DataFrame:

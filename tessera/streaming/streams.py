@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as X
-from tessera.functions.joins import unique_aliases
+from tessera.functions.joins import stored_aliases
 from tessera.operators.ingest import DEFAULT_PRINCIPAL, raw_event_feed, validate_events
 from tessera.operators.merge import apply_segment_updates, max_id, sequence_ids
 from tessera.session import ensure_checkpoint_dir
@@ -62,24 +62,24 @@ def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, exi
                   out: str, principal_role: str = "admin", principal_code: str | None = DEFAULT_PRINCIPAL,
                   trigger_available_now: bool = True, freeze_customers: bool = False):
     """Validate a stream of raw events against the customer table
-    (stream-static join), number accepted rows after every id already
-    given out, and write accepted / rejected rows per micro-batch.
+    per micro-batch, number accepted rows after every id already given out,
+    and write accepted / rejected rows per micro-batch. Accepted rows lie in
+    date partitions inside their batch's folder, so reports over ``accepted``
+    prune days and a retried batch replaces its own rows.
 
     Each micro-batch leaves a one-row high-water mark (largest id so far)
     under ``marks/batch_id=<n>``; batch n starts from batch n-1's mark, so
     no batch rescans earlier output, and a retried batch recomputes the
     same ids."""
-    aliases = None
-    if freeze_customers:
-        # build the key index once per stream run instead of once per
-        # micro-batch; customers created later are seen after a restart
-        ensure_checkpoint_dir(spark)
-        aliases = unique_aliases(customers).checkpoint(eager=True)
-    checked = validate_events(raw, customers, principal_role, principal_code, aliases=aliases)
+    # frozen: the key index is built once per stream run instead of once per
+    # micro-batch; customers created later are seen after a restart
+    frozen = stored_aliases(customers) if freeze_customers else None
     accepted_root, rejected_root, marks = f"{out}/accepted", f"{out}/rejected", f"{out}/marks"
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
+    def write_batch(submitted: DataFrame, batch_id: int) -> None:
+        s = submitted.sparkSession
+        batch = validate_events(submitted, customers, principal_role, principal_code,
+                                aliases=frozen or stored_aliases(customers)).checkpoint(eager=True)
         if batch_id == 0:
             start = max_id(existing_events)
         else:
@@ -89,16 +89,16 @@ def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, exi
         numbered = sequence_ids(ok, ["received_at", "raw_id"], start, "id")
         target = f"{accepted_root}/batch_id={batch_id}"
         (numbered.select("id", F.col("cid").alias("customer_id"), "event_type", "feature", "metadata",
-                         F.col("received_at").alias("created_at"))
-         .write.mode("overwrite").parquet(target))
+                         F.col("received_at").alias("created_at"), F.to_date("received_at").alias("event_date"))
+         .write.mode("overwrite").partitionBy("event_date").parquet(target))
         (batch.filter(F.col("error").isNotNull())
          .select("raw_id", "customer_id", "event_type", "feature", "received_at", "error")
          .write.mode("overwrite").parquet(f"{rejected_root}/batch_id={batch_id}"))
-        written = s.read.parquet(target).agg(F.max("id").cast("bigint")).scalar()
+        written = s.read.schema("id long").parquet(target).agg(F.max("id").cast("bigint")).scalar()
         (s.range(1).select(F.coalesce(written, start).alias("max_id"))
          .write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}"))
 
-    w = checked.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
+    w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -110,7 +110,7 @@ def stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "ingest")
     q = stream_ingest(spark, raw_event_feed(event_stream(spark, sf_dir)), t.customers, t.analytics_events, out)
     _run(q)
-    return spark.read.parquet(f"{out}/accepted").drop("batch_id")
+    return spark.read.parquet(f"{out}/accepted").drop("batch_id", "event_date")
 
 
 # -- I2 / I3 -----------------------------------------------------------------------
@@ -178,7 +178,9 @@ def stream_segment_updates(spark: SparkSession, batches: DataFrame, t: Tables, a
     """Apply each micro-batch of segment updates to the snapshots left by
     the previous micro-batch (the tables for the first) and write the next
     ones under ``batch_id=<n>``; a retried batch reads the same input and
-    overwrites its own output. Per-row results go to ``results/``."""
+    overwrites its own output. Per-row results go to ``results/``. With a
+    column ``request`` what is applied does not depend on how requests fall into
+    micro-batches, as long as a request's rows arrive in one file."""
     seg_root, us_root = f"{out}/segments", f"{out}/user_segments"
 
     def previous(root: str, batch_id: int, default: DataFrame) -> DataFrame:

@@ -8,7 +8,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
+from tessera.functions.joins import stored_aliases
 from tessera.operators import customers as C
+from tessera.operators import ingest as I
+from tessera.operators import merge as G
+from tessera.operators import metrics as M
 from tessera.operators import performance as P
 
 AS_OF = "2024-01-31 00:00:00"
@@ -87,3 +91,44 @@ def test_top_assignment_with_hot_customer(spark):
     assert best[1] == max(conf for _, cust, _, conf, _ in rows if cust == 1)
     plan = C.top_assignment(us)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_key_in_validation_is_split(spark, t001):
+    raw = spark.range(30000).select(
+        F.col("id").alias("raw_id"),
+        F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "CUS-000001")
+         .otherwise((F.col("id") % 140 + 1).cast("string")).alias("customer_id"),
+        F.lit("feature_used").alias("event_type"), F.lit("qris").alias("feature"), F.lit("{}").alias("metadata"),
+        F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz").alias("received_at"))
+    batch = raw.select(F.col("raw_id").alias("pos"), "customer_id", F.lit("investor").alias("segment_name"),
+                       F.lit("").alias("description"), F.lit(0.5).alias("confidence"))
+
+    def run():
+        aliases = stored_aliases(t001.customers)
+        events = I.validate_events(raw, t001.customers, "admin", "CUS-000049", aliases=aliases).select("cid", "error")
+        rows = G.validate_segment_batch(batch, t001.customers, aliases).select("cid", "error")
+        return (_plan(events), events.filter("error IS NULL AND cid = 49").count(),
+                _plan(rows), rows.filter("error IS NULL").count())
+    plan, own, plan2, good = _with_conf(spark, SKEW_CONF, run)
+    assert "skew=true" in plan and own >= 10000
+    assert "skew=true" in plan2 and good == 20000
+
+
+def test_hot_foreign_key_and_segment_dashboard_meet_the_join_once(spark, t001):
+    ev = _skewed_events(spark)
+
+    def run():
+        o = G._orphans(ev, "analytics_events", "customer_id", t001.customers, "id", "customers")
+        d = M.dashboard_metrics(ev, "2024-01-15 00:00:00", "investor", t001.user_segment_history, t001.segments)
+        rows = o.collect()
+        return rows[0], _plan(o), _plan(d)
+    row, orphans, dashboard = _with_conf(spark, SKEW_CONF, run)
+    assert row.checked_rows == 30000 and row.violations == 0
+    # the events are aggregated below the join (plans are printed from the top down)
+    for plan in (orphans, dashboard):
+        assert -1 < plan.find("Join") < plan.rfind("partial_count")
