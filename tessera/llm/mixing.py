@@ -20,6 +20,7 @@ from tessera.llm.common import row_key, shared_table, words
 from tessera.llm.text_stats import SYMBOLS, count_of, word_chars
 
 WEIGHTS = (5, 2, 1)
+LEAST_WEIGHT = 0.1
 
 
 def quality_weight(text: Column) -> Column:
@@ -30,7 +31,7 @@ def quality_weight(text: Column) -> Column:
     plain = 1 - F.coalesce(count_of(t, SYMBOLS) / F.nullif(chars, F.lit(0)), F.lit(0.0))
     mean = chars / n
     shape = F.when(mean < 3, mean / 3).when(mean > 12, 12 / mean).otherwise(1.0)
-    return F.greatest(F.lit(0.1), plain * shape)
+    return F.greatest(F.lit(LEAST_WEIGHT), plain * shape)
 
 
 def targets(sizes: DataFrame, epochs: float = 1.5, most: float = 2.0,
@@ -77,8 +78,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     slim = docs.select(doc_id, *carry, F.col(source).alias("source"), F.size(words(t)).cast("long").alias("size"),
                        quality_weight(t).alias("__w"), u.alias("__u"))
     key = -F.log("__u") / F.col("__w")
-    # for weights near 1 the distribution function of the keys is 1 - exp(-key)
-    bucket = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-key)) * buckets)).cast("int")
+    # The distribution functions of the keys for the largest weight (1) and the least (0.1),
+    # in equal parts: whatever a source's weights, no bucket expects over 2.2 times the mean.
+    place = 1 - (F.exp(-key) + F.exp(-F.lit(LEAST_WEIGHT) * key)) / 2
+    bucket = F.least(F.lit(buckets - 1), F.floor(place * buckets)).cast("int")
     slim = shared_table(slim.select(doc_id, *carry, "source", "size", key.alias("__key"), bucket.alias("__b")), "keys")
     per_bucket = shared_table(slim.groupBy("source", "__b").agg(F.sum("size").alias("n")), "buckets")
     goals = targets(per_bucket.groupBy("source").agg(F.sum("n").alias("size")), epochs, most, weights)
