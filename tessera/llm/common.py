@@ -13,7 +13,6 @@ from tessera.session import ensure_checkpoint_dir
 
 # White space of the word definition: space and the code points 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

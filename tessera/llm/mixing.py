@@ -27,7 +27,7 @@ def quality_weight(text: Column) -> Column:
     """From 0.1 to 1: the share of word characters that are no symbols, times
     how near the mean word length is to that of prose (3 to 12)."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    chars, n = word_chars(t), F.greatest(F.size(words(t)), F.lit(1))
+    chars, n = word_chars(words(t)), F.greatest(F.size(words(t)), F.lit(1))
     plain = 1 - F.coalesce(count_of(t, SYMBOLS) / F.nullif(chars, F.lit(0)), F.lit(0.0))
     mean = chars / n
     shape = F.when(mean < 3, mean / 3).when(mean > 12, 12 / mean).otherwise(1.0)

@@ -28,13 +28,13 @@ BASE_RULES: Rules = {
 }
 METHOD_RULES: Rules = {
     "symbols": lambda t, w: 4 * count_of(t, SYMBOLS) > F.size(w),
-    "shouting": lambda t, w: 2 * count_of(t, string.ascii_uppercase) > word_chars(t),
+    "shouting": lambda t, w: 2 * count_of(t, string.ascii_uppercase) > word_chars(w),
     "exclamations": lambda t, w: 4 * count_of(t, "!") > F.size(w),
-    "short_words": lambda t, w: word_chars(t) < 2 * F.size(w),
-    "long_words": lambda t, w: word_chars(t) > 20 * F.size(w),
+    "short_words": lambda t, w: word_chars(w) < 2 * F.size(w),
+    "long_words": lambda t, w: word_chars(w) > 20 * F.size(w),
     "few_different_words": lambda t, w: 20 * F.size(F.array_distinct(w)) < F.size(w),
     "repeated_lines": lambda t, w: 2 * repeated_lines(t) > F.size(F.split(t, "\n")),
-    "digits": lambda t, w: 2 * count_of(t, string.digits) > word_chars(t),
+    "digits": lambda t, w: 2 * count_of(t, string.digits) > word_chars(w),
 }
 
 

@@ -7,23 +7,25 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, let, words
+from tessera.llm.common import let, words
 
 SYMBOLS = "#*$%&|<>"
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many code points of a non-null text are among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many code points of a non-null text are among ``chars`` (ASCII)."""
+    among = "[" + "".join(c if c.isalnum() else "\\" + c for c in chars) + "]+"
+    return F.length(text) - F.length(F.regexp_replace(text, among, ""))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACE_CHARS, ""))
+def word_chars(w: Column) -> Column:
+    """Code points in the words ``w``."""
+    return F.length(F.array_join(w, ""))
 
 
 def repeated_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    full = F.filter(F.split(text, "\n"), lambda x: word_chars(x) > 0)
+    full = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     return let(full, lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
 
 
@@ -63,7 +65,7 @@ def base_stats(text: Column) -> Column:
     def stats(t: Column) -> Column:
         return let(words(t), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            word_chars(t).cast("long").alias("word_chars"),
+            word_chars(w).cast("long").alias("word_chars"),
             count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
             repeated_lines(t).cast("long").alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words")))
