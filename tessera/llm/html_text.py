@@ -7,13 +7,15 @@ the characters per tag, scaled down by the share of link characters and link tag
     C/T * log_b(C/lc' * T/lt'),   b = ln(lc/C' * C + lc' + e)
 
 (C, T: characters and tags; lc, lt those inside links; C' those outside; counts of zero
-count as one). The density sum of a node adds its children's densities. The node of the
-largest sum is found; the smallest density on its path up to ``body`` is the
-threshold, and the whole subtree that is kept is the topmost node on that path, below
-``body``, all of whose path down stays above it, or ``body`` if several of its children do.
-
-Scripts, styles, forms, and elements whose tag or class says menu, header, footer, sidebar,
-notice, advert or comment are taken out of the tree before densities are computed.
+count as one; on a page without links, where the base is 1, the density is C/T). The density
+sum of a node adds its children's densities, or is its own where it has text of its own and
+that is more. The node of the largest sum is found; the smallest density on its path up to
+``body`` is the threshold, and the subtree grows up that path over every ancestor that has
+another child as dense as the threshold.
+
+Densities are computed on the page as it is shown, menus and footers included; only scripts,
+styles and hidden elements leave the tree before. Elements whose tag or class says menu,
+header, footer, sidebar, notice, advert or comment leave it before the main text is looked for.
 """
 
 from __future__ import annotations
@@ -47,8 +49,12 @@ ENDS: dict[str, list[tuple[str, frozenset]]] = {}
 for _open, (_by, _scope) in ENDED_BY.items():
     for _tag in _by.split():
         ENDS.setdefault(_tag, []).append((_open, frozenset(_scope.split())))
-DROP = frozenset("""head script style noscript template iframe object embed svg math canvas audio video map form button
-    input select textarea nav menu header footer aside dialog title""".split())
+# not shown as text; boilerplate by tag
+UNSEEN = frozenset("""head script style noscript template iframe object embed svg math canvas audio video map button
+    input select textarea title""".split())
+DROP = frozenset("nav menu header footer aside dialog".split())
+# what happens to an element: kept, left out, left out of the counts too
+KEPT, BOILERPLATE, GONE = range(3)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = re.compile(r"[a-z]+")
 BOILER = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted
@@ -66,34 +72,36 @@ MARKS = re.compile(r"(?:^|\s)(?:class|id|role|hidden|aria-hidden|style)\b", re.I
 class Node:
     __slots__ = ("tag", "children", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent, drop: bool):
+    def __init__(self, tag: str, parent, drop: int):
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _boiler(tag: str, attrs: str) -> bool:
-    if tag in DROP:
-        return True
-    if not MARKS.search(attrs) or tag in ("html", "body", "article", "main"):
-        return False
+def _boiler(tag: str, attrs: str) -> int:
+    if tag in UNSEEN:
+        return GONE
+    drop = BOILERPLATE if tag in DROP or tag == "form" else KEPT
+    if not MARKS.search(attrs):
+        return drop
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name in ("class", "id") and not BOILER.isdisjoint(WORDS.findall(value)):
-            return True
-        if name == "role" and value.strip() in ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if tag not in ("html", "body", "article", "main"):
+            if name in ("class", "id") and not BOILER.isdisjoint(WORDS.findall(value)):
+                drop = max(drop, BOILERPLATE)
+            if name == "role" and value.strip() in ROLES:
+                drop = max(drop, BOILERPLATE)
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                drop = GONE
+            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                drop = GONE
+    return drop
 
 
 def parse(page: str) -> Node:
     """The tree below ``html``; children are nodes and texts with references decoded."""
-    root = Node("html", None, False)
-    body = Node("body", root, False)
+    root = Node("html", None, KEPT)
+    body = Node("body", root, KEPT)
     root.children.append(body)
     at, pos, end = body, 0, len(page)
     while pos < end:
@@ -117,7 +125,7 @@ def parse(page: str) -> Node:
             if n is not body and n.tag == tag:
                 at = n.parent
             elif tag == "p":
-                at.children.append(Node("p", at, False))
+                at.children.append(Node("p", at, KEPT))
             continue
         if tag in ("html", "body"):
             continue
@@ -145,7 +153,7 @@ def parse(page: str) -> Node:
 
 
 def _measure(body: Node) -> list[Node]:
-    """Counts of every node, from the leaves up; dropped nodes go."""
+    """Counts of every node, from the leaves up; nodes that are not shown go."""
     order, todo = [], [(body, False)]
     while todo:
         node, linked = todo.pop()
@@ -158,7 +166,7 @@ def _measure(body: Node) -> list[Node]:
                 n = len(SPACE.sub(" ", c).strip())
                 node.chars += n
                 node.link_chars += n if linked else 0
-            elif not c.drop:
+            elif c.drop != GONE:
                 kept.append(c)
                 todo.append((c, linked))
         node.children = kept
@@ -182,18 +190,33 @@ def _densities(nodes: list[Node], body: Node) -> None:
         links, link_tags = max(n.link_chars, 1), max(n.link_tags, 1)
         base = math.log(n.link_chars * c / plain + share * c + math.e)
         ratio = c / links * t / link_tags
-        n.density = c / t * math.log(max(ratio, 1.0)) / math.log(base) if base > 1.0 and ratio > 1.0 else 0.0
+        n.density = c / t * math.log(max(ratio, 1.0)) / math.log(base) if base > 1.0 and ratio > 1.0 else (
+            0.0 if base > 1.0 else c / t)
+
+
+def _without_boilerplate(body: Node) -> list[Node]:
+    """What remains of the tree, parents first."""
+    out, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or c.drop == KEPT]
+        todo.extend(c for c in node.children if not isinstance(c, str))
+    return out
+
+
+def _total(n: Node) -> float:
+    total = sum(c.density for c in n.children if not isinstance(c, str))
+    return max(total, n.density) if any(isinstance(c, str) and c.strip() for c in n.children) else total
 
 
 def select(body: Node) -> Node:
     """The subtree that holds the main text."""
-    nodes = _measure(body)
-    _densities(nodes, body)
-    best, most = body, -1.0
-    for n in nodes:
-        total = sum(c.density for c in n.children if not isinstance(c, str)) + (
-            n.density if not any(not isinstance(c, str) for c in n.children) else 0.0)
-        if total > most:
+    _densities(_measure(body), body)
+    best, most = body, 0.0
+    for n in _without_boilerplate(body):
+        total = _total(n)
+        if total > most or total == most > 0:
             best, most = n, total
     # the path up to the body gives the threshold; the subtree grows over ancestors that have further dense text
     path = [best]
@@ -201,8 +224,8 @@ def select(body: Node) -> Node:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
     chosen = best
-    for n in path[1:]:
-        others = [c for c in n.children if not isinstance(c, str) and c not in path and c.density >= threshold > 0]
+    for below, n in zip(path, path[1:], strict=False):
+        others = [c for c in n.children if not isinstance(c, str) and c is not below and c.density >= threshold > 0]
         loose = any(isinstance(c, str) and c.strip() for c in n.children)
         if (others and sum(c.chars for c in others) * 10 >= chosen.chars) or loose or n.tag in ("article", "main"):
             chosen = n

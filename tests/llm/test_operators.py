@@ -343,6 +343,18 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = "".join(f"<p>{'A long passage of the story goes on here. ' * 6}" for _ in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    # no link at all; no link once the menu is gone
+    f"<div>Please read this.</div><div>{STORY}</div><div><span>one</span> <span>two</span></div>",
+    f"<nav><a href=1>menu</a></nav><div><ul><li>one<li>two<li>three</ul></div><div>{STORY}</div>",
+])
+def test_density_finds_unmarked_boilerplate(page):
+    assert html_text.main_text(page) == " ".join(["A long passage of the story goes on here."] * 24)
+
+
 def test_extract(spark):
     rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (2, None, None), (None, "v", "<p>" + "long text " * 50_000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
