@@ -11,11 +11,16 @@ count as one; on a page without links, where the base is 1, the density is C/T).
 sum of a node adds its children's densities, or is its own where it has text of its own and
 that is more. The node of the largest sum is found; the smallest density on its path up to
 ``body`` is the threshold, and the subtree grows up that path over every ancestor that has
-another child as dense as the threshold.
+another child as dense as the threshold, or a heading beside it. An ``article`` or ``main`` on
+the path is taken whole, and only a further one makes it grow. List-like children of the grown
+ancestors that are mostly links, at less than the threshold, are menus and go.
 
 Densities are computed on the page as it is shown, menus and footers included; only scripts,
 styles and hidden elements leave the tree before. Elements whose tag or class says menu,
 header, footer, sidebar, notice, advert or comment leave it before the main text is looked for.
+A form, or an element that only a class or id word names so, stays if it holds the main text:
+what it holds has a larger density sum and more characters outside links than all that remains
+beside it, and no ``article`` or ``main`` shows its text there.
 """
 
 from __future__ import annotations
@@ -53,8 +58,11 @@ for _open, (_by, _scope) in ENDED_BY.items():
 UNSEEN = frozenset("""head script style noscript template iframe object embed svg math canvas audio video map button
     input select textarea title""".split())
 DROP = frozenset("nav menu header footer aside dialog".split())
-# what happens to an element: kept, left out, left out of the counts too
-KEPT, BOILERPLATE, GONE = range(3)
+# what happens to an element: kept, left out unless it holds the main text, left out, left out of the counts too
+KEPT, NAMED, BOILERPLATE, GONE = range(4)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# a class that begins so says what an element has or lacks, not what it is
+WITH = frozenset("no non not has have with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = re.compile(r"[a-z]+")
 BOILER = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted
@@ -81,16 +89,17 @@ class Node:
 def _boiler(tag: str, attrs: str) -> int:
     if tag in UNSEEN:
         return GONE
-    drop = BOILERPLATE if tag in DROP or tag == "form" else KEPT
+    drop = BOILERPLATE if tag in DROP else NAMED if tag == "form" else KEPT
     if not MARKS.search(attrs):
         return drop
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if tag not in ("html", "body", "article", "main"):
-            if name in ("class", "id") and not BOILER.isdisjoint(WORDS.findall(value)):
-                drop = max(drop, BOILERPLATE)
+            if name in ("class", "id") and any(w[0] not in WITH and not BOILER.isdisjoint(w)
+                                               for w in map(WORDS.findall, value.split()) if w):
+                drop = max(drop, NAMED)
             if name == "role" and value.strip() in ROLES:
-                drop = max(drop, BOILERPLATE)
+                drop = max(drop, NAMED if value.strip() in ("form", "search") else BOILERPLATE)
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 drop = GONE
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -194,27 +203,57 @@ def _densities(nodes: list[Node], body: Node) -> None:
             0.0 if base > 1.0 else c / t)
 
 
-def _without_boilerplate(body: Node) -> list[Node]:
-    """What remains of the tree, parents first."""
-    out, todo = [], [body]
+def _shown(n: Node) -> list:
+    return [c for c in n.children if isinstance(c, str) or c.drop == KEPT]
+
+
+def _below(top: Node, held: bool = False) -> list[Node]:
+    """``top`` and the nodes below it, parents first, without what is left out
+    (``held``: named elements are entered)."""
+    out, todo = [], [top]
     while todo:
         node = todo.pop()
         out.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or c.drop == KEPT]
-        todo.extend(c for c in node.children if not isinstance(c, str))
+        todo.extend(c for c in node.children if not isinstance(c, str) and c.drop <= (NAMED if held else KEPT))
     return out
 
 
+def _plain(nodes: list[Node]) -> int:
+    """Characters of the nodes' own texts outside links."""
+    return sum(n.chars - n.link_chars - sum(c.chars - c.link_chars for c in n.children if not isinstance(c, str))
+               for n in nodes)
+
+
+def _keep_main(body: Node) -> None:
+    """Named elements that hold the main text are kept."""
+    while True:
+        seen = _below(body)
+        named = [c for n in seen for c in n.children if not isinstance(c, str) and c.drop == NAMED]
+        if not named:
+            return
+        for n in seen:
+            if n.tag in ("article", "main") and 2 * _plain(_below(n)) >= _plain(_below(n, True)):
+                return
+        inside = [(max(map(_total, nodes)), _plain(nodes), c) for c in named for nodes in [_below(c, True)]]
+        most, chars, main = max(inside, key=lambda x: x[:2])
+        if most <= max(map(_total, seen)) or chars <= _plain(seen):
+            return
+        main.drop = KEPT
+
+
 def _total(n: Node) -> float:
-    total = sum(c.density for c in n.children if not isinstance(c, str))
+    total = sum(c.density for c in n.children if not isinstance(c, str) and c.drop == KEPT)
     return max(total, n.density) if any(isinstance(c, str) and c.strip() for c in n.children) else total
 
 
 def select(body: Node) -> Node:
     """The subtree that holds the main text."""
     _densities(_measure(body), body)
+    _keep_main(body)
+    nodes = _below(body)
     best, most = body, 0.0
-    for n in _without_boilerplate(body):
+    for n in nodes:
+        n.children = _shown(n)
         total = _total(n)
         if total > most or total == most > 0:
             best, most = n, total
@@ -223,13 +262,31 @@ def select(body: Node) -> Node:
     while path[-1] is not body:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    chosen = best
-    for below, n in zip(path, path[1:], strict=False):
-        others = [c for c in n.children if not isinstance(c, str) and c is not below and c.density >= threshold > 0]
-        loose = any(isinstance(c, str) and c.strip() for c in n.children)
-        if (others and sum(c.chars for c in others) * 10 >= chosen.chars) or loose or n.tag in ("article", "main"):
-            chosen = n
-    return chosen
+    marked = {id(n) for n in nodes if n.tag in ("article", "main") and n.chars}
+    for n in reversed(nodes):
+        if id(n) in marked and n.parent is not None:
+            marked.add(id(n.parent))
+    named = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=None)
+    chosen = named or 0
+    for k, (below, n) in enumerate(zip(path, path[1:], strict=False), 1):
+        others = [c for c in n.children if not isinstance(c, str) and c is not below and c.chars]
+        if named is not None:
+            grows = any(id(c) in marked for c in others)
+        else:
+            grows = (any(c.density >= threshold > 0 or c.tag in HEADINGS for c in others)
+                     or any(isinstance(c, str) and c.strip() for c in n.children))
+        if grows:
+            chosen = max(chosen, k)
+    if named is None:
+        for k, n in enumerate(path[:chosen + 1]):
+            n.children = [c for c in n.children if isinstance(c, str) or (k and c is path[k - 1])
+                          or not _menu(c, threshold)]
+    return path[chosen]
+
+
+def _menu(n: Node, threshold: float) -> bool:
+    return (n.density < threshold and n.link_tags > 1 and 2 * n.link_chars > n.chars and n.tag in BLOCK
+            and n.tag != "p" and n.tag not in HEADINGS)
 
 
 def blocks(node: Node) -> list[str]:

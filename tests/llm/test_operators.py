@@ -355,6 +355,24 @@ def test_density_finds_unmarked_boilerplate(page):
     assert html_text.main_text(page) == " ".join(["A long passage of the story goes on here."] * 24)
 
 
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'>{STORY}</div><p>a stray line</p>", f"<div class='no-comments'>{STORY}</div>",
+    f"<div id='notice-article'>{STORY}</div>", f"<p>Stray.</p><form action=x>{STORY}</form>",
+    f"<form><div class=sidebar><p>other things beside</div><div class=page-notice>{STORY}</div></form>",
+])
+def test_named_wrapper_keeps_the_article(page):
+    assert " ".join(["A long passage of the story goes on here."] * 24) in html_text.main_text(page)
+    assert "beside" not in html_text.main_text(page)
+
+
+def test_title_lead_and_end_beside_long_text():
+    lead, end = "A lead of one sentence, which is rather long itself.", "The end of it, in one more sentence that is long."
+    body = "".join(f"<p>{'More of the long text. ' * 8}" for _ in range(60))
+    page = (f"<nav><a href=1>menu</a><a href=2>menu</a></nav><div><h1>Title</h1><p>{lead}</p><div>{body}</div>"
+            f"<ul><li><a href=3>other page</a><li><a href=4>third page</a></ul><p>{end}</p></div>")
+    assert html_text.main_text(page) == " ".join(["Title", lead, *["More of the long text."] * 480, end])
+
+
 def test_extract(spark):
     rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (2, None, None), (None, "v", "<p>" + "long text " * 50_000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
