@@ -28,13 +28,20 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 0, 20),
     ("hex", r"[0-9a-f]+", 0, 0, 24),
 ]
+# What may stand between the parts of a key: white space, ends of line written as \n, quotes and marks of code.
+GAP = r"""(?:[\s>#*"'+,;|]|\\[rn])*"""
+LINE_END = r"""["'\s]*(?:\n|\\n|\Z)"""
+# A key without END: its headers, its lines of base64, and a last, short one that stands alone.
+OPEN_KEY = (r"(?:[\x20\t>]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z][A-Za-z0-9-]*:[\x20\t](?:(?!\\n)[^\r\n])*)*"
+            rf"(?:{GAP}[A-Za-z0-9+/=]{{16,}})*(?:{GAP}=?[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={LINE_END}))?")
 # Well-known token shapes that the base rules miss or cut.
 MORE_RULES = [
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0, 1),
+    ("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?"
+     rf"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|{OPEN_KEY})", 0, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, 1),
-    ("code_host", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 0, 1),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}", 0, 0, 1),
     ("chat", r"xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", re.IGNORECASE | re.ASCII, 0, 1),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:[^\s/@]{3,}@", re.IGNORECASE | re.ASCII, 0, 1),
 ]
 RULES = BASE_RULES + MORE_RULES
 
