@@ -9,6 +9,9 @@ and the longest common extension of two positions is found by binary search.
 * The likeness of two texts is the share of the longer one that their longest
   common prefix and, in what is left, their longest common suffix cover; two
   empty texts are alike (1).
+* The cover of two texts is the share of both that lies in spans of ``SPAN`` code points (of
+  the shorter text, if that is less) which the other one has too, wherever they stand. So
+  copies with any number of scattered edits, and shared passages that have moved, count.
 
 Neighbours in doc_id order meet by one range partitioning of the texts; each
 partition is read as a stream that holds two documents. The last document of a
@@ -32,19 +35,23 @@ from tessera.llm.common import shared_table
 MODULI = (2147483647, 2147483629)
 BASES = (1103515245, 69069069)
 _powers: dict[int, list] = {}
+_inverses: dict[int, list] = {}
+# Code points of the spans that the cover looks for.
+SPAN = 16
 
 
-def powers(n: int) -> list:
-    """``B**i mod p`` for i < n at least, for both moduli; kept and doubled."""
+def powers(n: int, inverse: bool = False) -> list:
+    """``B**i mod p`` (``B**-i``) for i < n at least, for both moduli; kept and doubled."""
     import numpy as np
 
+    kept = _inverses if inverse else _powers
     for m, (p, base) in enumerate(zip(MODULI, BASES, strict=True)):
-        have = _powers.setdefault(m, np.ones(1, dtype=np.int64))
+        have = kept.setdefault(m, np.ones(1, dtype=np.int64))
         while len(have) < n:
-            step = pow(base, len(have), p)
+            step = pow(base, -len(have) if inverse else len(have), p)
             have = np.concatenate([have, have * step % p])
-        _powers[m] = have
-    return [_powers[0], _powers[1]]
+        kept[m] = have
+    return [kept[0], kept[1]]
 
 
 class Prefixes:
@@ -53,7 +60,7 @@ class Prefixes:
     def __init__(self, text: str):
         import numpy as np
 
-        self.text = text
+        self.text, self._spans = text, {}
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64) + 1
         self.n = len(codes)
         self.sums = []
@@ -67,6 +74,18 @@ class Prefixes:
         return tuple(int(s[j] - s[i]) % p * int(pw[at - i]) % p
                      for s, p, pw in zip(self.sums, MODULI, pws, strict=True))
 
+    def spans(self, length: int) -> tuple:
+        """The hashes of all spans of ``length`` as if they began at 0, in order and sorted."""
+        import numpy as np
+
+        if length not in self._spans:
+            many = self.n - length + 1
+            a, b = ((s[length:] - s[:many]) % p * inv[:many] % p
+                    for s, p, inv in zip(self.sums, MODULI, powers(many, inverse=True), strict=True))
+            hashes = a << 31 | b
+            self._spans[length] = hashes, np.sort(hashes)
+        return self._spans[length]
+
     def fingerprint(self) -> str:
         a, b = (int(s[-1]) for s in self.sums)
         return f"{self.n:x}-{a:08x}{b:08x}"
@@ -104,6 +123,25 @@ def likeness(x: Prefixes, y: Prefixes) -> float:
     return (head + common_suffix(x, y, min(x.n, y.n) - head)) / most
 
 
+def _covered(x: Prefixes, y: Prefixes, length: int) -> int:
+    """The code points of ``x`` in spans of ``length`` that ``y`` has."""
+    import numpy as np
+
+    own, there = x.spans(length)[0], y.spans(length)[1]
+    place = np.minimum(np.searchsorted(there, own), len(there) - 1)
+    at = np.flatnonzero(there[place] == own)
+    # each span adds what the one before it has not covered
+    return int(np.minimum(np.diff(at), length).sum()) + length if len(at) else 0
+
+
+def cover(x: Prefixes, y: Prefixes) -> float:
+    if not x.n or not y.n:
+        return float(x.n == y.n)
+    length = min(SPAN, x.n, y.n)
+    n = _covered(x, y, length)
+    return (n + _covered(y, x, length)) / (x.n + y.n) if n else 0.0
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its last third replaced by as much of ``following``'s start."""
     k = len(text) // 3
@@ -113,17 +151,18 @@ def edited(text: str, following: str) -> str:
 def _compare(own: Prefixes, following: Prefixes) -> tuple:
     changed = Prefixes(edited(own.text, following.text))
     return (own.n, hashlib.sha256(changed.text.encode()).hexdigest(), own.fingerprint(), changed.fingerprint(),
-            likeness(own, changed), likeness(own, following))
+            likeness(own, changed), likeness(own, following), cover(own, changed), cover(own, following))
 
 
 RESULT = [T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
           T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
-          T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
+          T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
+          T.StructField("cover_edited", T.DoubleType()), T.StructField("cover_next", T.DoubleType())]
 
 
 def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, cover_edited, cover_next.
 
     The next document is the one after it by descending doc_id, after the last
     one the first; nulls come last, rows of equal doc_id follow each other by
