@@ -19,6 +19,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import let, shared_table, words
 from tessera.llm.text_stats import SYMBOLS, base_stats, count_of, repeated_lines, repeated_words, word_chars
 
+# Distinct words grow slower than words, so they are counted in windows of so many words.
+WINDOW = 32_768
+
+
+def distinct_words(w: Column) -> Column:
+    """Distinct words of each window, added up; in texts of one window the distinct words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(WINDOW))
+    return F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(w, at, WINDOW))))
+
+
 # name -> (text, its words) -> whether the text is rejected
 Rules = dict[str, Callable[[Column, Column], Column]]
 
@@ -32,7 +42,7 @@ METHOD_RULES: Rules = {
     "exclamations": lambda t, w: 4 * count_of(t, "!") > F.size(w),
     "short_words": lambda t, w: word_chars(w) < 2 * F.size(w),
     "long_words": lambda t, w: word_chars(w) > 20 * F.size(w),
-    "few_different_words": lambda t, w: 20 * F.size(F.array_distinct(w)) < F.size(w),
+    "few_different_words": lambda t, w: 20 * distinct_words(w) < F.size(w),
     "repeated_lines": lambda t, w: 2 * repeated_lines(t) > F.size(F.split(t, "\n")),
     "digits": lambda t, w: 2 * count_of(t, string.digits) > word_chars(w),
 }

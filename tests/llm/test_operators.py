@@ -423,6 +423,17 @@ def test_cascade_order_changes_no_verdict(docs, no_docs):
     assert quality_rules.judge(no_docs).count() == 0
 
 
+def test_long_clean_text_is_kept(spark):
+    import random
+    rng = random.Random(1)
+    clean = " ".join(f"w{rng.randrange(30_000)}" for _ in range(1_000_000))
+    poor = " ".join(f"w{rng.randrange(1_000)}" for _ in range(1_000_000))
+    d = spark.createDataFrame([(1, clean), (2, poor), (3, ""), (4, None), (5, "a " * 21), (6, "a " * 20)],
+                              "doc_id long, text string")
+    rule = {"few_different_words": quality_rules.METHOD_RULES["few_different_words"]}
+    assert {r.doc_id for r in quality_rules.keep_good(d, rule).collect()} == {1, 3, 4, 6}
+
+
 # -- 9 secrets -------------------------------------------------------------------
 def slow_spans(text):
     out = []
