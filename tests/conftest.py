@@ -6,9 +6,10 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+
+from oracle_util import SF001  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 
 

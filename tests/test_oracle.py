@@ -6,8 +6,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
-from oracle_util import compare, duck
+from oracle_util import SF001, compare, duck
 
 ORACLE_KEYS = sorted(E.oracle_sql())
 ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
