@@ -6,12 +6,13 @@ entries (brought to a common power of B), so equality of any two spans takes con
 and the longest common extension of two positions is found by binary search.
 
 * The fingerprint is the length and the two hashes of the whole text.
-* The likeness of two texts is the share of the longer one that their longest
-  common prefix and, in what is left, their longest common suffix cover; two
-  empty texts are alike (1).
-* The cover of two texts is the share of both that lies in spans of ``SPAN`` code points (of
-  the shorter text, if that is less) which the other one has too, wherever they stand. So
-  copies with any number of scattered edits, and shared passages that have moved, count.
+* The likeness of two texts is the share of both that lies in their longest common prefix, in the longest common
+  suffix of what is left, or in spans of ``SPAN`` code points (of the shorter text, if that is less) which the other text
+  has too, wherever they stand. So copies with any number of scattered edits, and shared passages that have moved, count;
+  edits less than ``SPAN`` apart hide what is between. Two empty texts are alike (1). Only what prefix and suffix leave
+  is looked up span by span, in sorted order.
+
+A text is worked on in memory, at some 80 bytes a code point, with its neighbour.
 
 Neighbours in doc_id order meet by one range partitioning of the texts; each
 partition is read as a stream that holds two documents. The last document of a
@@ -36,7 +37,7 @@ MODULI = (2147483647, 2147483629)
 BASES = (1103515245, 69069069)
 _powers: dict[int, list] = {}
 _inverses: dict[int, list] = {}
-# Code points of the spans that the cover looks for.
+# Code points of the spans that the likeness looks for.
 SPAN = 16
 
 
@@ -60,7 +61,7 @@ class Prefixes:
     def __init__(self, text: str):
         import numpy as np
 
-        self.text, self._spans = text, {}
+        self.text, self._sorted = text, {}
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64) + 1
         self.n = len(codes)
         self.sums = []
@@ -74,17 +75,19 @@ class Prefixes:
         return tuple(int(s[j] - s[i]) % p * int(pw[at - i]) % p
                      for s, p, pw in zip(self.sums, MODULI, pws, strict=True))
 
-    def spans(self, length: int) -> tuple:
-        """The hashes of all spans of ``length`` as if they began at 0, in order and sorted."""
+    def spans(self, length: int, begin: int, end: int):
+        """The hashes of the spans of ``length`` that start in ``[begin, end)``, as if they began at 0."""
+        a, b = ((s[begin + length:end + length] - s[begin:end]) % p * inv[begin:end] % p
+                for s, p, inv in zip(self.sums, MODULI, powers(max(end, 1), inverse=True), strict=True))
+        return a << 31 | b
+
+    def sorted_spans(self, length: int):
+        """The hashes of all spans of ``length``, sorted; kept."""
         import numpy as np
 
-        if length not in self._spans:
-            many = self.n - length + 1
-            a, b = ((s[length:] - s[:many]) % p * inv[:many] % p
-                    for s, p, inv in zip(self.sums, MODULI, powers(many, inverse=True), strict=True))
-            hashes = a << 31 | b
-            self._spans[length] = hashes, np.sort(hashes)
-        return self._spans[length]
+        if length not in self._sorted:
+            self._sorted[length] = np.sort(self.spans(length, 0, self.n - length + 1))
+        return self._sorted[length]
 
     def fingerprint(self) -> str:
         a, b = (int(s[-1]) for s in self.sums)
@@ -115,31 +118,43 @@ def common_suffix(x: Prefixes, y: Prefixes, limit: int) -> int:
     return lo
 
 
-def likeness(x: Prefixes, y: Prefixes) -> float:
-    most = max(x.n, y.n)
-    if not most:
-        return 1.0
-    head = common_extension(x, 0, y, 0)
-    return (head + common_suffix(x, y, min(x.n, y.n) - head)) / most
-
-
-def _covered(x: Prefixes, y: Prefixes, length: int) -> int:
-    """The code points of ``x`` in spans of ``length`` that ``y`` has."""
+def _covered(spans, there, length: int, begin: int, first: int, last: int) -> int:
+    """The places in ``[first, last)`` that spans of ``length`` cover, if they occur ``there`` (sorted); ``spans`` start at
+    ``begin``, ``begin + 1``, .."""
     import numpy as np
 
-    own, there = x.spans(length)[0], y.spans(length)[1]
-    place = np.minimum(np.searchsorted(there, own), len(there) - 1)
-    at = np.flatnonzero(there[place] == own)
+    # in sorted order one look-up is next to the one before; common spans are few or make up the text
+    own = np.sort(spans)
+    common = own[there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own]
+    if not len(common):
+        return 0
+    at = np.flatnonzero(common[np.minimum(np.searchsorted(common, spans), len(common) - 1)] == spans) + begin
+    ends = np.minimum(at + length, last)
     # each span adds what the one before it has not covered
-    return int(np.minimum(np.diff(at), length).sum()) + length if len(at) else 0
+    return int((ends - np.maximum(at, np.concatenate([[first], ends[:-1]]))).sum())
 
 
-def cover(x: Prefixes, y: Prefixes) -> float:
+def likeness(x: Prefixes, y: Prefixes) -> float:
+    import numpy as np
+
     if not x.n or not y.n:
         return float(x.n == y.n)
+    head = common_extension(x, 0, y, 0)
+    tail = common_suffix(x, y, min(x.n, y.n) - head)
+    same = 2 * (head + tail)
     length = min(SPAN, x.n, y.n)
-    n = _covered(x, y, length)
-    return (n + _covered(y, x, length)) / (x.n + y.n) if n else 0.0
+    if same < x.n + y.n:
+        begin = max(head - length + 1, 0)
+        (ends_x, own_x), (ends_y, own_y) = ((e, t.spans(length, begin, e)) for t in (x, y)
+                                            for e in [max(begin, min(t.n - length + 1, t.n - tail))])
+        # the spans of y are its own ones and those that lie in the common prefix or suffix
+        there_y = y.sorted_spans(length) if begin == 0 and ends_y == y.n - length + 1 else np.sort(np.concatenate(
+            [x.spans(length, 0, begin), own_y, x.spans(length, ends_x, x.n - length + 1)]))
+        if len(own_x):
+            same += _covered(own_x, there_y, length, begin, head, x.n - tail)
+        if len(own_y):
+            same += _covered(own_y, x.sorted_spans(length), length, begin, head, y.n - tail)
+    return same / (x.n + y.n)
 
 
 def edited(text: str, following: str) -> str:
@@ -151,18 +166,17 @@ def edited(text: str, following: str) -> str:
 def _compare(own: Prefixes, following: Prefixes) -> tuple:
     changed = Prefixes(edited(own.text, following.text))
     return (own.n, hashlib.sha256(changed.text.encode()).hexdigest(), own.fingerprint(), changed.fingerprint(),
-            likeness(own, changed), likeness(own, following), cover(own, changed), cover(own, following))
+            likeness(own, changed), likeness(own, following))
 
 
 RESULT = [T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
           T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
-          T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
-          T.StructField("cover_edited", T.DoubleType()), T.StructField("cover_next", T.DoubleType())]
+          T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
 
 
 def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, cover_edited, cover_next.
+    edited_fingerprint, near_edited, near_next.
 
     The next document is the one after it by descending doc_id, after the last
     one the first; nulls come last, rows of equal doc_id follow each other by

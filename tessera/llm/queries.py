@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (html_text, licenses, mixing, packing, prefix_hash, quality_model, quality_rules, secrets,
-                         simhash, url_rules)
+from tessera.llm import (decontamination, html_text, licenses, mixing, packing, periodic_runs, prefix_hash,
+                         quality_model, quality_rules, secrets, simhash, url_rules, whitening)
 from tessera.llm.common import table
 
 # The listed rules of the URL filter: (host, path, verdict).
@@ -67,9 +67,22 @@ def op10_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filter, op3_packing, op4_quality_model, op5_mixing, op6_licenses,
-                            op7_html_text, op8_quality_rules, op9_secrets, op10_prefix_hash)}
+                            op7_html_text, op8_quality_rules, op9_secrets, op10_prefix_hash, op11_whitening,
+                            op12_periodic_runs, op13_decontamination)}
 
 SPACES = r"[\x20\x09-\x0D]"
 CHARS = "regexp_replace(t, '" + SPACES + "', '', 'g')"
@@ -119,4 +132,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 20 * len(list_distinct(w)) < n_words OR 2 * n_dup_lines > n_lines
             OR 2 * {_symbols('[0-9]')} > word_chars) AS kept
 FROM f""",
+    "op13_decontamination": r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k,
+               unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+        FROM item WHERE len(w) > 0),
+doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+own AS (SELECT r, k, unnest(range(0, len(w) - k + 1)) AS i,
+               unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+        FROM doc CROSS JOIN (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+occ AS (SELECT DISTINCT r, i, k, item_id FROM own JOIN win USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM occ) GROUP BY r),
+held AS (SELECT r, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS s
+         FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM occ WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(held.n, 0) AS n_items,
+       coalesce(held.s, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN held USING (r)""",
 }
