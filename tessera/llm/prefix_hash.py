@@ -23,7 +23,7 @@ afterwards.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,18 +41,25 @@ _inverses: dict[int, list] = {}
 SPAN = 16
 
 
-def powers(n: int, inverse: bool = False) -> list:
+def powers(n: int, inverse: bool = False) -> dict:
     """``B**i mod p`` (``B**-i``) for i < n at least, for both moduli; kept and doubled."""
     import numpy as np
 
     kept = _inverses if inverse else _powers
+    if kept and len(kept[0]) >= n:
+        return kept
     for m, (p, base) in enumerate(zip(MODULI, BASES, strict=True)):
-        have = kept.setdefault(m, np.ones(1, dtype=np.int64))
+        have = kept.get(m, np.ones(1, dtype=np.int64))
         while len(have) < n:
             step = pow(base, -len(have) if inverse else len(have), p)
             have = np.concatenate([have, have * step % p])
         kept[m] = have
-    return [kept[0], kept[1]]
+    return kept
+
+
+def _mod(values, p: int):
+    """``values % p`` of an array of whole numbers, none negative (division by one number is the faster way)."""
+    return values - values // p * p
 
 
 class Prefixes:
@@ -65,20 +72,22 @@ class Prefixes:
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64) + 1
         self.n = len(codes)
         self.sums = []
-        for p, pw in zip(MODULI, powers(self.n + 1), strict=True):
+        pws = powers(self.n + 1)
+        for m, p in enumerate(MODULI):
             # residues stay below 2^31, so 2^32 of them can be summed before the remainder
-            self.sums.append(np.concatenate([[0], np.cumsum(codes * pw[:self.n] % p) % p]))
+            self.sums.append(np.concatenate([[0], _mod(np.cumsum(_mod(codes * pws[m][:self.n], p)), p)]))
 
     def span(self, i: int, j: int, at: int) -> tuple[int, int]:
         """The hash of ``[i, j)`` as if it began at position ``at >= i``."""
         pws = powers(at - i + 1)
-        return tuple(int(s[j] - s[i]) % p * int(pw[at - i]) % p
-                     for s, p, pw in zip(self.sums, MODULI, pws, strict=True))
+        return tuple((int(s[j]) - int(s[i])) * int(pws[m][at - i]) % p
+                     for m, (s, p) in enumerate(zip(self.sums, MODULI, strict=True)))
 
     def spans(self, length: int, begin: int, end: int):
         """The hashes of the spans of ``length`` that start in ``[begin, end)``, as if they began at 0."""
-        a, b = ((s[begin + length:end + length] - s[begin:end]) % p * inv[begin:end] % p
-                for s, p, inv in zip(self.sums, MODULI, powers(max(end, 1), inverse=True), strict=True))
+        inv = powers(max(end, 1), inverse=True)
+        a, b = (_mod((s[begin + length:end + length] - s[begin:end] + p) * inv[m][begin:end], p)
+                for m, (s, p) in enumerate(zip(self.sums, MODULI, strict=True)))
         return a << 31 | b
 
     def sorted_spans(self, length: int):
@@ -102,19 +111,25 @@ def equal_spans(x: Prefixes, i: int, y: Prefixes, j: int, length: int) -> bool:
 
 def common_extension(x: Prefixes, i: int, y: Prefixes, j: int) -> int:
     """The longest length for which the spans from ``i`` and ``j`` on are equal."""
-    lo, hi = 0, min(x.n - i, y.n - j)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if equal_spans(x, i, y, j, mid) else (lo, mid - 1)
-    return lo
+    return _longest(min(x.n - i, y.n - j), lambda k: equal_spans(x, i, y, j, k))
 
 
 def common_suffix(x: Prefixes, y: Prefixes, limit: int) -> int:
     """The longest common suffix of at most ``limit`` code points."""
-    lo, hi = 0, limit
+    return _longest(limit, lambda k: equal_spans(x, x.n - k, y, y.n - k, k))
+
+
+def _longest(limit: int, equal: Callable[[int], bool]) -> int:
+    """The greatest length up to ``limit`` that is equal: doubled while it is, then searched by halves."""
+    if limit <= 0 or not equal(1):
+        return 0
+    lo, step = 1, 2
+    while step <= limit and equal(step):
+        lo, step = step, 2 * step
+    hi = min(limit, step - 1)
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if equal_spans(x, x.n - mid, y, y.n - mid, mid) else (lo, mid - 1)
+        lo, hi = (mid, hi) if equal(mid) else (lo, mid - 1)
     return lo
 
 
