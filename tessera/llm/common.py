@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def shared_table(df: DataFrame, name: str, schema: T.StructType | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back (as ``schema``, if given;
+    ``options`` are those of the writer).
 
     Cuts the lineage (a lost executor loses nothing), keeps expensive work
     from running again in every consumer, and gives the planner the real
@@ -28,8 +29,8 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

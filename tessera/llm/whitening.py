@@ -27,7 +27,8 @@ BLOCK_BYTES, MOST_BYTES = 4 << 20, 64 << 20
 SLAB = 4096  # blocks of one product; MLlib deals their rows to the root of that many tasks
 HELD = 4  # blocks that a task of the scatter product holds of each side
 COLUMNS = 1024  # columns of a block
-FLOAT = "<f8"
+# Blocks are rows of megabytes: Parquet looks at the size of a row group after every one.
+ROW_GROUPS = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -67,14 +68,14 @@ def _rows_per_block(n: int, d: int) -> int:
 
 
 def row_blocks(x: DataFrame, n: int, sums: list[int], rows: int) -> DataFrame:
-    """``block``, ``size``, ``ids``, ``deviations`` and ``y`` (centred rows as doubles, row by row) per block of at most
-    ``rows`` vectors, numbered from 0 without gaps."""
+    """Row blocks of at most ``rows`` vectors: ``block`` (numbered from 0 without gaps), ``column`` (its columns begin at
+    ``COLUMNS`` times that), ``size``, ``y`` (centred rows as doubles, row by row, filled up with zeros), and for column 0
+    ``ids`` and ``deviations``."""
     d = len(sums)
-    id_type = x.schema[0].dataType
     schema = T.StructType([
-        T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("size", T.LongType()),
-        T.StructField("ids", T.ArrayType(id_type)), T.StructField("deviations", T.ArrayType(T.LongType())),
-        T.StructField("y", T.BinaryType())])
+        T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("column", T.LongType()),
+        T.StructField("size", T.IntegerType()), T.StructField("y", T.ArrayType(T.DoubleType())),
+        T.StructField("ids", T.ArrayType(x.schema[0].dataType)), T.StructField("deviations", T.ArrayType(T.LongType()))])
 
     def cut(batches) -> Iterator:
         import numpy as np
@@ -86,11 +87,16 @@ def row_blocks(x: DataFrame, n: int, sums: list[int], rows: int) -> DataFrame:
         part, at, ids, dev, ys = TaskContext.get().partitionId(), 0, [], [], []
         total = np.array(sums, dtype=object)
 
-        def block() -> pa.RecordBatch:
-            y = np.concatenate(ys).astype(FLOAT)
-            values = ([part], [at], [len(ids)], [ids], [dev], [y.tobytes()])
-            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)],
-                                              schema=arrow)
+        def block() -> Iterator:
+            y = np.zeros((rows, d))
+            np.concatenate(ys, out=y[:len(ids)])
+            for j in range(0, d, COLUMNS):
+                flat = pa.ListArray.from_arrays([0, y[:, j:j + COLUMNS].size], y[:, j:j + COLUMNS].ravel())
+                own = ([ids], [dev]) if not j else ([None], [None])
+                values = [[part], [at], [j // COLUMNS], [len(ids)], flat, *own]
+                yield pa.RecordBatch.from_arrays(
+                    [v if f.name == "y" else pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)],
+                    schema=pa.schema([pa.field("y", flat.type) if f.name == "y" else f for f in arrow]))
 
         for b in batches:
             keys = b.column(0).to_pylist()
@@ -103,16 +109,17 @@ def row_blocks(x: DataFrame, n: int, sums: list[int], rows: int) -> DataFrame:
                 ys.append(y)
                 begin = end
                 if len(ids) == rows:
-                    yield block()
+                    yield from block()
                     at, ids, dev, ys = at + 1, [], [], []
         if ids:
-            yield block()
+            yield from block()
 
-    blocks = shared_table(x.mapInArrow(cut, schema), "centred")
+    blocks = shared_table(x.mapInArrow(cut, schema), "centred", **ROW_GROUPS)
     # one row per task: how many blocks lie before its own
-    counts = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("own"))
+    counts = blocks.filter("column = 0").groupBy("part").agg(F.count(F.lit(1)).alias("own"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+    offsets = shared_table(counts.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first")),
+                           "offsets")
     return blocks.join(offsets, "part").withColumn("block", F.col("first") + F.col("at")).drop("part", "at", "first")
 
 
@@ -129,22 +136,36 @@ def centred(whole, n: int, sums) -> tuple:
     return (z / n).astype(float), [v if v < 1 << 63 else None for v in own]
 
 
-def _matrix(blocks: DataFrame, first: int, count: int, rows: int, d: int):
-    """The blocks numbered ``first`` to ``first + count - 1`` as a BlockMatrix."""
-    from pyspark.mllib.linalg import DenseMatrix
-    from pyspark.mllib.linalg.distributed import BlockMatrix
+def _matrix_schema() -> T.StructType:
+    from pyspark.mllib.linalg import MatrixUDT
+
+    index = T.StructType([T.StructField("blockRowIndex", T.LongType()), T.StructField("blockColIndex", T.LongType())])
+    return T.StructType([T.StructField("index", index), T.StructField("matrix", MatrixUDT())])
 
-    def entries(row):
-        import numpy as np
 
-        y = np.zeros((rows, d))
-        y[:row["size"]] = np.frombuffer(row["y"], dtype=FLOAT).reshape(-1, d)
-        for j in range(0, d, COLUMNS):
-            part = y[:, j:j + COLUMNS]
-            yield (row["block"] - first, j // COLUMNS), DenseMatrix(rows, part.shape[1], part.ravel(order="F"))
+def matrices(blocks: DataFrame, rows: int, d: int) -> DataFrame:
+    """``blocks`` as a table of MLlib matrices, written once: MLlib reads them without Python."""
+    none = F.lit(None).cast("array<int>")
+    width = F.least(F.lit(COLUMNS), F.lit(d) - F.col("column") * COLUMNS).cast("int")
+    index = F.struct(F.col("block").cast("long").alias("blockRowIndex"), F.col("column").alias("blockColIndex"))
+    # MLlib's stored form; type 1 is a dense matrix, a transposed one has its values row by row
+    matrix = F.struct(F.lit(1).cast("byte").alias("type"), F.lit(rows).alias("numRows"), width.alias("numCols"),
+                      none.alias("colPtrs"), none.alias("rowIndices"), F.col("y").alias("values"),
+                      F.lit(True).alias("isTransposed"))
+    return shared_table(blocks.select(index.alias("index"), matrix.alias("matrix")), "matrices", _matrix_schema(),
+                        **ROW_GROUPS)
 
-    own = blocks.filter((F.col("block") >= first) & (F.col("block") < first + count)).select("block", "size", "y")
-    return BlockMatrix(own.rdd.flatMap(entries), rows, min(COLUMNS, d), count * rows, d)
+
+def _matrix(table: DataFrame, first: int, count: int, rows: int, d: int):
+    """The blocks numbered ``first`` to ``first + count - 1`` of :func:`matrices` as a BlockMatrix."""
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import BlockMatrix
+
+    row = F.col("index.blockRowIndex")
+    own = table.filter((row >= first) & (row < first + count)).select(
+        F.struct((row - first).alias("blockRowIndex"), F.col("index.blockColIndex")).alias("index"), "matrix")
+    width = min(COLUMNS, d)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", own, rows, width, count * rows, d), rows, width)
 
 
 def _times(left, right, splits: int = 1):
@@ -155,14 +176,14 @@ def _times(left, right, splits: int = 1):
     return BlockMatrix(product, left.rowsPerBlock, right.colsPerBlock)
 
 
-def covariance(blocks: DataFrame, count: int, n: int, rows: int, d: int):
+def covariance(table: DataFrame, count: int, n: int, rows: int, d: int):
     """``Y' Y / n`` as a d by d array."""
     import numpy as np
 
     total = np.zeros((d, d))
     for first in range(0, count, SLAB):
         own = min(SLAB, count - first)
-        y = _matrix(blocks, first, own, rows, d)
+        y = _matrix(table, first, own, rows, d)
         total += _times(y.transpose(), y, -(-own // HELD)).toLocalMatrix().toArray()
     return (total + total.T) / (2 * n)
 
@@ -177,22 +198,26 @@ def components(v, most: int) -> tuple:
     return e, u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
 
 
-def _project(blocks: DataFrame, count: int, rows: int, d: int, w) -> DataFrame:
-    """``block`` and ``p`` (one array of ``w``'s columns per row of the block)."""
+def _project(table: DataFrame, count: int, rows: int, d: int, w) -> DataFrame:
+    """``block`` and ``p`` (its projected rows, one column after the other) per block."""
+    from pyspark.mllib.common import callMLlibFunc
     from pyspark.mllib.linalg import DenseMatrix
     from pyspark.mllib.linalg.distributed import BlockMatrix
 
-    spark = blocks.sparkSession
+    sc = table.sparkSession.sparkContext
     k = w.shape[1]
     parts = [((j // COLUMNS, 0), DenseMatrix(len(w[j:j + COLUMNS]), k, w[j:j + COLUMNS].ravel(order="F")))
              for j in range(0, d, COLUMNS)]
-    right = BlockMatrix(spark.sparkContext.parallelize(parts, 1), min(COLUMNS, d), k, d, k)
+    right = BlockMatrix(sc.parallelize(parts, 1), min(COLUMNS, d), k, d, k)
+    plain = T.StructType([_matrix_schema()[0], T.StructField("matrix", _matrix_schema()[1].dataType.sqlType())])
     out = None
     for first in range(0, count, SLAB):
-        own = min(SLAB, count - first)
-        found = _times(_matrix(blocks, first, own, rows, d), right).blocks.map(
-            lambda b, first=first: (b[0][0] + first, b[1].toArray().tolist()))
-        part = shared_table(spark.createDataFrame(found, "block long, p array<array<double>>"), "projected")
+        product = _times(_matrix(table, first, min(SLAB, count - first), rows, d), right)
+        found = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model).toDF("index", "matrix")
+        found = found.select(F.struct(F.col("index._1").cast("long").alias("blockRowIndex"),
+                                      F.col("index._2").cast("long").alias("blockColIndex")).alias("index"), "matrix")
+        part = shared_table(found, "projected", plain, **ROW_GROUPS).select(
+            (F.col("index.blockRowIndex") + first).alias("block"), F.col("matrix.values").alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -228,17 +253,19 @@ def whiten(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         return embeddings.sparkSession.createDataFrame([], schema)
     n, sums = _totals(x)
     rows = _rows_per_block(n, d)
-    blocks = shared_table(row_blocks(x, n, sums, rows), "blocks")
-    count = blocks.count()
-    v = covariance(blocks, count, n, rows, d)
+    blocks = row_blocks(x, n, sums, rows)
+    table = matrices(blocks, rows, d)
+    count = blocks.filter("column = 0").count()
+    v = covariance(table, count, n, rows, d)
     e, u = components(v, min(most, d))
     trace = float(np.trace(v))
     used = [i for i in range(len(e)) if e[i] > trace * d * np.finfo(float).eps]
     w = np.where(e > trace * d * np.finfo(float).eps, u / np.sqrt(np.maximum(e, np.finfo(float).tiny)), 0.0)
-    projected = _project(blocks, count, rows, d, w)
-    names = F.arrays_zip(F.col("ids").alias("id"), F.col("deviations").alias("deviation"),
-                         F.slice("p", F.lit(1), F.col("size").cast("int")).alias("p"))
-    flat = blocks.select("block", "size", "ids", "deviations").join(projected, "block").select(F.inline(names))
+    projected = _project(table, count, rows, d, w)
+    own = blocks.filter("column = 0").select("block", "size", "ids", "deviations").join(projected, "block")
+    p = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array(
+        *[F.get("p", i + c * rows) for c in range(len(e))]))
+    flat = own.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("deviations").alias("deviation"), p.alias("p"))))
     flat = shared_table(flat, "whitened")
     error = F.lit(identity_error(flat, n, used) if used else None).cast("double")
     share = F.array(*[F.lit(float(max(v, 0.0) / trace) if trace > 0 else None).cast("double") for v in e])
