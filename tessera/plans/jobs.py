@@ -1,12 +1,15 @@
 """Jobs that apply their result: prediction and sync, event ingestion, daily roll-ups, listings.
 
-Snapshots are published under a root folder (see ``sources.sinks``): a job that fails
-leaves the current versions in place, and one that is repeated publishes the same rows again.
+Snapshots are published under a root folder as one commit (see ``sources.sinks``): a job that fails
+leaves the current versions in place, and one that is repeated publishes the same rows again. The event table keeps a
+ledger of its batches: a repeated one appends nothing, and the daily roll-ups follow the days that batches touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import customer_aliases
@@ -30,11 +33,11 @@ def predictions(t: Tables, as_of, model: SegmentModel, customers: DataFrame | No
 
 def publish_updates(updates: dict[str, DataFrame], root: str) -> DataFrame:
     """Publish the next ``segments`` and ``user_segments`` and the per-row ``results``
-    under ``root``; returns the published results, read back."""
+    under ``root`` as one commit; returns the published results, read back."""
+    names = ("segments", "user_segments", "results")
     spark = updates["results"].sparkSession
-    for name in ("segments", "user_segments", "results"):
-        sinks.publish_snapshot(updates[name], f"{root}/{name}")
-    return sinks.read_current(spark, f"{root}/results")
+    sinks.publish_together({name: updates[name] for name in names}, root)
+    return sinks.read_together(spark, root, names[-1])["results"]
 
 
 def predict_and_update(t: Tables, as_of, model: SegmentModel, root: str,
@@ -76,23 +79,71 @@ def sync_segments(t: Tables, as_of, model: SegmentModel, root: str | None = None
     return publish_updates(apply_segment_updates(batch, t.customers, t.segments, t.user_segments, as_of), root)
 
 
+def batch_digest(raw: DataFrame) -> str:
+    """A name for the rows of a batch: their number and the sums of two hashes of each, in whatever order they come."""
+    hashes = [F.sum(F.xxhash64(F.lit(k), *raw.columns).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    n, *sums = raw.agg(F.count(F.lit(1)), *hashes).first()
+    return "-".join([str(n), *(f"{int(s or 0) % (1 << 64):016x}" for s in sums)])
+
+
 def ingest_to_table(raw: DataFrame, customers: DataFrame, table: str, principal_role: str = "admin",
-                    principal_code: str | None = None) -> DataFrame:
-    """Ingest into the date-partitioned event table at ``table`` (ids continue it); returns the rejected rows."""
-    existing = sinks.read_events_table(raw.sparkSession, table)
-    out = ingest_events(raw, customers, existing, principal_role, principal_code)
-    sinks.append_events(out["accepted"], table)
-    return out["rejected"]
+                    principal_code: str | None = None, batch: str | None = None) -> DataFrame:
+    """Ingest into the date-partitioned event table at ``table`` (ids continue it); returns the rejected rows.
+
+    The table keeps a ledger of its batches (``batch``: a name, by default a digest of the rows). A batch that is
+    done appends nothing when it comes again; one whose job was lost on the way replaces what that left, with the
+    same ids, and until it is done no reader sees its rows. One job writes to a table at a time.
+    """
+    spark = raw.sparkSession
+    batch = batch or batch_digest(raw)
+    rejected = f"{table.rstrip('/')}/_rejected/batch={batch}"
+    if not sinks.batch_done(spark, table, batch):
+        existing = sinks.read_events_table(spark, table, but=batch)
+        out = ingest_events(raw, customers, existing, principal_role, principal_code)
+        sinks.begin_batch(spark, table, batch)
+        sinks.write_batch(out["accepted"], table, batch)
+        out["rejected"].write.mode("overwrite").parquet(rejected)
+        sinks.finish_batch(spark, table, batch, _days(out["accepted"]))
+    return spark.read.parquet(rejected)
+
+
+def _days(events: DataFrame) -> list:
+    """The event dates of a batch: one value a day."""
+    return sorted(r.day for r in events.select(F.to_date("created_at").alias("day")).distinct().collect() if r.day)
 
 
 def write_rollups(t: Tables, root: str, as_of, days: int) -> None:
     """Write the daily roll-ups; only the days computed here are replaced."""
-    sinks.overwrite_partitions(engagement_metrics_daily(t.user_segments, t.analytics_events, as_of, days),
+    _write_rollups(t.user_segments, t.analytics_events, root, as_of, days)
+
+
+def _write_rollups(user_segments: DataFrame, events: DataFrame, root: str, as_of, days: int) -> None:
+    sinks.overwrite_partitions(engagement_metrics_daily(user_segments, events, as_of, days),
                                f"{root}/engagement_metrics", "metric_date")
-    sinks.overwrite_partitions(personalization_daily(t.user_segments, t.analytics_events, as_of, days),
+    sinks.overwrite_partitions(personalization_daily(user_segments, events, as_of, days),
                                f"{root}/personalization", "date_period")
 
 
+def refresh_rollups(spark: SparkSession, user_segments: DataFrame, table: str, root: str) -> list:
+    """Bring the daily roll-ups under ``root`` up to date with the event table at ``table``; returns the days written.
+
+    The table's ledger tells which days each batch touched, and a record beside the roll-ups which batches they
+    already hold. Only the days of the other batches are read (partition pruning) and replaced, whole, so
+    late events of one day cost that day. A job that fails before its record does the same days again.
+    """
+    seen = sinks.rolled_up(spark, root)
+    log = sinks.batches(spark, table).filter("state = 'done'").groupBy("batch").agg(F.first("days").alias("days"))
+    fresh = log.join(seen, "batch", "left_anti").collect()  # batches since the last refresh, one row each
+    days = sorted({d for r in fresh for d in r.days})
+    if days:
+        events = sinks.read_events_table(spark, table).filter(F.col("event_date").isin(days)).drop("event_date")
+        end = days[-1] + dt.timedelta(days=1)
+        _write_rollups(user_segments, events, root, f"{end} 00:00:00", (end - days[0]).days)
+    if fresh:
+        sinks.note_rolled_up(spark, root, [r.batch for r in fresh])
+    return days
+
+
 def write_listing(df: DataFrame, path: str, *order, json: bool = False) -> None:
     """A listing in its total order, as Parquet or as JSON lines."""
     if json:

@@ -1,25 +1,77 @@
-"""Sinks: date-partitioned event append, daily roll-up partitions, and
-snapshot publication for the merged tables."""
+"""Sinks: the event table with its ledger of batches, daily roll-up partitions, and
+snapshot publication for the merged tables, alone or several as one commit."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The batch that rows appended without a name belong to.
+UNNAMED = "-"
+
+
+def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """JSON records under ``path``; none if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
 def append_events(df: DataFrame, path: str) -> None:
-    """Append accepted events to a table partitioned by event date, so the
-    look-back reports prune whole days at the scan."""
-    (df.withColumn("event_date", F.to_date("created_at"))
-       .write.mode("append").partitionBy("event_date").parquet(path))
+    """Append accepted events to a table partitioned by event date (so the
+    look-back reports prune whole days at the scan) and batch."""
+    (df.withColumn("event_date", F.to_date("created_at")).withColumn("batch", F.lit(UNNAMED))
+       .write.mode("append").partitionBy("event_date", "batch").parquet(path))
+
+
+# -- the ledger of the event table: a batch is begun, its rows are written, and it is done -------
+BATCHES = "batch string, state string, days array<date>"
+
+
+def begin_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """From now on the batch's rows may be in the table; readers leave them out until it is done."""
+    _log_batch(spark, path, batch, "begun", [])
+
+
+def write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """The rows of a begun batch. Its partitions are replaced, so a repeated attempt leaves one copy."""
+    (df.withColumn("event_date", F.to_date("created_at")).withColumn("batch", F.lit(batch))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path))
+
+
+def finish_batch(spark: SparkSession, path: str, batch: str, days: list) -> None:
+    """One record makes all rows of the batch visible and tells which days they touch."""
+    _log_batch(spark, path, batch, "done", days)
+
+
+def _log_batch(spark: SparkSession, path: str, batch: str, state: str, days: list) -> None:
+    spark.createDataFrame([(batch, state, days)], BATCHES).coalesce(1).write.mode("append").json(f"{path}/_batches")
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger: ``batch``, ``state`` (begun, done), ``days``; one or two records a batch."""
+    return _read_if_there(spark, BATCHES, f"{path}/_batches")
+
 
+def batch_done(spark: SparkSession, path: str, batch: str) -> bool:
+    return not batches(spark, path).filter((F.col("batch") == batch) & (F.col("state") == "done")).isEmpty()
 
-def read_events_table(spark, path: str) -> DataFrame:
-    """The date-partitioned event table written by :func:`append_events`
-    (``event_date`` is the partition column the reports prune on)."""
-    return spark.read.parquet(path)
+
+def read_events_table(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """The date-partitioned event table (``event_date`` is the partition column the reports prune on), without the rows
+    of batches that are begun and not done, or of batch ``but``. Those are few: attempts that failed or still run."""
+    log = batches(spark, path)
+    open_ones = log.groupBy("batch").agg(F.bool_or(F.col("state") == "done").alias("done")).filter("NOT done")
+    names = sorted({r.batch for r in open_ones.select("batch").collect()} | ({but} if but is not None else set()))
+    rows = spark.read.option("mergeSchema", "false").parquet(path)
+    rows = rows.withColumn("batch", F.col("batch").cast("string"))
+    return (rows.filter(~F.col("batch").isin(names)) if names else rows).drop("batch")
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
@@ -29,6 +81,15 @@ def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
        .partitionBy(partition_col).parquet(path))
 
 
+def rolled_up(spark: SparkSession, root: str) -> DataFrame:
+    """The batches that the roll-ups under ``root`` hold."""
+    return _read_if_there(spark, "batch string", f"{root}/_rolled_up").distinct()
+
+
+def note_rolled_up(spark: SparkSession, root: str, names: list[str]) -> None:
+    spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("append").json(f"{root}/_rolled_up")
+
+
 def write_sorted(df: DataFrame, path: str, *order) -> None:
     """Listing output in a total order (range-partitioned sort)."""
     df.orderBy(*order).write.mode("overwrite").parquet(path)
@@ -53,10 +114,51 @@ def publish_snapshot(df: DataFrame, table_root: str) -> str:
     return path
 
 
-def read_current(spark, table_root: str) -> DataFrame:
-    """The newest published version (one small read of the markers)."""
-    marks = spark.read.schema("version string, path string").json(f"{table_root.rstrip('/')}/_versions")
-    return spark.read.parquet(marks.orderBy(F.desc("version")).first()["path"])
+def read_current(spark: SparkSession, table_root: str) -> DataFrame:
+    """The newest published version (one small read of the markers); of a table
+    published with others, the version that the newest commit names."""
+    root = table_root.rstrip("/")
+    mark = _newest(spark, root, "version string, path string")
+    if mark:
+        return spark.read.parquet(mark["path"])
+    folder, _, name = root.rpartition("/")
+    lead = spark.read.text(f"{root}/_lead").first()[0]
+    return spark.read.parquet(_newest(spark, f"{folder}/{lead}", COMMIT)["members"][name])
+
+
+COMMIT = "version string, path string, members map<string,string>"
+
+
+def _newest(spark: SparkSession, root: str, schema: str):
+    return _read_if_there(spark, schema, f"{root}/_versions").orderBy(F.desc("version")).first()
+
+
+def publish_together(tables: dict[str, DataFrame], root: str) -> None:
+    """Publish the next versions of several tables under ``root`` as one commit.
+
+    Every table's version is written to its folder first. Then one marker, kept by the last table, names
+    the versions of all: it is the commit, so a job that fails anywhere before it leaves all tables at their old
+    versions, and no reader sees some new and some old ones. The other tables only say who keeps the marker.
+    """
+    import time
+
+    root = root.rstrip("/")
+    *_, lead = tables
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    members = {name: f"{root}/{name}/v={version}" for name in tables}
+    spark = tables[lead].sparkSession
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(members[name])
+        if name != lead:
+            spark.createDataFrame([(lead,)], "lead string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/_lead")
+    spark.createDataFrame([(version, members[lead], members)], COMMIT).coalesce(1) \
+        .write.mode("append").json(f"{root}/{lead}/_versions")
+
+
+def read_together(spark: SparkSession, root: str, lead: str) -> dict[str, DataFrame]:
+    """All tables of the newest commit (one read of the markers)."""
+    mark = _newest(spark, f"{root.rstrip('/')}/{lead}", COMMIT)
+    return {name: spark.read.parquet(path) for name, path in mark["members"].items()}
 
 
 def write_json(df: DataFrame, path: str) -> None:
