@@ -83,6 +83,20 @@ def analytics_from_events(e: DataFrame) -> DataFrame:
     )
 
 
+def customers_of(c: DataFrame) -> DataFrame:
+    """``customers`` rows from rows of the input ``customer`` table."""
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("id"),
+        F.format_string(S.CUSTOMER_ID_FORMAT, k).alias("customer_id"),
+        F.when(k % 10 == 9, F.lit(None).cast("string")).otherwise(F.lower("c_name")).alias("username"),
+        F.concat(F.lower("c_name"), F.lit("@mail.com")).alias("email"),
+        F.when(k % 50 == 49, "admin").otherwise("customer").alias("role"),
+        (k % 4 != 3).alias("is_activity_tracking_enabled"),
+        ntz(SEED_TIME).alias("created_at"),
+    )
+
+
 class Tables:
     """Lazily-built DataFrames of the reference tables for one input folder."""
 
@@ -108,17 +122,7 @@ class Tables:
     # -- facts and customer-sized tables ---------------------------------
     @cached_property
     def customers(self) -> DataFrame:
-        c = self.raw("customer")
-        k = F.col("c_custkey")
-        return c.select(
-            k.alias("id"),
-            F.format_string(S.CUSTOMER_ID_FORMAT, k).alias("customer_id"),
-            F.when(k % 10 == 9, F.lit(None).cast("string")).otherwise(F.lower("c_name")).alias("username"),
-            F.concat(F.lower("c_name"), F.lit("@mail.com")).alias("email"),
-            F.when(k % 50 == 49, "admin").otherwise("customer").alias("role"),
-            (k % 4 != 3).alias("is_activity_tracking_enabled"),
-            ntz(SEED_TIME).alias("created_at"),
-        )
+        return customers_of(self.raw("customer"))
 
     @cached_property
     def customer_profiles(self) -> DataFrame:

@@ -133,12 +133,13 @@ def _newest(spark: SparkSession, root: str, schema: str):
     return _read_if_there(spark, schema, f"{root}/_versions").orderBy(F.desc("version")).first()
 
 
-def publish_together(tables: dict[str, DataFrame], root: str) -> None:
+def publish_together(tables: dict[str, DataFrame], root: str, partitioned: dict[str, list[str]] | None = None) -> None:
     """Publish the next versions of several tables under ``root`` as one commit.
 
     Every table's version is written to its folder first. Then one marker, kept by the last table, names
     the versions of all: it is the commit, so a job that fails anywhere before it leaves all tables at their old
     versions, and no reader sees some new and some old ones. The other tables only say who keeps the marker.
+    ``partitioned`` names the partition columns of a table.
     """
     import time
 
@@ -148,16 +149,21 @@ def publish_together(tables: dict[str, DataFrame], root: str) -> None:
     members = {name: f"{root}/{name}/v={version}" for name in tables}
     spark = tables[lead].sparkSession
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(members[name])
+        df.write.mode("errorifexists").partitionBy(*(partitioned or {}).get(name, [])).parquet(members[name])
         if name != lead:
             spark.createDataFrame([(lead,)], "lead string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/_lead")
     spark.createDataFrame([(version, members[lead], members)], COMMIT).coalesce(1) \
         .write.mode("append").json(f"{root}/{lead}/_versions")
 
 
+def newest_commit(spark: SparkSession, root: str, lead: str):
+    """The record of the newest commit: ``version`` and ``members`` (table to path); None before the first."""
+    return _newest(spark, f"{root.rstrip('/')}/{lead}", COMMIT)
+
+
 def read_together(spark: SparkSession, root: str, lead: str) -> dict[str, DataFrame]:
     """All tables of the newest commit (one read of the markers)."""
-    mark = _newest(spark, f"{root.rstrip('/')}/{lead}", COMMIT)
+    mark = newest_commit(spark, root, lead)
     return {name: spark.read.parquet(path) for name, path in mark["members"].items()}
 
 

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from tessera.functions import expr as X
 from tessera.functions.joins import stored_aliases
 from tessera.operators.ingest import DEFAULT_PRINCIPAL, raw_event_feed, validate_events
-from tessera.operators.merge import apply_segment_updates, max_id, sequence_ids
+from tessera.operators.merge import max_id, sequence_ids
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.driver import DRIVER_SCHEMAS
-from tessera.sources.fixtures import Tables, analytics_from_events
+from tessera.sources.fixtures import Tables, analytics_from_events, customers_of
+from tessera.streaming.key_index import KeyIndex
+from tessera.streaming.segment_log import SegmentLog
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -58,7 +60,7 @@ def _run(q) -> None:
 
 
 # -- I1 ----------------------------------------------------------------------------
-def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, existing_events: DataFrame,
+def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame | KeyIndex, existing_events: DataFrame,
                   out: str, principal_role: str = "admin", principal_code: str | None = DEFAULT_PRINCIPAL,
                   trigger_available_now: bool = True, freeze_customers: bool = False):
     """Validate a stream of raw events against the customer table
@@ -70,16 +72,24 @@ def stream_ingest(spark: SparkSession, raw: DataFrame, customers: DataFrame, exi
     Each micro-batch leaves a one-row high-water mark (largest id so far)
     under ``marks/batch_id=<n>``; batch n starts from batch n-1's mark, so
     no batch rescans earlier output, and a retried batch recomputes the
-    same ids."""
-    # frozen: the key index is built once per stream run instead of once per
-    # micro-batch; customers created later are seen after a restart
-    frozen = stored_aliases(customers) if freeze_customers else None
+    same ids.
+
+    ``customers`` as a :class:`KeyIndex`: each micro-batch adds the customers that are new since the one before and
+    finds them; the cost follows the changes. As a table: the index is built for each micro-batch, or with
+    ``freeze_customers`` once per run (customers created later are then seen after a restart)."""
+    index = customers if isinstance(customers, KeyIndex) else None
+    frozen = stored_aliases(customers) if freeze_customers and not index else None
     accepted_root, rejected_root, marks = f"{out}/accepted", f"{out}/rejected", f"{out}/marks"
 
     def write_batch(submitted: DataFrame, batch_id: int) -> None:
         s = submitted.sparkSession
-        batch = validate_events(submitted, customers, principal_role, principal_code,
-                                aliases=frozen or stored_aliases(customers)).checkpoint(eager=True)
+        if index:
+            index.refresh(batch_id)
+            aliases = index.table(batch_id)
+        else:
+            aliases = frozen or stored_aliases(customers)
+        batch = validate_events(submitted, None if index else customers, principal_role, principal_code,
+                                aliases=aliases).checkpoint(eager=True)
         if batch_id == 0:
             start = max_id(existing_events)
         else:
@@ -108,7 +118,8 @@ def stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return the accepted rows (same rows as the batch ingest)."""
     t = Tables(spark, sf_dir)
     out = scratch(spark, "ingest")
-    q = stream_ingest(spark, raw_event_feed(event_stream(spark, sf_dir)), t.customers, t.analytics_events, out)
+    q = stream_ingest(spark, raw_event_feed(event_stream(spark, sf_dir)), customer_index(t, f"{out}/keys"),
+                      t.analytics_events, out)
     _run(q)
     return spark.read.parquet(f"{out}/accepted").drop("batch_id", "event_date")
 
@@ -174,30 +185,29 @@ def stream_weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- I4 ----------------------------------------------------------------------------
-def stream_segment_updates(spark: SparkSession, batches: DataFrame, t: Tables, as_of, out: str):
-    """Apply each micro-batch of segment updates to the snapshots left by
-    the previous micro-batch (the tables for the first) and write the next
-    ones under ``batch_id=<n>``; a retried batch reads the same input and
-    overwrites its own output. Per-row results go to ``results/``. With a
-    column ``request`` what is applied does not depend on how requests fall into
-    micro-batches, as long as a request's rows arrive in one file."""
-    seg_root, us_root = f"{out}/segments", f"{out}/user_segments"
-
-    def previous(root: str, batch_id: int, default: DataFrame) -> DataFrame:
-        return default if batch_id == 0 else spark.read.parquet(f"{root}/batch_id={batch_id - 1}")
+def stream_segment_updates(spark: SparkSession, batches: DataFrame, t: Tables, as_of, out: str,
+                           index: KeyIndex | None = None):
+    """Apply each micro-batch of segment updates to the state left by the previous one (the tables for the
+    first). What is written follows the batch: changed rows go to the log of :class:`SegmentLog` under ``out``,
+    per-row results to ``results/``, failing rows to ``rejected/``; a retried batch reads the same state and
+    replaces its own output. With a column ``request`` what is applied does not depend on how requests fall into
+    micro-batches, as long as a request's rows arrive in one file. :meth:`SegmentLog.publish` folds the log."""
+    log = SegmentLog(spark, out, t.segments, t.user_segments)
+    index = index or customer_index(t, f"{out}/keys")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        res = apply_segment_updates(batch, t.customers, previous(seg_root, batch_id, t.segments),
-                                    previous(us_root, batch_id, t.user_segments), as_of)
-        res["results"].write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}")
-        res["rejected"].write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
-        res["segments"].write.mode("overwrite").parquet(f"{seg_root}/batch_id={batch_id}")
-        res["user_segments"].write.mode("overwrite").parquet(f"{us_root}/batch_id={batch_id}")
+        index.refresh(batch_id)
+        log.apply(batch, batch_id, t.customers, index.table(batch_id), as_of)
 
     return (batches.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
             .trigger(availableNow=True).start())
 
 
+def customer_index(t: Tables, root: str) -> KeyIndex:
+    """The key index of the customers of an input folder."""
+    return KeyIndex.of_table(t.spark, root, f"{t.sf_dir.rstrip('/')}/customer.parquet", customers_of)
+
+
 def stream_segment_results(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     """Stage the derived segment batch as files, stream it through
     :func:`stream_segment_updates`, return all per-row results."""
