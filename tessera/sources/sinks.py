@@ -13,14 +13,26 @@ from pyspark.sql import functions as F
 UNNAMED = "-"
 
 
-def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """JSON records under ``path``; none if nothing has been written there."""
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table, made without Python."""
+    return spark.range(0).select(F.from_json(F.lit(None).cast("string"), schema).alias("r")).select("r.*")
+
+
+def small_table(spark: SparkSession, name: str, values: list, kind: str = "string") -> DataFrame:
+    """One column of a few values, made without Python."""
+    if not values:
+        return no_rows(spark, f"{name} {kind}")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name))
+
+
+def read_if_there(spark: SparkSession, schema: str, path: str, form: str = "parquet") -> DataFrame:
+    """The files under ``path``; no rows if nothing has been written there."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).format(form).load(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -51,12 +63,14 @@ def finish_batch(spark: SparkSession, path: str, batch: str, days: list) -> None
 
 
 def _log_batch(spark: SparkSession, path: str, batch: str, state: str, days: list) -> None:
-    spark.createDataFrame([(batch, state, days)], BATCHES).coalesce(1).write.mode("append").json(f"{path}/_batches")
+    dates = F.array(*[F.lit(d) for d in days]).cast("array<date>")
+    spark.range(1).select(F.lit(batch).alias("batch"), F.lit(state).alias("state"), dates.alias("days")) \
+        .coalesce(1).write.mode("append").json(f"{path}/_batches")
 
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
     """The ledger: ``batch``, ``state`` (begun, done), ``days``; one or two records a batch."""
-    return _read_if_there(spark, BATCHES, f"{path}/_batches")
+    return read_if_there(spark, BATCHES, f"{path}/_batches", "json")
 
 
 def batch_done(spark: SparkSession, path: str, batch: str) -> bool:
@@ -83,11 +97,11 @@ def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
 
 def rolled_up(spark: SparkSession, root: str) -> DataFrame:
     """The batches that the roll-ups under ``root`` hold."""
-    return _read_if_there(spark, "batch string", f"{root}/_rolled_up").distinct()
+    return read_if_there(spark, "batch string", f"{root}/_rolled_up", "json").distinct()
 
 
 def note_rolled_up(spark: SparkSession, root: str, names: list[str]) -> None:
-    spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("append").json(f"{root}/_rolled_up")
+    small_table(spark, "batch", names).coalesce(1).write.mode("append").json(f"{root}/_rolled_up")
 
 
 def write_sorted(df: DataFrame, path: str, *order) -> None:
@@ -109,7 +123,7 @@ def publish_snapshot(df: DataFrame, table_root: str) -> str:
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     path = f"{root}/v={version}"
     df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version, path)], "version string, path string").coalesce(1) \
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path")).coalesce(1) \
         .write.mode("append").json(f"{root}/_versions")
     return path
 
@@ -130,7 +144,13 @@ COMMIT = "version string, path string, members map<string,string>"
 
 
 def _newest(spark: SparkSession, root: str, schema: str):
-    return _read_if_there(spark, schema, f"{root}/_versions").orderBy(F.desc("version")).first()
+    try:
+        marks = spark.read.schema(schema).json(f"{root}/_versions")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return marks.orderBy(F.desc("version")).first()
 
 
 def publish_together(tables: dict[str, DataFrame], root: str, partitioned: dict[str, list[str]] | None = None) -> None:
@@ -151,9 +171,10 @@ def publish_together(tables: dict[str, DataFrame], root: str, partitioned: dict[
     for name, df in tables.items():
         df.write.mode("errorifexists").partitionBy(*(partitioned or {}).get(name, [])).parquet(members[name])
         if name != lead:
-            spark.createDataFrame([(lead,)], "lead string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/_lead")
-    spark.createDataFrame([(version, members[lead], members)], COMMIT).coalesce(1) \
-        .write.mode("append").json(f"{root}/{lead}/_versions")
+            small_table(spark, "lead", [lead]).coalesce(1).write.mode("overwrite").text(f"{root}/{name}/_lead")
+    named = F.create_map(*[F.lit(x) for pair in members.items() for x in pair])
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(members[lead]).alias("path"), named.alias("members")) \
+        .coalesce(1).write.mode("append").json(f"{root}/{lead}/_versions")
 
 
 def newest_commit(spark: SparkSession, root: str, lead: str):

@@ -9,26 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import unique_aliases
+from tessera.sources.sinks import read_if_there, small_table
 
 ALIASES = "alias string, resolved_id long, resolved_customer_id string, part long"
 FILES = "file string, replaced long, part long"
 
 
-def read_parts(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """A table written in ``part=`` or ``batch_id=`` folders; no rows before the first."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 class KeyIndex:
     """``files()`` lists the files of the customer table, ``customers(files)`` gives the customers of some of them
     (columns ``id`` and ``customer_id``). A key that names two customers means the one of the smaller id."""
@@ -46,7 +36,7 @@ class KeyIndex:
 
     def refresh(self, part: int) -> int:
         """Index what is new as part ``part``; returns the number of files read."""
-        log = read_parts(self.spark, FILES, f"{self.root}/files").filter(F.col("part") < part)
+        log = read_if_there(self.spark, FILES, f"{self.root}/files").filter(F.col("part") < part)
         seen = {r.file for r in log.select("file").collect()}  # file names, as the listing itself has them
         fresh = [f for f in self._files() if f not in seen]
         if not fresh:
@@ -58,17 +48,17 @@ class KeyIndex:
         target = f"{self.root}/aliases/part={part}"
         new.withColumn("replaces", F.col("_held").isNotNull()).drop("_held").write.mode("overwrite").parquet(target)
         replaced = self.spark.read.parquet(target).filter("replaces").count()
-        self.spark.createDataFrame([(f, replaced) for f in fresh], "file string, replaced long").coalesce(1) \
+        small_table(self.spark, "file", fresh).withColumn("replaced", F.lit(replaced).cast("long")).coalesce(1) \
             .write.mode("overwrite").parquet(f"{self.root}/files/part={part}")
         return len(fresh)
 
     def _parts(self, part: int) -> DataFrame:
-        return read_parts(self.spark, ALIASES, f"{self.root}/aliases").filter(F.col("part") <= part)
+        return read_if_there(self.spark, ALIASES, f"{self.root}/aliases").filter(F.col("part") <= part)
 
     def table(self, part: int) -> DataFrame:
         """``alias``, ``resolved_id``, ``resolved_customer_id`` after part ``part``: a stored table, one row per key."""
         rows = self._parts(part).drop("part")
-        log = read_parts(self.spark, FILES, f"{self.root}/files").filter((F.col("part") <= part) & (F.col("replaced") > 0))
+        log = read_if_there(self.spark, FILES, f"{self.root}/files").filter((F.col("part") <= part) & (F.col("replaced") > 0))
         if log.isEmpty():
             return rows
         return rows.groupBy("alias").agg(F.min(F.struct("resolved_id", "resolved_customer_id")).alias("c")).select(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.operators.merge import admitted, max_id, segment_changes, user_segment_actions, user_segment_changes
 from tessera.operators.merge import validate_segment_batch
 from tessera.sources import sinks
-from tessera.streaming.key_index import read_parts
+from tessera.sources.sinks import read_if_there
 
 SEGMENTS = "id int, name string, description string"
 USER_SEGMENTS = "id long, customer_id long, segment_id int, confidence double, created_at timestamp_ntz"
@@ -32,7 +32,7 @@ Base = tuple[DataFrame, DataFrame, int]
 class SegmentLog:
     """``segments`` and ``user_segments`` are the tables that the stream starts from."""
 
-    def __init__(self, spark: SparkSession, root: str, segments: DataFrame, user_segments: DataFrame, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, segments: DataFrame, user_segments: DataFrame, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._start = segments.select("id", "name", "description"), user_segments.select(
             "id", "customer_id", "segment_id", "confidence", "created_at")
@@ -50,7 +50,7 @@ class SegmentLog:
         return tables["segments"], tables["user_segments"], tables["upto"].first()["batch_id"]
 
     def _changes(self, name: str, schema: str, after: int, upto: int) -> DataFrame:
-        log = read_parts(self.spark, f"{schema}, batch_id long" + (", bucket int" if name == LEAD else ""),
+        log = read_if_there(self.spark, f"{schema}, batch_id long" + (", bucket int" if name == LEAD else ""),
                          f"{self.root}/deltas/{name}")
         return log.filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
 
@@ -79,7 +79,7 @@ class SegmentLog:
         return base.select(*cols).join(last, "customer_id", "left_anti").select(*cols).unionByName(last.select(*cols))
 
     def _last_ids(self, batch: int) -> tuple[Column, Column]:
-        mark = read_parts(self.spark, MARKS, f"{self.root}/marks").filter(F.col("batch_id") == batch - 1).first()
+        mark = read_if_there(self.spark, MARKS, f"{self.root}/marks").filter(F.col("batch_id") == batch - 1).first()
         if mark:
             return F.lit(mark.segment_id), F.lit(mark.user_segment_id)
         segments, assigned = self._start
@@ -108,7 +108,7 @@ class SegmentLog:
 
     def _write(self, df: DataFrame, name: str, batch_id: int, *by: str) -> DataFrame:
         path = f"{self.root}/{name}/batch_id={batch_id}"
-        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+        (df.repartition(*by) if by else df).write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self, upto: int) -> None:
