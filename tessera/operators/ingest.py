@@ -86,7 +86,7 @@ def validate_registrations(regs: DataFrame, customers: DataFrame) -> DataFrame:
     first = filled.groupBy("email").agg(F.min("pos").alias("pos"))
     free = first.join(customers.select("email"), "email", "left_anti").select("pos", F.lit(True).alias("_free"))
     j = filled.join(free, "pos", "left")
-    error = F.when(F.col("_free").isNull(), "email already registered")
+    error = F.when(F.col("_free").isNull(), TAKEN)
     return j.select("pos", "full_name", "username", "email", error.alias("error"))
 
 
@@ -95,24 +95,99 @@ def onboard_customers(regs: DataFrame, customers: DataFrame, as_of) -> dict[str,
     customers sequence, ``customer_id`` is ``CUS-%06d``, role is always
     ``customer``, tracking on. One customers row and one profile row per
     account. Any invalid row rejects the whole request (the gate is a scalar
-    subquery); a request without accounts is rejected with one row."""
+    subquery); a request without accounts is rejected with one row.
+
+    With a column ``request`` (in the order of arrival) ``regs`` holds several requests: see :func:`onboard_requests`."""
+    if "request" in regs.columns:
+        return onboard_requests(regs, customers, as_of)
     checked = validate_registrations(regs, customers)
     none = checked.groupBy().agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 0).select(
         *[F.lit(None).cast(checked.schema[c].dataType).alias(c) for c in checked.columns[:-1]],
-        F.lit("at least one account is required").alias("error"))
+        F.lit(NO_ACCOUNT).alias("error"))
     failed = checked.filter(F.col("error").isNotNull())
     rejected = failed.unionByName(none)
     ok = F.coalesce(failed.agg(F.count(F.lit(1))).scalar(), F.lit(0)) == 0
     valid = checked.filter(F.col("error").isNull() & ok)
-    numbered = sequence_ids(valid, ["pos"], max_id(customers), "id")
+    return {**_registered(valid, ["pos"], customers, as_of), "rejected": rejected}
+
+
+NO_ACCOUNT, TAKEN = "at least one account is required", "email already registered"
+
+
+def _registered(valid: DataFrame, order: list[str], customers: DataFrame, as_of) -> dict[str, DataFrame]:
+    """The customers and profiles rows of admitted accounts, numbered in ``order``."""
+    numbered = sequence_ids(valid, order, max_id(customers), "id")
     now = X.ntz(as_of)
     new_customers = numbered.select(
         "id", X.customer_code("id").alias("customer_id"), "username", "email",
         F.lit("customer").alias("role"), F.lit(True).alias("is_activity_tracking_enabled"), now.alias("created_at"))
     new_profiles = numbered.select(F.col("id").alias("customer_id"), "full_name", now.alias("created_at"))
     registered = new_customers.select("id", "customer_id", "email", "role")
-    return {"registered": registered, "customers": new_customers, "profiles": new_profiles,
-            "rejected": rejected}
+    return {"registered": registered, "customers": new_customers, "profiles": new_profiles}
+
+
+def onboard_requests(regs: DataFrame, customers: DataFrame, as_of) -> dict[str, DataFrame]:
+    """Register the accounts of several requests, as if they came one after the other in the order of ``request``.
+
+    ``regs``: ``request``, ``pos`` (unique in a request; null in the one row of a request without accounts),
+    ``full_name``, ``username``, ``email``. A request is admitted whole or not at all; its emails are taken for later
+    ones only if it is admitted itself. Returns ``registered``, ``customers`` and ``profiles`` of the admitted
+    accounts, numbered by (request, pos), and the failing rows of the others as ``rejected``.
+    """
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("full_name", "username", "email")]
+    rows = regs.select("request", "pos", *text).checkpoint(eager=True)
+    # what fails whatever the other requests do: no account, an email twice in the request, an email in use
+    own = rows.filter("pos IS NOT NULL").groupBy("request", "email").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    own = own.join(customers.select("email", F.lit(True).alias("used")).distinct(), "email", "left").checkpoint(eager=True)
+    bad = own.filter("used OR first < last").select("request").unionByName(rows.filter("pos IS NULL").select("request"))
+    open_emails = own.select("request", "email").join(bad.distinct().checkpoint(eager=True), "request", "left_anti")
+    admitted = admit_in_order(open_emails).checkpoint(eager=True)
+    valid = rows.join(admitted, "request", "left_semi")
+    return {**_registered(valid, ["request", "pos"], customers, as_of),
+            "rejected": _refused(rows, own, admitted)}
+
+
+def _refused(rows: DataFrame, own: DataFrame, admitted: DataFrame) -> DataFrame:
+    """The failing rows of the requests that were not admitted: those whose email is in use, comes earlier in the
+    request, or belongs to an earlier admitted request; and requests without accounts."""
+    others = rows.join(admitted, "request", "left_anti")
+    # one row per email: at most one admitted request holds it
+    holder = own.join(admitted, "request", "left_semi").select("email", F.col("request").alias("holder"))
+    clash = own.join(holder.checkpoint(eager=True), "email", "left").join(admitted, "request", "left_anti").select(
+        F.col("request").alias("_r"), F.col("email").alias("_e"), F.col("first").alias("_first"),
+        F.coalesce("used", F.lit(False)).alias("_used"), (F.col("holder") < F.col("request")).alias("_held"))
+    j = others.join(clash, others["request"].eqNullSafe(clash["_r"]) & (others["email"] == clash["_e"]), "left")
+    error = (F.when(F.col("pos").isNull(), NO_ACCOUNT)
+             .when(F.col("_used") | F.coalesce("_held", F.lit(False)) | (F.col("pos") > F.col("_first")), TAKEN))
+    return j.select("request", "pos", "full_name", "username", "email", error.alias("error")).filter("error IS NOT NULL")
+
+
+def admit_in_order(emails: DataFrame) -> DataFrame:
+    """``request`` of the requests (``request``, ``email``; distinct rows) that are admitted one after the other: each
+    whose emails no earlier admitted one holds.
+
+    Requests that share no email are admitted at once. Of the others, every round admits those that come first for
+    all their emails among the ones still open, and refuses those that share an email with them; the rest go on. The
+    rounds follow the longest chain of clashes, their work only the open ones. The first request of an email is kept in a
+    stored table, so that an email held by very many requests can be split in the join.
+    """
+    firsts = emails.groupBy("email").agg(F.min("request").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = emails.join(firsts.filter("n > 1").select("email").checkpoint(eager=True), "email", "left_semi")
+    clashing = shared.select("request").distinct().checkpoint(eager=True)
+    out = emails.select("request").distinct().join(clashing, "request", "left_anti")
+    # emails that only one request holds decide nothing
+    left = shared.checkpoint(eager=True)
+    while not left.isEmpty():
+        firsts = left.groupBy("email").agg(F.min("request").alias("first")).checkpoint(eager=True)
+        ahead = left.join(firsts, "email")
+        won = ahead.groupBy("request").agg(F.bool_and(F.col("request") == F.col("first")).alias("won")).filter("won") \
+                   .select("request").checkpoint(eager=True)
+        # a winner is first for every email it holds
+        taken = firsts.join(won.withColumnRenamed("request", "first"), "first", "left_semi").select("email").checkpoint(eager=True)
+        decided = left.join(taken, "email", "left_semi").select("request").distinct().checkpoint(eager=True)
+        out = out.unionByName(won)
+        left = left.join(decided, "request", "left_anti").checkpoint(eager=True)
+    return out
 
 
 DEFAULT_PRINCIPAL = "CUS-000049"  # an admin of the fixture tables

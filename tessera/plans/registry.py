@@ -616,6 +616,34 @@ def _onboard_customers(t: Tables) -> DataFrame:
     return I.onboard_customers(FD.registrations(t), t.customers, AS_OF)["registered"]
 
 
+# A request can clash with its predecessor only, and the first of three with none: so the admission of the first is its own
+# fitness, that of the second looks at the first, that of the third at the second as the first leaves it.
+@query("onboard_requests", O.with_views("""
+SELECT id, printf('CUS-%06d', id) AS customer_id, email, 'customer' AS role
+FROM (SELECT (SELECT MAX(id) FROM customers) + ROW_NUMBER() OVER (ORDER BY r.request, r.pos) AS id, r.email
+      FROM regs r JOIN verdict w ON w.request = r.request AND w.ok) x""",
+    ("regs", """
+SELECT c_custkey AS request, CAST(1 AS BIGINT) AS pos, 'new' || c_custkey || '@mail.com' AS email FROM customer WHERE c_custkey % 23 <> 0
+UNION ALL SELECT c_custkey, 2, 'new' || (c_custkey - 1) || '@mail.com' FROM customer WHERE c_custkey % 23 <> 0 AND c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 3, 'new' || c_custkey || '@mail.com' FROM customer WHERE c_custkey % 23 <> 0 AND c_custkey % 11 = 0
+UNION ALL SELECT c_custkey, 4, lower(c_name) || '@mail.com' FROM customer WHERE c_custkey % 23 <> 0 AND c_custkey % 17 = 0"""),
+    ("fit", """SELECT c_custkey AS request,
+       (SELECT COUNT(*) > 0 AND COUNT(*) = COUNT(DISTINCT r.email) FROM regs r WHERE r.request = c_custkey)
+       AND NOT EXISTS (SELECT 1 FROM regs r JOIN customers c ON c.email = r.email WHERE r.request = c_custkey) AS alone
+FROM customer"""),
+    ("clash", "SELECT DISTINCT a.request, b.request AS before FROM regs a JOIN regs b ON a.email = b.email AND b.request < a.request"),
+    ("verdict", """
+SELECT f.request, f.alone AND
+       CASE WHEN f.request % 3 = 0 THEN TRUE
+            WHEN f.request % 3 = 1 THEN NOT COALESCE((SELECT bool_or(g.alone) FROM clash x JOIN fit g ON g.request = x.before WHERE x.request = f.request), FALSE)
+            ELSE NOT COALESCE((SELECT bool_or(g.alone AND NOT COALESCE((SELECT bool_or(h.alone) FROM clash y JOIN fit h ON h.request = y.before
+                                                                     WHERE y.request = g.request), FALSE))
+                               FROM clash x JOIN fit g ON g.request = x.before WHERE x.request = f.request), FALSE) END AS ok
+FROM fit f""")))
+def _onboard_requests(t: Tables) -> DataFrame:
+    return I.onboard_requests(FD.sign_up_requests(t), t.customers, AS_OF)["registered"]
+
+
 @query("set_tracking", O.with_views("""
 SELECT u.seq, u.key, u.is_activity_tracking_enabled,
        CASE WHEN u.is_activity_tracking_enabled IS NULL THEN 0 ELSE m.n END AS rows_affected,

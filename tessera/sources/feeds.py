@@ -72,6 +72,25 @@ def registrations(t: Tables) -> DataFrame:
                     F.when(F.col("s_suppkey") != 3, F.concat(F.lower(name), F.lit("@mail.com"))).alias("email"))
 
 
+def sign_up_requests(t: Tables) -> DataFrame:
+    """Sign-up requests derived from the customer table, numbered by customer key. Each has an account of its own, and
+    two of three share an email with the request before them, so requests clash in chains of three; every 11th repeats an
+    email, every 17th has the email of a customer, every 23rd no account at all."""
+    c = t.raw("customer")
+    k = F.col("c_custkey")
+    mail = lambda n: F.concat(F.lit("new"), n.cast("string"), F.lit("@mail.com"))
+    account = lambda pos, name, email: F.struct(
+        F.lit(pos).cast("bigint").alias("pos"), name.alias("full_name"), F.lower(name).alias("username"), email.alias("email"))
+    nobody = F.struct(F.lit(None).cast("bigint").alias("pos"), *[
+        F.lit(None).cast("string").alias(n) for n in ("full_name", "username", "email")])
+    accounts = F.array_compact(F.array(
+        account(1, F.col("c_name"), mail(k)),
+        F.when(k % 3 != 0, account(2, F.col("c_name"), mail(k - 1))),
+        F.when(k % 11 == 0, account(3, F.col("c_name"), mail(k))),
+        F.when(k % 17 == 0, account(4, F.col("c_name"), F.concat(F.lower("c_name"), F.lit("@mail.com"))))))
+    return c.select(k.alias("request"), F.inline(F.when(k % 23 == 0, F.array(nobody)).otherwise(accounts)))
+
+
 def tracking_updates(t: Tables) -> DataFrame:
     """One tracking update per customer row, naming the customer by id text,
     by public id or by an unknown key; some without the flag."""
