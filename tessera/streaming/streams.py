@@ -24,6 +24,7 @@ from tessera.operators.merge import max_id, sequence_ids
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.driver import DRIVER_SCHEMAS
 from tessera.sources.fixtures import Tables, analytics_from_events, customers_of
+from tessera.streaming import live_panes
 from tessera.streaming.key_index import KeyIndex
 from tessera.streaming.segment_log import SegmentLog
 
@@ -181,7 +182,10 @@ def stream_daily_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_complete(spark, weekly_metrics(event_stream(spark, sf_dir)), "weekly-metrics")
+    """Seven-day windows folded from the daily panes of an append-mode stream."""
+    out = scratch(spark, "weekly-panes")
+    _run(live_panes.live_panes(event_stream(spark, sf_dir), out))
+    return live_panes.weekly(live_panes.panes(spark, out))
 
 
 # -- I4 ----------------------------------------------------------------------------

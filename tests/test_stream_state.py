@@ -12,6 +12,7 @@ from tessera.operators.ingest import DEFAULT_PRINCIPAL
 from tessera.sources import feeds as FD
 from tessera.sources import sinks
 from tessera.sources.fixtures import customers_of
+from tessera.streaming import live_panes as LP
 from tessera.streaming import streams as ST
 from tessera.streaming.key_index import KeyIndex
 from tessera.streaming.segment_log import SegmentLog
@@ -156,3 +157,34 @@ def test_stream_finds_a_customer_added_on_the_way(spark, t001):
     drain()
     assert [r.customer_id for r in spark.read.parquet(f"{out}/accepted").collect()] == [149]
     assert [r.error for r in spark.read.parquet(f"{out}/rejected").collect()] == ["user not found"]
+
+
+def test_accepted_and_late_events_add_up(spark, t001):
+    src, out = ST.scratch(spark, "test-shuffled"), ST.scratch(spark, "test-panes")
+    events = t001.analytics_events.withColumn("created_at", F.when(F.col("id") % 211 == 0, F.lit(None).cast("timestamp_ntz"))
+                                              .otherwise(F.col("created_at"))).cache()
+    # files in another order than time: every file has days of its third of the month and some of any day
+    part = (F.dayofmonth("created_at") / 11).cast("int")
+    part = F.when(F.col("id") % 5 == 0, F.col("id") % 3).otherwise(F.coalesce(part, F.lit(1)))
+    for k in (1, 2, 0):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    LP.live_panes(stream, out).awaitTermination()
+    marks = LP.late_events(spark, out).orderBy("batch_id").collect()
+    late = spark.read.parquet(f"{out}/late").drop("batch_id")
+    assert [m.batch_id for m in marks] == [0, 1, 2] and marks[0].accepted > 0
+    assert sum(m.accepted for m in marks) + sum(m.late for m in marks) == events.count()
+    assert sum(m.late for m in marks) == late.count() > 0 and late.filter("created_at IS NULL").count() == events.filter(
+        "created_at IS NULL").count()
+    # every pane has the events of its day that were not late
+    on_time = events.join(late.select("id"), "id", "left_anti")
+    want = on_time.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("events"))
+    assert rows(LP.panes(spark, out).select("day", "events")) == rows(want)
+    # a day is closed once, and the state is what is left
+    closed = LP.panes(spark, out, final=True)
+    assert closed.count() == closed.select("day").distinct().count() > 10
+    assert spark.read.parquet(f"{out}/open/batch_id=2").count() <= 3
+    assert "Expand" not in LP.weekly(LP.panes(spark, out))._jdf.queryExecution().executedPlan().toString()
+    assert rows(LP.daily(LP.panes(spark, out)).select("day", "clicks")) == rows(
+        on_time.filter(F.col("event_type").isin("recommendation_click", "recommendation_clicked"))
+        .groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("clicks")).select("day", "clicks"))
