@@ -147,9 +147,9 @@ def engagement_dashboard(events: DataFrame, as_of, n: int = 3) -> DataFrame:
     """All-time CTR and conversion, clicks since as_of-7d (no upper bound),
     and the top-``n`` clicked features: one row per ranked feature.
 
-    One scan: events are reduced to one row per feature value first; the
-    totals are a plain aggregate of those rows and the top ``n`` an ordered limit,
-    handed over as one array of at most ``n`` items, so no task holds all features.
+    One scan: events are reduced to one row per feature value first; the totals are a plain aggregate of those
+    rows and the top ``n`` an ordered limit, handed over as one array of at most ``n`` items, so no task holds
+    all features. Both need the same columns and filter only after the limit, so they share one shuffle of the events.
     When no feature has clicks a single row with NULL rank/feature remains.
     """
     now = X.ntz(as_of)
@@ -160,9 +160,10 @@ def engagement_dashboard(events: DataFrame, as_of, n: int = 3) -> DataFrame:
         X.count_if(X.is_engagement()).alias("eng"),
         X.count_if(X.is_click() & (F.col("created_at") >= since)).alias("wclk"),
     )
-    top = (per_feature.filter(X.non_empty("feature") & (F.col("clk") > 0))
-           .orderBy(F.desc("clk"), F.asc("feature")).limit(n)
-           .agg(F.array_sort(F.collect_list(F.struct((-F.col("clk")).alias("k"), "feature", "clk"))).alias("top")))
+    ranked = X.non_empty("feature") & (F.col("clk") > 0)
+    first = per_feature.withColumn("ranked", ranked).orderBy(F.desc("ranked"), F.desc("clk"), F.asc("feature")).limit(n)
+    top = first.agg(F.array_sort(F.collect_list(F.when(F.col("ranked"), F.struct(
+        (-F.col("clk")).alias("k"), "feature", "clk", "imp", "eng", "wclk")))).alias("top"))
     zero = F.lit(0).cast("bigint")
     totals = per_feature.agg(*[F.coalesce(F.sum(c), zero).alias(f"{c}_all") for c in ("imp", "clk", "eng", "wclk")])
     shown = totals.select("*", F.posexplode_outer(top.scalar()).alias("pos", "x"))
