@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas as S
 from tessera.operators.customers import feature_usage, top_segment
+from tessera.operators.merge import dense_ranks
 
 
 def segment_recommendations(user_segments: DataFrame, segments: DataFrame,
@@ -59,8 +60,33 @@ def recommendations(customers: DataFrame, user_segments: DataFrame, segments: Da
     return seg.unionByName(act)
 
 
+def section_positions(recommendations_: DataFrame) -> DataFrame:
+    """``segment_id``, ``position`` (1, 2, ... by priority, then id), ``rec_id``, ``feature``, ``reason``, ``priority``.
+
+    The recommendations are ranked once over all segments, and a segment's first rank is taken off, so a
+    segment that holds most of them is not sorted in one task."""
+    ranks = dense_ranks(recommendations_, ["segment_id", "priority", "id"])
+    first = ranks.groupBy("segment_id").agg(F.min("_rank").alias("_first"))
+    named = recommendations_.select("segment_id", F.col("id").alias("rec_id"), F.coalesce("feature", F.lit("")).alias("feature"),
+                                    F.coalesce("reason", F.lit("")).alias("reason"), "priority")
+    placed = ranks.join(first, "segment_id").select(F.col("id").alias("rec_id"), (F.col("_rank") - F.col("_first") + 1)
+                                                    .cast("bigint").alias("position"))
+    return named.join(placed, "rec_id").select("segment_id", "position", "rec_id", "feature", "reason", "priority")
+
+
+def personalization_sections(customers: DataFrame, user_segments: DataFrame, segments: DataFrame,
+                             recommendations_: DataFrame) -> DataFrame:
+    """The recommended sections of every homepage as rows: ``customer_id``, ``segment_id`` (the best assignment),
+    ``position``, ``rec_id``, ``feature``, ``reason``, ``priority``. No row holds a list."""
+    top = top_segment(user_segments, segments, join_first=True).select(F.col("customer_id").alias("id"), "segment_id")
+    mine = customers.select("id", "customer_id").join(top, "id").select("customer_id", "segment_id")
+    return mine.join(section_positions(recommendations_), "segment_id").select(
+        "customer_id", "segment_id", "position", "rec_id", "feature", "reason", "priority")
+
+
 def personalization(customers: DataFrame, user_segments: DataFrame, segments: DataFrame,
-                    recommendations_: DataFrame, user_activities: DataFrame, n: int = 5) -> DataFrame:
+                    recommendations_: DataFrame, user_activities: DataFrame, n: int = 5,
+                    listed: int | None = None) -> DataFrame:
     """Homepage configuration of every customer, flattened.
 
     quick actions: the customer's top-``n`` features (comma-joined, ranked);
@@ -68,9 +94,13 @@ def personalization(customers: DataFrame, user_segments: DataFrame, segments: Da
     sections: that segment's recommendations by (priority, id);
     primary_feature: the first non-empty quick action, else the first
     recommended feature, else ''. The per-customer lists hold at most ``n``
-    items and the per-segment lists come from the small recommendations
-    table, so no list grows with the fact tables.
+    items. ``recommended_features`` lists a segment's recommendations, the first ``listed`` of them if that is given
+    (``recommended_count`` counts all); :func:`personalization_sections` has each as a row.
     """
+    shown = recommendations_
+    if listed is not None:
+        few = section_positions(recommendations_).filter(F.col("position") <= max(listed, 1)).select(F.col("rec_id").alias("id"))
+        shown = recommendations_.join(few, "id", "left_semi")
     top = top_segment(user_segments, segments, join_first=True).select(
         F.col("customer_id").alias("customer_pk"), "segment_id", "segment_name",
         F.col("confidence").alias("segment_confidence"))
@@ -83,7 +113,7 @@ def personalization(customers: DataFrame, user_segments: DataFrame, segments: Da
     qa = qa.select("customer_pk", "quick_action_count",
                    F.concat_ws(",", "qa_features").alias("quick_actions"),
                    F.try_element_at(F.filter("qa_features", lambda f: f != ""), F.lit(1)).alias("first_action"))
-    rec = (recommendations_
+    rec = (shown
            .groupBy("segment_id")
            .agg(F.count(F.lit(1)).alias("recommended_count"),
                 F.array_sort(F.collect_list(F.struct("priority", "id", F.coalesce("feature", F.lit("")).alias("f"))))
@@ -91,6 +121,11 @@ def personalization(customers: DataFrame, user_segments: DataFrame, segments: Da
     rec = rec.select("segment_id", "recommended_count",
                      F.concat_ws(",", F.transform("recs", lambda x: x["f"])).alias("recommended_features"),
                      F.try_element_at(F.transform("recs", lambda x: x["f"]), F.lit(1)).alias("first_rec"))
+    if listed is not None:
+        counts = recommendations_.groupBy("segment_id").agg(F.count(F.lit(1)).alias("recommended_count"))
+        rec = rec.drop("recommended_count").join(counts, "segment_id")
+        if listed < 1:
+            rec = rec.withColumn("recommended_features", F.lit(""))
     c = customers.select(F.col("id").alias("customer_pk"), "customer_id")
     out = (c.join(top, "customer_pk", "left").join(qa, "customer_pk", "left")
            .join(rec, "segment_id", "left"))
