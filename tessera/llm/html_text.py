@@ -19,8 +19,9 @@ Densities are computed on the page as it is shown, menus and footers included; o
 styles and hidden elements leave the tree before. Elements whose tag or class says menu,
 header, footer, sidebar, notice, advert or comment leave it before the main text is looked for.
 A form, or an element that only a class or id word names so, stays if it holds the main text:
-what it holds has a larger density sum and more characters outside links than all that remains
-beside it, and no ``article`` or ``main`` shows its text there.
+it holds the node of the largest density sum and more characters outside links than all that remains
+beside it, and no ``article`` or ``main`` shows its text there. Comments, adverts, sidebars, widgets and cookie notices
+never stay, however long they are.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ DROP = frozenset("nav menu header footer aside dialog".split())
 # what happens to an element: kept, left out unless it holds the main text, left out, left out of the counts too
 KEPT, NAMED, BOILERPLATE, GONE = range(4)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-# a class that begins so says what an element has or lacks, not what it is
+# a class with such a word says what an element has or lacks, not what it is
 WITH = frozenset("no non not has have with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = re.compile(r"[a-z]+")
@@ -70,10 +71,15 @@ BOILER = frozenset("""ad ads advert adverts advertisement advertising adsense ba
     nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination masthead topbar toolbar sidebar
     sidebars widget widgets footer footnav copyright share sharing social newsletter subscribe subscription signup
     login related recommended recommendations comment comments commentlist disqus replies respond""".split())
+# of these, words that name what is never the article, however long it is
+STRICT = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted
+    promotion cookie cookies consent gdpr sidebar sidebars widget widgets comment comments commentlist disqus replies
+    respond""".split())
 SPACE = re.compile(r"\s+")
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+# a quote opens a value only right after its equals sign; anywhere else it is a character
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
                    re.S)
-ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 MARKS = re.compile(r"(?:^|\s)(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 
 
@@ -95,9 +101,10 @@ def _boiler(tag: str, attrs: str) -> int:
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if tag not in ("html", "body", "article", "main"):
-            if name in ("class", "id") and any(w[0] not in WITH and not BOILER.isdisjoint(w)
-                                               for w in map(WORDS.findall, value.split()) if w):
-                drop = max(drop, NAMED)
+            if name in ("class", "id"):
+                for w in map(WORDS.findall, value.split()):
+                    if WITH.isdisjoint(w) and not BOILER.isdisjoint(w):
+                        drop = max(drop, NAMED if STRICT.isdisjoint(w) else BOILERPLATE)
             if name == "role" and value.strip() in ROLES:
                 drop = max(drop, NAMED if value.strip() in ("form", "search") else BOILERPLATE)
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -107,13 +114,50 @@ def _boiler(tag: str, attrs: str) -> int:
     return drop
 
 
+# what a start tag looks for among the open elements: the innermost of a kind or of its scope
+NEAREST = {"p": frozenset("p td th caption button object table".split())} | {
+    name: frozenset([name, *scope.split()]) for name, (_, scope) in ENDED_BY.items()}
+KINDS = {tag: [k for k, found in NEAREST.items() if tag in found] for found in NEAREST.values() for tag in found}
+
+
+class Open:
+    """The open elements. The innermost of a name, and of what :data:`NEAREST` looks for, is known without
+    a walk, so nesting costs nothing."""
+
+    def __init__(self, body: Node):
+        self.stack = [body]
+        self.named: dict[str, list[int]] = {}
+        self.near: dict[str, list[int]] = {k: [] for k in NEAREST}
+        self.blocks: list[int] = []
+
+    def _lists(self, tag: str) -> list[list[int]]:
+        out = [self.named.setdefault(tag, []), *(self.near[k] for k in KINDS.get(tag, ()))]
+        return [*out, self.blocks] if tag in BLOCK else out
+
+    def push(self, node: Node) -> None:
+        for places in self._lists(node.tag):
+            places.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            for places in self._lists(self.stack.pop().tag):
+                places.pop()
+
+    def innermost(self, kind: str) -> int | None:
+        """The place of the innermost element of the kind, unless one of its scope is further in."""
+        places = self.near[kind]
+        return places[-1] if places and self.stack[places[-1]].tag == kind else None
+
+
 def parse(page: str) -> Node:
     """The tree below ``html``; children are nodes and texts with references decoded."""
     root = Node("html", None, KEPT)
     body = Node("body", root, KEPT)
     root.children.append(body)
-    at, pos, end = body, 0, len(page)
+    held, pos, end = Open(body), 0, len(page)
     while pos < end:
+        at = held.stack[-1]
         m = TOKEN.search(page, pos)
         if not m:
             at.children.append(html.unescape(page[pos:]))
@@ -122,34 +166,21 @@ def parse(page: str) -> Node:
             at.children.append(html.unescape(page[pos:m.start()]))
         pos = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or tag in ("html", "body"):
             continue
         if m[1]:
-            if tag in ("html", "body"):
-                continue
-            n = at
             # an end tag ends the innermost element of its name; an inline one does not reach over a block
-            while n is not body and n.tag != tag and (tag in BLOCK or n.tag not in BLOCK):
-                n = n.parent
-            if n is not body and n.tag == tag:
-                at = n.parent
+            places = held.named.get(tag)
+            if places and (tag in BLOCK or not held.blocks or held.blocks[-1] < places[-1]):
+                held.close(places[-1])
             elif tag == "p":
                 at.children.append(Node("p", at, KEPT))
             continue
-        if tag in ("html", "body"):
-            continue
-        if tag in CLOSES_P:
-            n = at
-            while n is not body and n.tag not in ("p", "td", "th", "caption", "button", "object", "table"):
-                n = n.parent
-            if n.tag == "p":
-                at = n.parent
-        for name, scope in ENDS.get(tag, ()):
-            n = at
-            while n is not body and n.tag != name and n.tag not in scope:
-                n = n.parent
-            if n.tag == name:
-                at = n.parent
+        for kind in (["p"] if tag in CLOSES_P else []) + [name for name, _ in ENDS.get(tag, ())]:
+            place = held.innermost(kind)
+            if place is not None:
+                held.close(place)
+        at = held.stack[-1]
         node = Node(tag, at, _boiler(tag, m[3]))
         at.children.append(node)
         if tag in RAW:
@@ -157,7 +188,7 @@ def parse(page: str) -> Node:
             node.children.append(page[pos:close.start() if close else end])
             pos = close.end() if close else end
         elif tag not in VOID:
-            at = node
+            held.push(node)
     return body
 
 
@@ -218,27 +249,37 @@ def _below(top: Node, held: bool = False) -> list[Node]:
     return out
 
 
-def _plain(nodes: list[Node]) -> int:
-    """Characters of the nodes' own texts outside links."""
-    return sum(n.chars - n.link_chars - sum(c.chars - c.link_chars for c in n.children if not isinstance(c, str))
-               for n in nodes)
+def _plain_sums(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
+    """Characters outside links below every node (``nodes``: parents first, named elements entered): without what is left
+    out, and with the named elements."""
+    kept, held = {}, {}
+    for n in reversed(nodes):
+        inside = [c for c in n.children if not isinstance(c, str)]
+        own = n.chars - n.link_chars - sum(c.chars - c.link_chars for c in inside)
+        kept[id(n)] = own + sum(kept[id(c)] for c in inside if c.drop == KEPT)
+        held[id(n)] = own + sum(held[id(c)] for c in inside if c.drop <= NAMED)
+    return kept, held
 
 
 def _keep_main(body: Node) -> None:
-    """Named elements that hold the main text are kept."""
-    while True:
-        seen = _below(body)
-        named = [c for n in seen for c in n.children if not isinstance(c, str) and c.drop == NAMED]
-        if not named:
-            return
-        for n in seen:
-            if n.tag in ("article", "main") and 2 * _plain(_below(n)) >= _plain(_below(n, True)):
-                return
-        inside = [(max(map(_total, nodes)), _plain(nodes), c) for c in named for nodes in [_below(c, True)]]
-        most, chars, main = max(inside, key=lambda x: x[:2])
-        if most <= max(map(_total, seen)) or chars <= _plain(seen):
-            return
-        main.drop = KEPT
+    """Named elements that hold the main text are kept: all those around the node of the largest density sum."""
+    every = _below(body, True)
+    seen = _below(body)
+    if len(every) == len(seen):
+        return
+    kept, held = _plain_sums(every)
+    if any(n.tag in ("article", "main") and 2 * kept[id(n)] >= held[id(n)] for n in seen):
+        return
+    outside = {id(n) for n in seen}
+    best = max((n for n in every if id(n) not in outside), key=_total)
+    around, n = [], best
+    while n is not body:
+        if n.drop == NAMED:
+            around.append(n)
+        n = n.parent
+    if _total(best) > max(map(_total, seen)) and held[id(around[-1])] > kept[id(body)]:
+        for n in around:
+            n.drop = KEPT
 
 
 def _total(n: Node) -> float:
