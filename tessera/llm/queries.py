@@ -129,7 +129,8 @@ f AS (SELECT *, (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 4 * n_symbols > n_words OR 2 * {_symbols('[A-Z]')} > word_chars
             OR 4 * {_symbols('!')} > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 20 * len(list_distinct(w)) < n_words OR 2 * n_dup_lines > n_lines
+            OR 20 * list_sum(list_transform(range(1, greatest(len(w), 1) + 1, 32768),
+                                            lambda i: len(list_distinct(w[i:i + 32767])))) < n_words OR 2 * n_dup_lines > n_lines
             OR 2 * {_symbols('[0-9]')} > word_chars) AS kept
 FROM f""",
     "op13_decontamination": r"""
