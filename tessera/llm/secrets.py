@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +57,38 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(json.dumps([[str(x) for x in r] for r in rules]).encode()).hexdigest()[:16]
 
 
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def _jwt_spans(text: str) -> list[tuple[int, int]]:
+    """The matches of the jwt rule, run by run: where a run of its characters fails, every later start in it does."""
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        part, end = [at], at
+        for least, after in ((11, "."), (8, "."), (1, "")):
+            run = TOKEN_RUN.match(text, end)
+            end = run.end() if run else end
+            if not run or end - run.start() < least or not text.startswith(after, end):
+                break
+            end += len(after)
+            part.append(end)
+        else:
+            out.append((at, end))
+        # the next start lies beyond the run that failed, or beyond the match
+        skip = end if len(part) == 4 else TOKEN_RUN.match(text, at).end()
+        at = text.find("eyJ", skip)
+    return out
+
+
 def find_spans(text: str, rules=RULES) -> list[tuple[str, int, int]]:
     """Spans ``(kind, start, end)`` in code points, by start, then by rule order.
     Leftmost matches that do not overlap are taken per kind, and those
     whose group is too short are dropped afterwards."""
     out = []
     for k, (kind, pattern, flags, group, least) in enumerate(rules):
+        if (kind, pattern) == MORE_RULES[1][:2]:
+            out += [(start, k, kind, end) for start, end in _jwt_spans(text)]
+            continue
         if (kind, pattern) == ("hex", BASE_RULES[2][1]):
             pattern, least = f"[0-9a-f]{{{least},}}", 0  # whole runs, so the short ones need no match
         for m in re.finditer(pattern, text, flags):
@@ -114,25 +141,28 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=R
     return addressed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
+def cut_spans(text: str, spans) -> str:
+    """``text`` with ``[kind]`` for each of the ``spans`` (by start); one that begins inside those before it adds no mark."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at:s["start"]], f"[{s['kind']}]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def _cut_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return texts.combine(spans, lambda t, s: None if t is None else cut_spans(t, s))
+
+
 def redact(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``[kind]``; spans that
     overlap become one. ``n_chars``, where it is a column, is counted again for
     changed texts. Clean rows stay as they are; no row goes."""
     cols = docs.columns
     found = scan(docs, ledger, text, rules)
-    spans = F.col("spans")
-    # each span gets the end of those before it; what lies between is kept
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        begin, fresh = F.greatest(s["start"], acc["at"]), s["start"] >= acc["at"]
-        gap = F.substring(F.col(text), acc["at"] + 1, begin - acc["at"])
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(
-            acc["out"], gap, F.when(fresh, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")).alias("out"))
-
-    cut = F.aggregate(spans, start, step, lambda a: F.concat(
-        a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    changed = F.size(spans) > 0
+    changed = F.size("spans") > 0
+    cut = F.pandas_udf(_cut_texts, "string")(F.when(changed, F.col(text)), F.col("spans"))
     new = F.when(changed, cut).otherwise(F.col(text))
     out = [F.when(changed, F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
            if c == "n_chars" else F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in cols]
