@@ -101,7 +101,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = slim.join(edges, same & (F.col("__b") == F.col("__eb")))
     cols = [doc_id, *carry, "source", "size", "source_size", "target", "__full"]
     settled = placed.filter("__in OR __out").select(*cols, F.col("__in").cast("int").alias("__more"))
-    within = Window.partitionBy("source").orderBy("__key", doc_id)
+    within = Window.partitionBy("source").orderBy("__key", doc_id, *carry)
     half = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1))
     # taken while more than half of the document lies below the target: the nearest sum
     near = F.col("__before") + F.coalesce(half, F.lit(0)) + F.col("size") / 2 < F.col("__rest")
