@@ -142,7 +142,8 @@ def test_ids_copy_the_order_key_only(spark):
         assert [(r.o + 11, r.metadata) for r in out.collect()] == [(r.id, "x" * width) for r in out.collect()]
         return _size(spark) - before
     narrow, wide = bytes_checkpointed(1), bytes_checkpointed(5000)
-    assert 0 < narrow and abs(wide - narrow) < 2000
+    # the wide rows hold 10 MB; the folder may also lose or gain a little by other checkpoints' end
+    assert 0 < narrow and abs(wide - narrow) < 100_000
 
 
 def _size(spark):
