@@ -92,25 +92,42 @@ def _symbols(chars: str) -> str:
     return f"(length(t) - length(regexp_replace(t, '{chars}', '', 'g')))"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 ORACLE: dict[str, str] = {
-    "op6_licenses": """
-WITH tpl AS (
-  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM (SELECT name, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
-        FROM (VALUES """ + ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES)
-    + """) v(name, body))),
-lines AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-units AS (SELECT r, doc_id, unnest(l) AS unit, unnest(range(1, len(l) + 1)) AS line FROM lines
-          UNION ALL SELECT r, doc_id, text, 0 FROM lines WHERE len(l) > 1),
-toks AS (SELECT r, doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
-         FROM units),
-own AS (SELECT r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-        FROM toks WHERE len(w) BETWEEN 2 AND 100000),
-scored AS (SELECT r, doc_id, line, name, 2 * len(list_intersect(own.b, tpl.b)) / (len(own.b) + len(tpl.b))::DOUBLE AS d
-           FROM own JOIN tpl ON 2 * least(len(own.b), len(tpl.b)) >= 0.8 * (len(own.b) + len(tpl.b)))
-SELECT doc_id, line::INTEGER AS line, name AS license, d AS dice
-FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY d DESC, name) AS k FROM scored WHERE d >= 0.8)
-WHERE k = 1""",
+    "op6_licenses": r"""
+WITH RECURSIVE tw AS (SELECT license, form, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+            FROM (VALUES """ + ", ".join(f"({', '.join(map(_text, t))})" for t in licenses.TEMPLATES) + r""") v(license, form, body)),
+tb AS (SELECT license, form, len(w) - 1 AS total, unnest(range(0, len(w) - 1)) AS o,
+              unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
+tpl AS (SELECT license, form, total, g, count(*) AS c, CASE WHEN count(*) = 1 THEN min(o) END AS o
+        FROM tb GROUP BY license, form, total, g),
+dw AS (SELECT row_number() OVER () AS r, doc_id,
+              list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+own AS (SELECT r, len(w) - 1 AS size, unnest(range(0, len(w) - 1)) AS pos,
+               unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM dw WHERE len(w) > 1),
+near AS (SELECT r, size, pos, license, form, total, g, c, o FROM own JOIN tpl USING (g)),
+shift AS (SELECT DISTINCT r, license, form, total, size, pos - o AS s FROM near WHERE o IS NOT NULL),
+win AS (SELECT DISTINCT r, license, form, x.total, greatest(x.s, 0) AS st, least(y.s + y.total, y.size) AS en
+        FROM shift x JOIN shift y USING (r, license, form)
+        WHERE least(y.s + y.total, y.size) - greatest(x.s, 0) BETWEEN x.total * 2 / 3 - 1e-9 AND x.total * 3 / 2 + 1e-9),
+com AS (SELECT r, license, form, total, st, en, sum(least(n, c)) AS i
+        FROM (SELECT r, license, form, win.total, st, en, g, c, count(*) AS n FROM win JOIN near USING (r, license, form)
+              WHERE pos >= st AND pos < en GROUP BY r, license, form, win.total, st, en, g, c)
+        GROUP BY r, license, form, total, st, en),
+alike AS (SELECT r, license, form, st, en, en - st - 2 * i AS o, 2 * i / (en - st + total)::DOUBLE AS d FROM com
+          WHERE 2 * i / (en - st + total)::DOUBLE >= 0.8),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY o, d DESC, st, en, license, form) AS k FROM alike),
+pick AS (SELECT r, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS taken, false AS best
+         FROM (SELECT DISTINCT r FROM ranked)
+         UNION ALL
+         SELECT r, k, CASE WHEN fits THEN list_append(taken, {'s': st::BIGINT, 'e': en::BIGINT}) ELSE taken END, fits
+         FROM (SELECT x.r, x.k, p.taken, st, en, len(list_filter(p.taken, lambda t: t.s <= x.en AND x.st <= t.e)) = 0 AS fits
+               FROM pick p JOIN ranked x ON x.r = p.r AND x.k = p.k + 1))
+SELECT doc_id, st::INTEGER AS start, (en + 1)::INTEGER AS "end", license, form, d AS dice, best
+FROM ranked JOIN pick USING (r, k) JOIN dw USING (r)""",
     "op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),

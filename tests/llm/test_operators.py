@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from tessera.llm import (components, html_text, licenses, mixing, packing, prefix_hash, quality_model, quality_rules,
+from tessera.llm import (components, html_text, mixing, packing, prefix_hash, quality_model, quality_rules,
                          queries, secrets, simhash, url_rules)
 
 SF = "/root/testdata/sf0.001"
@@ -294,33 +294,6 @@ def test_mixing_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.resample(no_docs).count() == 0
 
 
-# -- 6 licences ------------------------------------------------------------------
-def slow_licenses(rows):
-    out = Counter()
-    for i, text in rows:
-        lines = (text or "").split("\n") if text is not None else []
-        for k, unit in [*enumerate(lines, 1), *([(0, text)] if len(lines) > 1 else [])]:
-            w = re.sub(r"[^\w]|_", " ", unit.lower()).split()
-            own = set(zip(w, w[1:]))
-            best = None
-            for name, t in sorted(licenses.TEMPLATES):
-                tw = licenses.normalise(t).split()
-                b = set(zip(tw, tw[1:]))
-                d = 2 * len(own & b) / (len(own) + len(b))
-                if d >= 0.8 and (best is None or d > best[1]):
-                    best = name, d
-            if best:
-                out[i, k, best[0], round(best[1], 9)] += 1
-    return out
-
-
-@pytest.mark.parametrize("data", ["docs", "small"])
-def test_licenses(data, request):
-    d = request.getfixturevalue(data)
-    got = Counter((r.doc_id, r.line, r.license, round(r.dice, 9)) for r in licenses.scan(d).collect())
-    assert got == slow_licenses([(r.doc_id, r.text) for r in d.collect()]) and got
-
-
 # -- 7 page text -----------------------------------------------------------------
 ARTICLE = "<article><h1>Title &amp; more</h1><p>First  paragraph with <b>bold</b> text.<p>Second, <a href=x>linked</a> one." \
           "<ul><li>item one<li>item two</ul></article>"
