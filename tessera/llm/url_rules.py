@@ -4,12 +4,15 @@ FP-growth mines combinations of URL tokens that go with a label. Tokens that occ
 exactly the same URLs are one item (their count and the sum of the URLs' hashes agree), so a
 URL that makes up a third of the table cannot blow up the item sets. Rules
 are pruned by support, by confidence, and when a shorter rule says the same with no less
-confidence. Matching goes through an inverted index: a rule is filed under its rarest token, a
+confidence. Tokens of the listed rules are barred, as they only restate them, and a rule stays only if on labelled URLs
+it was not learnt from it is right more often than its verdict is common. Matching goes through an inverted index: a rule is filed under its rarest token, a
 URL looks up its tokens, and the rule's other tokens are verified.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +53,15 @@ def tokens(h: Column, p: Column) -> Column:
     return F.array_distinct(F.array_remove(shaped, ""))
 
 
+def restated(rules: ListedRules) -> list[str]:
+    """The tokens of the listed rules."""
+    parts = re.split(r"[\W_]+", " ".join(h + " " + p for h, p, _ in rules).lower())
+    return sorted({re.sub(r"\d+", "0", t) for t in parts if t})
+
+
 def mine(urls: DataFrame, label: str = "label", items: str = "tokens", min_support: float = 0.01,
-         min_confidence: float = 0.9) -> DataFrame:
-    """``(verdict, tokens, confidence, support)``: pruned rules tokens -> label.
+         min_confidence: float = 0.9, barred: list[str] | None = None) -> DataFrame:
+    """``(verdict, tokens, confidence, support)``: pruned rules tokens -> label, without the ``barred`` tokens.
 
     ``urls`` has an array of tokens and a label per labelled URL; rows
     without a label or tokens teach nothing; no labelled row gives no rules.
@@ -68,7 +77,7 @@ def mine(urls: DataFrame, label: str = "label", items: str = "tokens", min_suppo
     single = data.select("items", F.explode("items").alias("token"))
     counts = single.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("items").cast("decimal(38,0)")).alias("where"))
-    counts = counts.filter(F.col("n") >= n * min_support)
+    counts = counts.filter((F.col("n") >= n * min_support) & ~F.col("token").isin(*(barred or [""])))
     # tokens of the same URLs become one item, named by the smallest of them
     twins = counts.groupBy("n", "where").agg(F.min("token").alias("item"))
     named = shared_table(counts.join(twins, ["n", "where"]).select("token", "item", "n"), "items")
@@ -77,14 +86,18 @@ def mine(urls: DataFrame, label: str = "label", items: str = "tokens", min_suppo
     kept = basket.select("row", "label", F.explode("items").alias("token")).join(
         named.filter("token = item").select("token"), "token")
     baskets = kept.groupBy("row").agg(F.collect_set("token").alias("t"), F.first("label").alias("label"))
-    baskets = baskets.select(F.concat("t", F.array(F.concat(F.lit("="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = shared_table(baskets.select(F.concat("t", F.array(F.concat(F.lit("="), "label"))).alias("items")), "baskets")
+    # URLs without a frequent token are in no basket, but count for the support
+    held = baskets.count()
+    if not held:
+        return spark.createDataFrame([], empty)
+    model = FPGrowth(itemsCol="items", minSupport=min(min_support * n / held, 1.0), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(
         F.startswith(F.element_at("consequent", 1), F.lit("="))
         & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))))
     rules = shared_table(rules.select(
         F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("verdict"),
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+        F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / n).alias("support")), "rules")
     # a rule goes if the same rule without one of its tokens is as sure; chains end at the shortest one
     shorter = rules.filter(F.size("tokens") > 1).select("verdict", "tokens", "confidence", F.explode("tokens").alias("t"))
     shorter = shorter.select("verdict", F.col("tokens").alias("long"), F.array_remove("tokens", F.col("t")).alias("tokens"),
@@ -118,13 +131,38 @@ def match(urls: DataFrame, rule_index: DataFrame, key: str, items: str = "tokens
                                               F.col("b.tokens").alias("tokens"))
 
 
+def proven(rules: DataFrame, urls: DataFrame, label: str = "label", items: str = "tokens") -> DataFrame:
+    """The rules that are right on ``urls`` more often than their verdict is common there, with ``fits`` (labelled
+    URLs that the rule fits) and ``lift`` (share of right ones by share of the verdict).
+
+    A rule that fits no labelled URL is out; so are all where the only label is theirs.
+    """
+    sets = urls.filter(F.col(label).isNotNull()).select(F.array_sort(items).alias("own"), F.col(label).alias("label"))
+    sets = shared_table(sets.groupBy("own", "label").agg(F.count(F.lit(1)).alias("n")), "held_out")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    common = sets.groupBy(F.col("label").alias("verdict")).agg((F.sum("n") / F.lit(total)).alias("rate"))
+    probes = sets.select("own", "label", "n", F.explode("own").alias("token"))
+    hits = probes.join(index(rules, sets, "own"), "token").filter(F.size(F.array_except("tokens", "own")) == 0)
+    fits = hits.groupBy("verdict", "tokens").agg(
+        F.sum("n").alias("fits"), F.sum(F.when(F.col("label") == F.col("verdict"), F.col("n")).otherwise(0)).alias("right"))
+    tried = rules.join(fits, ["verdict", "tokens"]).join(common, "verdict")
+    lift = F.col("right") / F.col("fits") / F.col("rate")
+    return tried.select("verdict", "tokens", "confidence", "support", "fits", lift.alias("lift")).filter("lift > 1")
+
+
+def decided(judged: DataFrame) -> DataFrame:
+    """How many rows of a ``judge`` result each listed or mined rule decides, and how many none does (both null)."""
+    return judged.groupBy("rule", "tokens", "verdict").agg(F.count(F.lit(1)).alias("urls"))
+
+
 def judge(pages: DataFrame, rules: ListedRules, page_id: str = "page_id", url: str = "url",
           default: str = "allow", min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
     """page_id, host, path, rule, verdict, and confidence and tokens of a mined rule.
 
     The labels to learn from are the verdicts of the listed rules: a URL that
     one of them fits is labelled by it and keeps its verdict; any other URL
-    takes the verdict of the surest mined rule, or ``default``. A null url,
+    takes the verdict of the surest mined rule, or ``default``. Rules are mined on four fifths of the different labelled
+    URLs, by a hash of host and path, and held against the last fifth. A null url,
     or one without ``://``, has an empty host and path; repeated rows are all
     returned; an empty table gives no rows; other columns are not read.
     """
@@ -132,7 +170,9 @@ def judge(pages: DataFrame, rules: ListedRules, page_id: str = "page_id", url: s
     parsed = pages.select(page_id, host(u).alias("host"), path(u).alias("path"))
     parsed = shared_table(parsed.withColumn("l", listed(F.col("host"), F.col("path"), rules)), "urls")
     urls = parsed.select("host", "path", F.col("l.verdict").alias("label"), tokens(F.col("host"), F.col("path")).alias("tokens"))
-    learnt = mine(urls, min_support=min_support, min_confidence=min_confidence)
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
+    learnt = mine(urls.filter(~held), min_support=min_support, min_confidence=min_confidence, barred=restated(rules))
+    learnt = shared_table(proven(learnt, urls.filter(held)), "proven")
     open_ = urls.filter("label IS NULL").select(F.array_sort("tokens").alias("tokens"))
     # URLs with equal token sets are judged once
     sets = open_.select(F.array_join("tokens", " ").alias("set"), "tokens").groupBy("set").agg(F.first("tokens").alias("tokens"))
