@@ -67,3 +67,15 @@ def test_a_site_blocked_by_its_neighbours(spark):
     assert got[2000].verdict == "block" and got[2000].tokens == ["casinoa"] and got[2000].rule is None
     assert got[2001].verdict == "allow" and got[2001].tokens == ["gardena"]
     assert got[2002].verdict == "allow" and got[2002].tokens is None
+
+
+def test_very_long_urls(spark):
+    many = "/".join(f"part{chr(97 + i % 26)}x{i % 977}y{i}" for i in range(60_000))
+    rows = [(1, "http://a.example.com/de/" + many), (2, "http://" + "b" * 1_000_000 + ".net/"), (3, "http://c.info/" + many),
+            (4, "http://a.example.com/en/?" + "q" * 1_000_000), (5, "x" * 1_000_000)] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_rules.judge(d, queries.URL_RULES).collect()
+    assert Counter((r.page_id, r.rule) for r in got) == Counter(
+        {(1, "example.com/de/"): 2, (2, "net/"): 2, (3, None): 2, (4, None): 2, (5, None): 2})
+    assert all(len(r.path) == len("/") + len(many) for r in got if r.page_id == 3)
+    assert all((r.host, r.path) == ("", "") for r in got if r.page_id == 5)
