@@ -8,7 +8,8 @@ many as their prefix sum of sizes allows (to the nearest document).
 A source with a third of all rows is never sorted in one task: keys fall into ``buckets``
 equal steps of their distribution function, sizes are summed per (source, bucket), and the
 prefix sums of these settle every bucket but the one in which the target lies; only
-that one is sorted.
+that one is sorted. Equal rows draw a key each, by their number among their like, so they
+spread over the buckets too.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import row_key, shared_table, words
 from tessera.llm.text_stats import SYMBOLS, count_of, word_chars
+from tessera.operators.merge import dense_ranks
 
 WEIGHTS = (5, 2, 1)
 LEAST_WEIGHT = 0.1
@@ -43,10 +45,13 @@ def targets(sizes: DataFrame, epochs: float = 1.5, most: float = 2.0,
     share ``epochs`` times all sizes by weight; what exceeds ``most`` times a
     source's size is shared again by weight among the others until none is above.
     """
-    # one row per source: numbered in a single partition, texts and documents are not in it
-    place = F.row_number().over(Window.orderBy(F.col("source").cast("string").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    t = shared_table(sizes.select("source", "size", weight.alias("w"), (F.col("size") * most).alias("cap")), "sources")
+    named = shared_table(sizes.select("source", "size", F.col("source").isNull().alias("__none"),
+                                      F.col("source").cast("string").alias("__name")), "source_sizes")
+    ranks = dense_ranks(named, ["__none", "__name"]).select(F.col("__name").alias("__ranked"), "_rank")
+    named = named.join(ranks, F.col("__name").eqNullSafe(F.col("__ranked")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
+                          ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    t = shared_table(named.select("source", "size", weight.alias("w"), (F.col("size") * most).alias("cap")), "sources")
     total = t.agg(F.sum("size")).first()[0] or 0
     share, capped = None, -1
     while True:
@@ -61,6 +66,25 @@ def targets(sizes: DataFrame, epochs: float = 1.5, most: float = 2.0,
     return t.select("source", "size", target.cast("double").alias("target"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__j``: 0, 1, .. among rows of equal ``__g``, in the order of ``__r`` (a stored
+    ``monotonically_increasing_id``). Numbers run within what one task wrote and go on from the tasks before it, so no
+    group is gathered."""
+    again = shared_table(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__g"), "again")
+    zero = F.lit(0).cast("long")
+    if again.isEmpty():
+        return rows.withColumn("__j", zero)
+    part = rows.join(again, "__g").withColumn("__p", F.shiftright("__r", 33))
+    upto = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    first = part.groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("n"))
+    first = shared_table(first.select("__g", "__p", F.coalesce(F.sum("n").over(upto), zero).alias("__first")), "firsts")
+    place = F.row_number().over(Window.partitionBy("__g", "__p").orderBy("__r")) - 1
+    part = part.withColumn("__place", place).join(first, ["__g", "__p"])
+    part = part.select(*rows.columns, (F.col("__first") + F.col("__place")).alias("__j"))
+    alone = rows.join(again, "__g", "left_anti").select(*rows.columns, zero.alias("__j"))
+    return shared_table(alone.unionByName(part), "numbered")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         epochs: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, buckets: int = 4096,
         seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -68,16 +92,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     often the mix takes the document) for every row.
 
     A null or empty text has size 0 and takes part without adding words; a null source is a
-    source of its own; repeated rows are drawn apart only by chance of their
-    hash, so equal rows have equal keys and stand next to each other; an
-    empty table gives no rows.
+    source of its own; repeated rows (equal doc_id, text, source and ``carry``) are drawn each by itself, and how many
+    of them the mix takes is the same in a rerun; an empty table gives no rows.
     """
     h1, _ = row_key(docs.select(doc_id, text, source))
     t = F.col(text).cast("string")
-    u = (F.shiftrightunsigned(F.xxhash64(h1, F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
     slim = docs.select(doc_id, *carry, F.col(source).alias("source"), F.size(words(t)).cast("long").alias("size"),
-                       quality_weight(t).alias("__w"), u.alias("__u"))
-    key = -F.log("__u") / F.col("__w")
+                       quality_weight(t).alias("__w"), h1.alias("__h"), F.xxhash64(h1, *carry).alias("__g"),
+                       F.monotonically_increasing_id().alias("__r"))
+    slim = _numbered(shared_table(slim, "sized"))
+    own = F.xxhash64("__h", F.lit(seed))
+    own = F.when(F.col("__j") == 0, own).otherwise(F.xxhash64("__h", F.lit(seed), "__j"))
+    u = (F.shiftrightunsigned(own, 11) + 1) / F.lit(float(1 << 53))
+    key = -F.log(u) / F.col("__w")
     # The distribution functions of the keys for the largest weight (1) and the least (0.1),
     # in equal parts: whatever a source's weights, no bucket expects over 2.2 times the mean.
     place = 1 - (F.exp(-key) + F.exp(-F.lit(LEAST_WEIGHT) * key)) / 2
@@ -120,7 +147,7 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     # rows that are equal in all columns are one key here: their copies add up
     times = mixed.groupBy("__h1", "__h2").agg(F.sum("copies").alias("__n")).filter("__n > 0")
     times = shared_table(times, "copies")
-    # the join leaves the rows partitioned and sorted by the key, so the next step moves nothing
-    once = keyed.join(times, ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"])
+    # equal rows become one per task before any of them moves; the join finds the rows where they then are
+    once = keyed.dropDuplicates(["__h1", "__h2"]).join(times, ["__h1", "__h2"])
     again = F.sequence(F.lit(1), F.col("__n").cast("int"))
     return once.withColumn("__i", F.explode(again)).select(*[F.col(f"`{c}`") for c in cols])

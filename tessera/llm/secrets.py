@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_batches, row_key, shared_table
+from tessera.llm.common import map_batches, shared_table
 from tessera.session import ensure_checkpoint_dir
 
 # The base rules, in the order in which kinds are listed
@@ -48,8 +48,9 @@ RULES = BASE_RULES + MORE_RULES
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                      T.StructField("end", T.IntegerType())])
-FOUND = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.StringType()),
-                      T.StructField("spans", T.ArrayType(SPAN))])
+FOUND = T.StructType([T.StructField("blob", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
+# The unseen blobs of a run are broadcast up to so many (their addresses have 64 characters).
+BROADCAST = 200_000
 
 
 def rule_version(rules=RULES) -> str:
@@ -101,9 +102,9 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=R
     """``docs`` with ``blob`` (SHA-256 of the text) and ``spans``.
 
     ``ledger`` is the folder of a ledger kept over runs (made when absent; null:
-    a fresh one in the shared checkpoint folder). Only (blob, rule version)
-    pairs that it lacks are scanned, and their findings, none included, are
-    appended. Runs on one ledger follow each other; a run that is repeated
+    a fresh one in the shared checkpoint folder), with a folder of its own per rule version.
+    Only (blob, rule version) pairs that it lacks are scanned, and their findings,
+    none included, are appended. Runs on one ledger follow each other; a run that is repeated
     after a failure may append a pair again, which changes no result.
 
     A null text counts as empty; an empty text has no spans; repeated rows are
@@ -111,31 +112,30 @@ def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", rules=R
     a result column are replaced in it.
     """
     spark = docs.sparkSession
-    version = rule_version(rules)
     ledger = ledger or f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    own = f"{ledger}/rules={rule_version(rules)}"
     docs = docs.drop("blob", "spans")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     addressed = docs.withColumn("blob", F.sha2(body, 256))
-
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    h1, h2 = row_key(docs)
-    blobs = addressed.select("blob", h1.alias("h1"), h2.alias("h2"))
-    # one row stands for each unseen blob: no text moves to find it
-    unseen = blobs.groupBy("blob").agg(F.min(F.struct("h1", "h2")).alias("k"))
-    if exists:
-        seen = spark.read.schema(FOUND).parquet(ledger).filter(F.col("rules") == version).select("blob")
-        unseen = unseen.join(seen, "blob", "left_anti")
-    unseen = shared_table(unseen.select("blob", "k.h1", "k.h2"), "unseen")
-    bodies = addressed.select("blob", h1.alias("h1"), h2.alias("h2"), body.alias("body"))
-    todo = bodies.join(unseen, ["blob", "h1", "h2"], "left_semi").dropDuplicates(["blob", "h1", "h2"]).select("blob", "body")
+    content = addressed.select("blob", body.alias("body"))
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        seen = spark.read.schema(FOUND).parquet(own).select("blob")
+        # no text moves to find the unseen blobs, nor to pick their texts where they are few
+        unseen = shared_table(content.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        if unseen.count() <= BROADCAST:
+            todo = content.join(F.broadcast(unseen), "blob", "left_semi").dropDuplicates(["blob"])
+        else:
+            todo = content.dropDuplicates(["blob"]).join(unseen, "blob", "left_semi")
+    else:
+        todo = content.dropDuplicates(["blob"])
 
     def rows(blob, content):
-        yield blob, version, [{"kind": k, "start": s, "end": e} for k, s, e in find_spans(content, rules)]
+        yield blob, [{"kind": k, "start": s, "end": e} for k, s, e in find_spans(content, rules)]
 
-    map_batches(todo, rows, FOUND).write.mode("append").parquet(ledger)
-    found = (spark.read.schema(FOUND).parquet(ledger).filter(F.col("rules") == version)
-             .filter(F.size("spans") > 0).dropDuplicates(["blob", "rules"]).select("blob", "spans"))
+    map_batches(todo, rows, FOUND).write.mode("append").parquet(own)
+    found = spark.read.schema(FOUND).parquet(own).filter(F.size("spans") > 0).dropDuplicates(["blob"])
     found = shared_table(found, "findings")
     none = F.array().cast(T.ArrayType(SPAN))
     return addressed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))

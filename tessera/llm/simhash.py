@@ -152,5 +152,6 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     kept = groups.groupBy("group").agg(
         F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), "__h1", "__h2")).alias("k"))
     kept = shared_table(kept.select("k.__h1", "k.__h2"), "kept")
-    # the join leaves the rows partitioned and sorted by the key, so the last step moves nothing
-    return keyed.join(kept, ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).select(*cols)
+    # equal rows become one per task before any of them moves; the join finds the rows where they then are
+    once = keyed.dropDuplicates(["__h1", "__h2"])
+    return once.join(kept, ["__h1", "__h2"], "left_semi").select(*cols)

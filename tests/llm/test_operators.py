@@ -290,6 +290,30 @@ def test_mixing(data, request):
         {i: sum(r.copies for r in got if r.doc_id == i) for i in {r.doc_id for r in got}})
 
 
+def test_equal_rows_are_drawn_each_by_itself(spark):
+    """One row 3,000 times, a third of all: its copies spread over the keys, and reruns take as many."""
+    d = spark.sql("""SELECT if(id % 3 = 0, 1, id) AS doc_id, if(id % 3 = 0, 'same words here', concat('text ', id)) AS text,
+                            if(id % 3 = 0, 'hot', cast(id % 2 AS string)) AS source FROM range(9000)""")
+    seen = []
+    for parts in (3, 7):
+        got = mixing.mix(d.repartition(parts), buckets=16)
+        seen.append(Counter(got.groupBy("doc_id", "source", "copies").count().collect()))
+        hot = [r for r in got.filter("source = 'hot'").collect()]
+        taken, target = sum(r.size * r.copies for r in hot), hot[0].target
+        assert len(hot) == 3000 and len({r.copies for r in hot}) == 2 and abs(taken - target) <= 1.5 + 1e-6
+    assert seen[0] == seen[1]
+    assert mixing.resample(d, buckets=16).filter("source = 'hot'").count() * 3 == taken
+
+
+def test_mixing_many_sources(spark):
+    """Weights follow the code points of the sources, however many there are; null comes last."""
+    names = ["a", "B", "ä", "z", "😀", "\uffee", "", None, *[f"s{i}" for i in range(500)]]
+    d = spark.createDataFrame([(i, "w " * (1 + i % 7), s) for i, s in enumerate(names)], "doc_id long, text string, source string")
+    want = slow_targets({s: 1 + i % 7 for i, s in enumerate(names)})
+    for r in mixing.mix(d).collect():
+        assert math.isclose(r.target, want[r.source], abs_tol=1e-6)
+
+
 def test_mixing_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.resample(no_docs).count() == 0
 
@@ -430,7 +454,9 @@ def test_secrets(data, request):
     assert Counter(tuple(r)[:5] for r in got) == want
 
 
-def test_ledger_is_incremental(spark, docs, tmp_path, monkeypatch):
+@pytest.mark.parametrize("broadcast", [secrets.BROADCAST, 0])
+def test_ledger_is_incremental(spark, docs, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(secrets, "BROADCAST", broadcast)
     ledger = str(tmp_path / "ledger")
     first = secrets.scan(docs.filter("doc_id < 9"), ledger).select("doc_id", "blob", "spans").collect()
     before = spark.read.parquet(ledger).count()
@@ -441,6 +467,10 @@ def test_ledger_is_incremental(spark, docs, tmp_path, monkeypatch):
     # a new rule version scans every blob again
     rules = [*secrets.RULES, ("fox", "fox", 0, 0, 1)]
     assert any(s.kind == "fox" for r in secrets.scan(docs, ledger, rules=rules).collect() for s in r.spans)
+    # a version has a folder of its own, and a run without new blobs appends nothing
+    versions = spark.read.parquet(ledger).groupBy("rules").count().collect()
+    assert {r["count"] for r in versions} == {len({r.blob for r in secrets.scan(docs, ledger).collect()})} and len(versions) == 2
+    assert spark.read.parquet(ledger).count() == sum(r["count"] for r in versions)
 
 
 def test_redaction(docs, no_docs):
