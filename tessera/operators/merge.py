@@ -324,6 +324,30 @@ def _emit(df: DataFrame, *entries: Column) -> DataFrame:
     return df.select(F.inline(F.array(*entries)))
 
 
+# Entries that one task combines before the shuffle of _report: nearly all keys differ, so its hash map holds them all
+# (about 200 MB).
+ENTRIES_PER_TASK = 1_000_000
+
+
+def _task_rows(tables: dict[str, DataFrame]) -> dict[str, tuple[int, int]]:
+    """(rows, most rows in one task) of every table that has rows; one job, one row per table to the driver."""
+    tasks = None
+    for table, df in tables.items():
+        part = df.select(F.lit(table).alias("t"), F.spark_partition_id().alias("task"))
+        tasks = part if tasks is None else tasks.unionByName(part)
+    per_task = tasks.groupBy("t", "task").agg(F.count(F.lit(1)).alias("n"))
+    return {r.t: (r.n, r.most) for r in per_task.groupBy("t").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+
+
+def _dealt(df: DataFrame, columns: list[str], entries: int, n: int, most: int) -> DataFrame:
+    """``df``, dealt to more tasks if one of its tasks would emit more than ``ENTRIES_PER_TASK`` entries. Only
+    ``columns`` and the id are moved, before they become entries; the id spreads the rows of a hot key."""
+    if most * entries <= ENTRIES_PER_TASK:
+        return df
+    narrow = df.select(*dict.fromkeys([c for c in ["id"] if c in df.columns] + columns))
+    return narrow.repartition(-(-n * entries // ENTRIES_PER_TASK), *narrow.columns)
+
+
 def _report(rows: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     """Counts per (constraint, key), then per constraint. The first aggregation combines before the shuffle, so a
     hot key is one row per task; constraints without rows are reported with zeros."""
@@ -344,7 +368,7 @@ def _report(rows: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     return out.select(label(0).alias("table_name"), label(1).alias("constraint_name"), "checked_rows", "violations")
 
 
-# (table, unique column sets, foreign keys (column, parent table), checks (name, condition))
+# (table, unique column sets, foreign keys (column, parent table), checks (name, column, condition))
 CONSTRAINTS = [
     ("customers", [["id"], ["customer_id"], ["email"]], [], []),
     ("customer_profiles", [["customer_id"]], [("customer_id", "customers")], []),
@@ -354,7 +378,7 @@ CONSTRAINTS = [
     ("analytics_events", [], [("customer_id", "customers")], []),
     ("segments", [["name"]], [], []),
     ("user_segments", [["customer_id"]], [("customer_id", "customers"), ("segment_id", "segments")],
-     [("check(0<=confidence<=1)", "confidence >= 0 AND confidence <= 1")]),
+     [("check(0<=confidence<=1)", "confidence", "confidence >= 0 AND confidence <= 1")]),
     ("recommendations", [], [("segment_id", "segments")], []),
     ("ab_tests", [], [], []),
     ("ab_test_assignments", [["customer_id", "ab_test_id"]], [("customer_id", "customers"), ("ab_test_id", "ab_tests")], []),
@@ -365,12 +389,14 @@ def constraint_report(t) -> DataFrame:
     """Unique, foreign-key and CHECK constraints of the schema, one row per
     constraint with the rows checked and the rows violating it.
 
-    Every table is scanned once and emits, per row, its key for each of its constraints and for each
-    foreign key that points to it; all tables share the two aggregations of :func:`_report`. Rows sharing a unique
+    Every table emits, per row, its key for each of its constraints and for each foreign key that points to it; all
+    tables share the two aggregations of :func:`_report`. A table whose tasks would hold too many keys at once is dealt
+    to more tasks first (:func:`_dealt`), by a count of the rows. Rows sharing a unique
     key with another row violate it (NULL keys never conflict, as in SQL); a NULL foreign key violates nothing.
     """
     names: list[tuple[str, str]] = []
     entries: dict[str, list[Column]] = {table: [] for table, *_ in CONSTRAINTS}
+    used: dict[str, list[str]] = {table: [] for table, *_ in CONSTRAINTS}
     for table, unique, foreign, checks in CONSTRAINTS:
         for cols in unique:
             whole = F.lit(True)
@@ -379,18 +405,24 @@ def constraint_report(t) -> DataFrame:
             # the separator occurs in no id; concat_ws would skip a missing part
             key = F.when(whole, F.concat_ws("\0", *[F.col(c).cast("string") for c in cols]))
             entries[table].append(_entry(len(names), key))
+            used[table] += cols
             names.append((table, f"unique({','.join(cols)})"))
         for fk, parent in foreign:
             entries[table].append(_entry(len(names), F.col(fk).cast("string")))
             entries[parent].append(_entry(len(names), F.col("id").cast("string"), parent=True))
+            used[table].append(fk)
             names.append((table, f"fk({fk})->{parent}"))
-        for name, condition in checks:
+        for name, column, condition in checks:
             entries[table].append(_entry(len(names), F.expr(condition).cast("string")))
+            used[table].append(column)
             names.append((table, name))
+    tables = {table: getattr(t, table) for table, own in entries.items() if own}
+    sizes = _task_rows(tables)
     rows = None
-    for table, own in entries.items():
-        part = _emit(getattr(t, table), *own) if own else None
-        rows = part if rows is None else rows.unionByName(part) if part is not None else rows
+    for table, df in tables.items():
+        own = entries[table]
+        part = _emit(_dealt(df, used[table], len(own), *sizes.get(table, (0, 0))), *own)
+        rows = part if rows is None else rows.unionByName(part)
     return _report(rows, names)
 
 

@@ -180,3 +180,54 @@ def test_constraint_violations_are_counted(spark, t001):
     got = {(r.table_name, r.constraint_name): (r.checked_rows, r.violations) for r in G.constraint_report(t).collect()}
     assert got["customers", "unique(id)"] == (0, 0)
     assert got["accounts", "fk(customer_id)->customers"] == (150, 150)
+
+
+def _constrained(spark, n):
+    """Tables of the constraints: ``n`` customers in one task; event rows, a third of one customer, and ten orphans."""
+    class T:
+        pass
+
+    t = T()
+    one = spark.range(0, n, 1, 1)
+    few = one.limit(7)
+    i = F.col("id")
+    t.customers = one.select("id", F.concat(F.lit("C"), i).alias("customer_id"),
+                             F.when(i % 50 == 0, "twice").when(i % 50 > 1, F.concat(i, F.lit("@mail"))).alias("email"))
+    t.customer_profiles = one.select("id", i.alias("customer_id"))
+    t.accounts = one.select("id", i.alias("customer_id"), i.cast("string").alias("account_no"))
+    t.transactions = one.select("id", F.when(i % 9 > 0, i).alias("account_id"), F.concat(F.lit("T"), i).alias("trx_id"))
+    t.analytics_events = one.select("id", F.when(i < 10, i + n).when(i % 3 == 0, 1).otherwise(i).alias("customer_id"))
+    t.user_activities = t.analytics_events
+    t.segments = few.select("id", i.cast("string").alias("name"))
+    t.user_segments = one.select("id", (i % (n - 1)).alias("customer_id"), (i % 8).alias("segment_id"),
+                                 (i % 5 / 4 + 0.25).alias("confidence"))
+    t.recommendations = few.select("id", i.alias("segment_id"))
+    t.ab_tests = few
+    t.ab_test_assignments = one.select("id", i.alias("customer_id"), (i % 7).alias("ab_test_id"))
+    return t
+
+
+def test_constraint_entries_of_one_task_are_bounded(spark, monkeypatch):
+    # all of a task's keys are held by the first aggregation, and nearly all differ
+    monkeypatch.setattr(G, "_report", lambda rows, names: rows)
+    rows = G.constraint_report(_constrained(spark, 200_000))
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 1_200_000 and sum(per_task) == 200_000 * (9 + 2 + 3 + 2 + 2 + 4 + 3) + 7 * 5
+
+
+def test_constraints_of_dealt_tables(spark, monkeypatch):
+    n = 3000
+    t = _constrained(spark, n)
+    whole = sorted(map(tuple, G.constraint_report(t).collect()))
+    monkeypatch.setattr(G, "ENTRIES_PER_TASK", 500)
+    report = G.constraint_report(t)
+    assert "RepartitionByExpression" in report._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, report.collect())) == whole
+    got = {(r[0], r[1]): r[2:] for r in whole}
+    assert got["customers", "unique(id)"] == (n, 0)
+    assert got["customers", "unique(email)"] == (n, n // 50)  # missing ones never conflict
+    assert got["transactions", "fk(account_id)->accounts"] == (n, 0)
+    assert got["analytics_events", "fk(customer_id)->customers"] == (n, 10)
+    assert got["user_segments", "unique(customer_id)"] == (n, 2)
+    assert got["user_segments", "fk(segment_id)->segments"] == (n, n // 8)
+    assert got["user_segments", "check(0<=confidence<=1)"] == (n, n // 5)
